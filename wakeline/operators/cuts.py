@@ -1,0 +1,112 @@
+"""Cutting the histories that are too long for one task.
+
+A window over a vessel sorts all its reports in one task, and a single vessel
+may own a large part of the table. Such a vessel is cut, in travel order, into
+pieces of about equal size that are windowed apart.
+
+A cut is the key of a real report and closes its piece. So the report before the
+first one of the next piece is known without looking: it is the cut itself. That
+makes the pairing exact for any choice of cuts, and the hashed sample they are
+taken from decides only how even the pieces are.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
+
+# Reports of one vessel are ordered by time; reports of the same time by place, so
+# that neither the partitioning nor the numbering of rows can change a result.
+TRAVEL_ORDER = ("timestamp", "latitude", "longitude", "event_id")
+
+JSON_TIMES = {
+    "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS",
+    "timestampFormat": "yyyy-MM-dd HH:mm:ss.SSSSSSXXX",
+}
+
+
+def travel_order(positions: DataFrame) -> list[str]:
+    return [name for name in TRAVEL_ORDER if name in positions.columns]
+
+
+@dataclass(frozen=True)
+class Cuts:
+    """Keys ``(mmsi, *travel order)`` of the closing reports, ascending."""
+
+    vessels: tuple[int, ...]
+    keys: tuple[str, ...]
+    schema: T.StructType
+
+    def literal(self) -> Column:
+        """The keys as one constant array, folded once when the plan is optimised."""
+        return F.from_json(F.lit("[" + ",".join(self.keys) + "]"), T.ArrayType(self.schema), JSON_TIMES)
+
+    def before(self, key: Column) -> Column:
+        """How many cuts lie strictly below ``key``, by binary search."""
+        cuts = self.literal()
+        jumps = [1 << bit for bit in reversed(range(len(self.keys).bit_length()))]
+        return F.aggregate(
+            F.array(*[F.lit(jump) for jump in jumps]),
+            F.lit(0),
+            lambda found, jump: F.when(F.get(cuts, found + jump - F.lit(1)) < key, found + jump).otherwise(found),
+        )
+
+
+def find_cuts(
+    positions: DataFrame, pieces: int = 8192, min_rows: int = 1_000_000, per_piece: int = 16
+) -> Cuts | None:
+    """Where to cut the vessels with more than ``1 / pieces`` of all rows.
+
+    Returns ``None`` when no vessel has that many rows and more than ``min_rows``.
+    This runs a job, as a range repartition would: one counting pass with map-side
+    combine, and, only if there are such vessels, a second pass over their reports.
+    What comes back to the driver does not grow with the data: at most ``pieces``
+    vessels can be that large, and one of every ``per_piece`` sampled keys is kept,
+    the sample being ``per_piece`` keys for each ``1 / pieces`` of the rows.
+
+    ``positions`` must hold the same rows each time it is read.
+    """
+    order = travel_order(positions)
+    sizes = positions.groupBy("mmsi").agg(F.count(F.lit(1)).alias("rows"))
+    share = F.greatest(F.lit(min_rows), F.ceil(sizes.agg(F.sum("rows")).scalar() / F.lit(pieces)))
+    large = sizes.where(F.col("rows") > share).select("mmsi", share.cast("bigint").alias("share")).collect()
+    if not large:
+        return None
+    vessels = tuple(sorted(row["mmsi"] for row in large))
+    threshold = min(2**63 * per_piece // large[0]["share"], 2**63 - 1)
+    hashed = F.shiftrightunsigned(F.xxhash64("mmsi", *order), 1)
+    sample = (
+        positions.join(F.broadcast(vessel_table(positions, vessels)), "mmsi", "left_semi")
+        .where(hashed <= F.lit(threshold))
+        .select("mmsi", *order)
+        .distinct()
+    )
+    numbered = sample.withColumn("n", F.row_number().over(Window.partitionBy("mmsi").orderBy(*order)))
+    keys = (
+        numbered.where(F.col("n") % per_piece == 0)
+        .orderBy("mmsi", *order)
+        .select(F.to_json(F.struct("mmsi", *order), JSON_TIMES).alias("key"))
+        .collect()
+    )
+    schema = T.StructType([positions.schema[name] for name in ("mmsi", *order)])
+    return Cuts(vessels, tuple(row["key"] for row in keys), schema) if keys else None
+
+
+def vessel_table(positions: DataFrame, vessels: tuple[int, ...]) -> DataFrame:
+    schema = T.StructType([positions.schema["mmsi"]])
+    return positions.sparkSession.createDataFrame([(mmsi,) for mmsi in vessels], schema)
+
+
+def number_pieces(positions: DataFrame, cuts: Cuts) -> DataFrame:
+    """Add ``piece``, rising in travel order; 0 for all reports of an uncut vessel."""
+    cut_vessels = vessel_table(positions, cuts.vessels).withColumn("is_cut", F.lit(True))
+    key = F.struct("mmsi", *travel_order(positions))
+    return (
+        positions.join(F.broadcast(cut_vessels), "mmsi", "left")
+        .withColumn("piece", F.when(F.col("is_cut"), cuts.before(key)).otherwise(F.lit(0)))
+        .select(*positions.columns, "is_cut", "piece")
+    )

@@ -1,0 +1,22 @@
+"""Where a job may put files that all executors must see."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import SparkSession
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder name under the shared folder that the session names.
+
+    Only a local session may go without ``spark.checkpoint.dir``: there the
+    machine's own temporary folder is visible to every task.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="wakeline-")
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
