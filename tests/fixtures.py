@@ -1,0 +1,62 @@
+"""The hand-made reports of FIXTURES.md §3; times are seconds after START."""
+
+import datetime as dt
+
+from wakeline.schema import POSITION
+
+START = dt.datetime(2024, 5, 4)
+NAN = float("nan")
+
+REPORTS = [
+    (1, 1, 50.0, 5.0),
+    (1, 2, 50.0, 5.0),
+    (2, 1, 50.0, 5.0),
+    (3, 1, 50.0, 5.0),
+    (3, 2, 51.0, 5.0),
+    (3, 3, 60.0, 5.0),
+    (3, 4, 51.0, 5.0),
+    (4, 1, 0.0, 179.9),
+    (4, 2, 0.0, -179.9),
+    (6, 1, 55.0, 10.0),
+    (6, 2, 55.1, 10.1),
+    (6, 3, 55.3, 10.1),
+    (6, 4, 57.1, 10.1),
+    (6, 5, 55.1, 10.2),
+    (7, 1, 50.0, 5.0),
+    (7, 2, 91.0, 181.0),
+    (7, 3, NAN, 5.0),
+    (7, 4, None, 5.0),
+    (7, 5, 50.5, 5.0),
+    (8, 1, -90.0, 180.0),
+    (8, 2, 90.0, -180.0),
+    (9, 1, 50.0, 5.0),
+    (9, 2, 50.0, 5.0),
+    (9, 3, 50.5, 5.0),
+]
+
+EDGES = {
+    (1, 2): 0.0,
+    (3, 2): 111.0,
+    (3, 3): 999.0,
+    (3, 4): 999.0,
+    (4, 2): 30583.0,
+    (6, 2): 13.980701,
+    (6, 3): 22.2,
+    (6, 4): 199.8,
+    (6, 5): 222.162666,
+    (7, 5): 55.5,
+    (8, 2): 36545.319810,
+    (9, 2): 0.0,
+    (9, 3): 55.5,
+}
+
+TOTALS = {6: (36.180701, 2), 7: (55.5, 1), 9: (55.5, 2)}
+
+
+def at(seconds):
+    return START + dt.timedelta(seconds=seconds)
+
+
+def positions(spark, reports=REPORTS):
+    rows = [(n, mmsi, at(second), lat, lon) for n, (mmsi, second, lat, lon) in enumerate(reports)]
+    return spark.createDataFrame(rows, POSITION)

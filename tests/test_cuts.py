@@ -1,0 +1,126 @@
+"""Cutting long histories must not change a single row."""
+
+import datetime as dt
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from oracle import from_spark
+from wakeline.operators.cuts import find_cuts, number_pieces
+from wakeline.operators.trajectory import with_previous
+from wakeline.plans import totals
+from wakeline.schema import POSITION
+
+START = dt.datetime(2024, 5, 4)
+
+
+def reports(spark, rows):
+    return spark.createDataFrame(rows, POSITION)
+
+
+def one_vessel_with_a_third(seed):
+    """9000 reports, 3000 of them of one vessel, many at the same time."""
+    draw = random.Random(seed)
+    rows = []
+    for event_id in range(9000):
+        mmsi = 7 if event_id % 3 == 0 else 100 + draw.randrange(200)
+        time = START + dt.timedelta(microseconds=draw.randrange(10**9))
+        if event_id % 6 == 0:
+            time = START + dt.timedelta(seconds=30)
+        rows.append((event_id, mmsi, time, draw.uniform(-1, 1), draw.uniform(-1, 1)))
+    return rows
+
+
+def previous_by_hand(rows):
+    last, found = {}, []
+    for event_id, mmsi, time, lat, lon in sorted(rows, key=lambda r: (r[1], r[2], r[3], r[4], r[0])):
+        if mmsi in last:
+            found.append((event_id, mmsi, time, lat, lon, *last[mmsi]))
+        last[mmsi] = (lat, lon)
+    return sorted(found)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+@pytest.mark.parametrize("pieces,per_piece", [(10, 16), (100, 4), (900, 1)])
+def test_cut_pairs_equal_brute_force(spark, seed, pieces, per_piece):
+    rows = one_vessel_with_a_third(seed)
+    positions = reports(spark, rows)
+    cuts = find_cuts(positions, pieces=pieces, min_rows=10, per_piece=per_piece)
+    assert 7 in cuts.vessels
+    got = sorted(tuple(row) for row in with_previous(positions, cuts).collect())
+    assert got == previous_by_hand(rows)
+
+
+def test_hot_vessel_is_spread(spark):
+    positions = reports(spark, one_vessel_with_a_third(5))
+    cuts = find_cuts(positions, pieces=60, min_rows=10, per_piece=16)
+    assert cuts.vessels == (7,)
+    sizes = number_pieces(positions, cuts).where("mmsi = 7").groupBy("piece").count().collect()
+    assert len(sizes) > 10
+    assert max(row["count"] for row in sizes) < 3000 / 4
+    assert number_pieces(positions, cuts).where("mmsi <> 7 and piece <> 0").count() == 0
+
+
+def test_identical_reports_are_spread_and_counted(spark):
+    """A third of the table is one report over and over, told apart by its number."""
+    rows = [(n, 7, START, 50.0, 5.0) for n in range(3000)]
+    rows += [(3000, 7, START - dt.timedelta(seconds=1), 50.1, 5.0), (3001, 7, START + dt.timedelta(seconds=1), 50.2, 5.0)]
+    rows += [(4000 + n, 100 + n % 300, START + dt.timedelta(seconds=n), 50.0, n / 1e5) for n in range(6000)]
+    positions = reports(spark, rows)
+    cuts = find_cuts(positions, pieces=60, min_rows=10, per_piece=8)
+    sizes = number_pieces(positions, cuts).where("mmsi = 7").groupBy("piece").count().collect()
+    assert max(row["count"] for row in sizes) < 1000
+    seven = totals(positions, cuts=cuts).where("mmsi = 7").collect()[0]
+    assert seven["position_count"] == 3001
+    assert seven["total_distance_km"] == pytest.approx(0.1 * 111 + 0.2 * 111)
+
+
+def test_same_number_for_all_copies_is_still_exact(spark):
+    rows = [(1, 7, START, 50.0, 5.0)] * 500 + [(2, 7, START + dt.timedelta(seconds=n), 50.0, 5.0 + n / 1e3) for n in range(500)]
+    positions = reports(spark, rows)
+    cuts = find_cuts(positions, pieces=50, min_rows=5, per_piece=2)
+    assert cuts is not None
+    assert from_spark(with_previous(positions, cuts)) == from_spark(with_previous(positions, None))
+
+
+def test_extreme_values_survive_the_cut_keys(spark):
+    draw = random.Random(9)
+    odd = [0.1 + 0.2, -0.0, 0.0, 5e-324, 90.0, -90.0, 1 / 3, 1e-7, 12345e-6]
+    rows = [
+        (n - 2**62, 2**62 + n % 2, dt.datetime(1969, 12, 31) + dt.timedelta(microseconds=n), draw.choice(odd), draw.choice(odd))
+        for n in range(2000)
+    ]
+    positions = reports(spark, rows)
+    cuts = find_cuts(positions, pieces=500, min_rows=1, per_piece=1)
+    got = sorted(tuple(row) for row in with_previous(positions, cuts).collect())
+    assert got == previous_by_hand(rows)
+
+
+def test_cuts_do_not_depend_on_partitioning(spark):
+    positions = reports(spark, one_vessel_with_a_third(4))
+    one = find_cuts(positions.coalesce(1), pieces=60, min_rows=10)
+    many = find_cuts(positions.repartition(13), pieces=60, min_rows=10)
+    assert one == many
+
+
+def test_balanced_vessels_are_not_cut(spark):
+    positions = reports(spark, one_vessel_with_a_third(6))
+    assert find_cuts(positions) is None
+    assert find_cuts(positions, pieces=2, min_rows=1) is None
+    assert find_cuts(positions.where(F.lit(False)), min_rows=0) is None
+
+
+def test_positions_without_numbers(spark):
+    rows = one_vessel_with_a_third(8)
+    positions = reports(spark, rows).drop("event_id")
+    cuts = find_cuts(positions, pieces=60, min_rows=10)
+    got = sorted(tuple(row) for row in with_previous(positions, cuts).collect())
+    assert got == sorted(row[1:] for row in previous_by_hand(rows))
+
+
+def test_number_of_cuts_is_bounded(spark):
+    positions = reports(spark, [(n, n % 4, START + dt.timedelta(seconds=n), 1.0, 1.0) for n in range(20000)])
+    for pieces in (8, 64, 512):
+        cuts = find_cuts(positions, pieces=pieces, min_rows=1)
+        assert len(cuts.keys) < 2 * pieces

@@ -108,5 +108,17 @@ def number_pieces(positions: DataFrame, cuts: Cuts) -> DataFrame:
     return (
         positions.join(F.broadcast(cut_vessels), "mmsi", "left")
         .withColumn("piece", F.when(F.col("is_cut"), cuts.before(key)).otherwise(F.lit(0)))
-        .select(*positions.columns, "is_cut", "piece")
+        .drop("is_cut")
+    )
+
+
+def closing_reports(positions: DataFrame, cuts: Cuts) -> DataFrame:
+    """For each piece that follows a cut, the position of the report that is the cut."""
+    texts = positions.sparkSession.createDataFrame(list(enumerate(cuts.keys, 1)), "piece int, key string")
+    key = F.from_json("key", cuts.schema, JSON_TIMES)
+    return texts.select(
+        key["mmsi"].alias("mmsi"),
+        "piece",
+        key["latitude"].alias("closing_lat"),
+        key["longitude"].alias("closing_lon"),
     )

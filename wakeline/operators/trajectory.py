@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wakeline.functions.columns import planar_km
-from wakeline.operators.cuts import Cuts, number_pieces, travel_order
+from wakeline.operators.cuts import Cuts, closing_reports, number_pieces, travel_order
 from wakeline.params import DEFAULTS, RouteParams
 
 
@@ -36,15 +36,13 @@ def with_previous(positions: DataFrame, cuts: Cuts | None) -> DataFrame:
             "opens_piece": F.lag(F.lit(False), 1, True).over(by_piece),
         }
     )
-    closing = F.get(cuts.literal(), F.col("piece") - F.lit(1))
-    after_cut = F.col("is_cut") & F.col("opens_piece") & (closing["mmsi"] == F.col("mmsi"))
-    joined = paired.withColumns(
+    joined = paired.join(F.broadcast(closing_reports(positions, cuts)), ["mmsi", "piece"], "left").withColumns(
         {
-            "prev_lat": F.when(after_cut, closing["latitude"]).otherwise(F.col("prev_lat")),
-            "prev_lon": F.when(after_cut, closing["longitude"]).otherwise(F.col("prev_lon")),
+            "prev_lat": F.when(F.col("opens_piece"), F.col("closing_lat")).otherwise(F.col("prev_lat")),
+            "prev_lon": F.when(F.col("opens_piece"), F.col("closing_lon")).otherwise(F.col("prev_lon")),
         }
     )
-    return joined.where(F.col("prev_lat").isNotNull()).drop("is_cut", "piece", "opens_piece")
+    return joined.where(F.col("prev_lat").isNotNull()).select(*positions.columns, "prev_lat", "prev_lon")
 
 
 def coord_deltas(steps: DataFrame) -> DataFrame:
