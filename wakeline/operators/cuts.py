@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -23,11 +23,6 @@ from pyspark.sql.window import Window
 # that neither the partitioning nor the numbering of rows can change a result.
 TRAVEL_ORDER = ("timestamp", "latitude", "longitude", "event_id")
 
-JSON_TIMES = {
-    "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS",
-    "timestampFormat": "yyyy-MM-dd HH:mm:ss.SSSSSSXXX",
-}
-
 
 def travel_order(positions: DataFrame) -> list[str]:
     return [name for name in TRAVEL_ORDER if name in positions.columns]
@@ -35,25 +30,13 @@ def travel_order(positions: DataFrame) -> list[str]:
 
 @dataclass(frozen=True)
 class Cuts:
-    """Keys ``(mmsi, *travel order)`` of the closing reports, ascending."""
-
-    vessels: tuple[int, ...]
-    keys: tuple[str, ...]
-    schema: T.StructType
+    """For each cut vessel the keys of its closing reports, in travel order."""
 
-    def literal(self) -> Column:
-        """The keys as one constant array, folded once when the plan is optimised."""
-        return F.from_json(F.lit("[" + ",".join(self.keys) + "]"), T.ArrayType(self.schema), JSON_TIMES)
+    keys: dict[int, list[Row]]
 
-    def before(self, key: Column) -> Column:
-        """How many cuts lie strictly below ``key``, by binary search."""
-        cuts = self.literal()
-        jumps = [1 << bit for bit in reversed(range(len(self.keys).bit_length()))]
-        return F.aggregate(
-            F.array(*[F.lit(jump) for jump in jumps]),
-            F.lit(0),
-            lambda found, jump: F.when(F.get(cuts, found + jump - F.lit(1)) < key, found + jump).otherwise(found),
-        )
+    @property
+    def most(self) -> int:
+        return max(len(keys) for keys in self.keys.values())
 
 
 def find_cuts(
@@ -76,49 +59,55 @@ def find_cuts(
     large = sizes.where(F.col("rows") > share).select("mmsi", share.cast("bigint").alias("share")).collect()
     if not large:
         return None
-    vessels = tuple(sorted(row["mmsi"] for row in large))
+    vessels = positions.sparkSession.createDataFrame(
+        [(row["mmsi"],) for row in large], T.StructType([positions.schema["mmsi"]])
+    )
     threshold = min(2**63 * per_piece // large[0]["share"], 2**63 - 1)
     hashed = F.shiftrightunsigned(F.xxhash64("mmsi", *order), 1)
     sample = (
-        positions.join(F.broadcast(vessel_table(positions, vessels)), "mmsi", "left_semi")
+        positions.join(F.broadcast(vessels), "mmsi", "left_semi")
         .where(hashed <= F.lit(threshold))
         .select("mmsi", *order)
         .distinct()
     )
     numbered = sample.withColumn("n", F.row_number().over(Window.partitionBy("mmsi").orderBy(*order)))
-    keys = (
-        numbered.where(F.col("n") % per_piece == 0)
-        .orderBy("mmsi", *order)
-        .select(F.to_json(F.struct("mmsi", *order), JSON_TIMES).alias("key"))
-        .collect()
-    )
-    schema = T.StructType([positions.schema[name] for name in ("mmsi", *order)])
-    return Cuts(vessels, tuple(row["key"] for row in keys), schema) if keys else None
-
-
-def vessel_table(positions: DataFrame, vessels: tuple[int, ...]) -> DataFrame:
-    schema = T.StructType([positions.schema["mmsi"]])
-    return positions.sparkSession.createDataFrame([(mmsi,) for mmsi in vessels], schema)
+    chosen = numbered.where(F.col("n") % per_piece == 0).select("mmsi", F.struct(*order).alias("key"))
+    keys: dict[int, list[Row]] = {}
+    for row in chosen.orderBy("mmsi", "key").collect():
+        keys.setdefault(row["mmsi"], []).append(row["key"])
+    return Cuts(keys) if keys else None
 
 
 def number_pieces(positions: DataFrame, cuts: Cuts) -> DataFrame:
-    """Add ``piece``, rising in travel order; 0 for all reports of an uncut vessel."""
-    cut_vessels = vessel_table(positions, cuts.vessels).withColumn("is_cut", F.lit(True))
-    key = F.struct("mmsi", *travel_order(positions))
-    return (
-        positions.join(F.broadcast(cut_vessels), "mmsi", "left")
-        .withColumn("piece", F.when(F.col("is_cut"), cuts.before(key)).otherwise(F.lit(0)))
-        .drop("is_cut")
+    """Add ``piece``: how many cuts of its vessel lie before a report; 0 if uncut.
+
+    The joined array is searched by halving. Each halving is a column of its own,
+    all in one generated loop: a lambda over the array would be interpreted, and
+    comparing field by field would outgrow what the JVM compiles.
+    """
+    order = travel_order(positions)
+    key_type = T.StructType([positions.schema[name] for name in order])
+    schema = T.StructType([positions.schema["mmsi"], T.StructField("cuts", T.ArrayType(key_type))])
+    table = positions.sparkSession.createDataFrame(list(cuts.keys.items()), schema)
+    numbered = (
+        positions.join(F.broadcast(table), "mmsi", "left")
+        .withColumn("key", F.when(F.col("cuts").isNotNull(), F.struct(*order)))
+        .withColumn("piece", F.lit(0))
     )
+    for bit in reversed(range(cuts.most.bit_length())):
+        ahead = F.col("piece") + F.lit(1 << bit)
+        passed = F.get("cuts", ahead - F.lit(1)) < F.col("key")
+        numbered = numbered.withColumn("piece", F.when(passed, ahead).otherwise(F.col("piece")))
+    return numbered.drop("cuts", "key")
 
 
 def closing_reports(positions: DataFrame, cuts: Cuts) -> DataFrame:
     """For each piece that follows a cut, the position of the report that is the cut."""
-    texts = positions.sparkSession.createDataFrame(list(enumerate(cuts.keys, 1)), "piece int, key string")
-    key = F.from_json("key", cuts.schema, JSON_TIMES)
-    return texts.select(
-        key["mmsi"].alias("mmsi"),
-        "piece",
-        key["latitude"].alias("closing_lat"),
-        key["longitude"].alias("closing_lon"),
+    rows = [
+        (mmsi, piece, key["latitude"], key["longitude"])
+        for mmsi, keys in cuts.keys.items()
+        for piece, key in enumerate(keys, 1)
+    ]
+    return positions.sparkSession.createDataFrame(
+        rows, "mmsi bigint, piece int, closing_lat double, closing_lon double"
     )
