@@ -20,7 +20,7 @@ from pyspark.sql import functions as F  # noqa: E402
 from wakeline.operators import aggregate, clean, report, sampling, trajectory  # noqa: E402
 from wakeline.operators.cuts import find_cuts  # noqa: E402
 from wakeline.params import DEFAULTS, RouteParams  # noqa: E402
-from wakeline.plans import edges, steps, top_routes, totals  # noqa: E402
+from wakeline.plans import edges, steps, summary, top_routes, totals  # noqa: E402
 from wakeline.sources import (  # noqa: E402
     as_raw,
     positions_csv,
@@ -84,6 +84,14 @@ def vessel_distance_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(totals(positions, cuts=cuts), "total_distance_km")
 
 
+def run_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregate.run_counts(summary(sampling.by_hash(cleaned(spark, sf_dir))))
+
+
+def run_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(aggregate.moved(summary(cleaned(spark, sf_dir))), "total_distance_km")
+
+
 def top_vessels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(top_routes(cleaned(spark, sf_dir)), "total_distance_km")
 
@@ -150,6 +158,8 @@ def queries() -> dict[str, Query]:
         "vessel_distance": vessel_distance,
         "vessel_distance_cut": vessel_distance_cut,
         "vessels_count": lambda spark, sf: aggregate.vessels_count(totals(cleaned(spark, sf))),
+        "run_counts": run_counts,
+        "run_totals": run_totals,
         "top_vessels": top_vessels,
         "sampled_top_vessels": sampled_top_vessels,
         "longest_route": longest_route,
@@ -279,6 +289,11 @@ SELECT event_id, mmsi, round(distance_km, 6) AS distance_km FROM kept""",
         "vessel_distance": vessel_totals,
         "vessel_distance_cut": vessel_totals,
         "vessels_count": f"{with_steps()} SELECT count(*) AS vessels FROM totals",
+        "run_counts": f"""{with_steps('19999999')}
+SELECT (SELECT count(*) FROM cleaned) AS total_records,
+  (SELECT count(DISTINCT mmsi) FROM cleaned) AS unique_vessels,
+  (SELECT count(*) FROM totals) AS vessels""",
+        "run_totals": vessel_totals,
         "top_vessels": f"{with_steps()} SELECT {route} FROM top",
         "sampled_top_vessels": f"{with_steps('80000000')} SELECT {route} FROM top",
         "longest_route": f"{with_steps()} SELECT {route} FROM top ORDER BY top.total_distance_km DESC, mmsi LIMIT 1",

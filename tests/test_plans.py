@@ -10,7 +10,7 @@ from wakeline.operators import aggregate
 from wakeline.operators.clean import clean
 from wakeline.operators.cuts import find_cuts
 from wakeline.operators.report import top
-from wakeline.plans import top_routes, totals
+from wakeline.plans import summary, top_routes, totals
 
 SF = f"{TESTDATA}/sf0.01"
 
@@ -43,6 +43,11 @@ def test_whole_answer_is_one_scan_one_shuffle_one_window(static_plans, stored):
     assert count(plan, "TakeOrderedAndProject") == 1
 
 
+def test_whole_run_is_one_scan_one_shuffle_one_window(static_plans, stored):
+    plan = static_plans(summary(stored, cuts=None))
+    assert [count(plan, name) for name in ("FileScan", "Exchange", "Window")] == [1, 1, 1]
+
+
 def test_filters_and_columns_reach_the_scan(static_plans, stored):
     plan = static_plans(top_routes(stored, cuts=None))
     pushed = re.search(r"PushedFilters: \[(.*?)\]", plan).group(1)

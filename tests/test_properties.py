@@ -4,6 +4,7 @@ import random
 
 import pytest
 from fixtures import at
+from fixtures import positions as positions_of_fixture
 from pyspark.sql import functions as F
 
 import __spark_entry__ as registry
@@ -12,7 +13,7 @@ from oracle import from_spark
 from wakeline.operators import aggregate, report, sampling
 from wakeline.operators.clean import clean
 from wakeline.operators.cuts import find_cuts
-from wakeline.plans import edges, top_routes, totals
+from wakeline.plans import edges, summary, top_routes, totals
 from wakeline.schema import POSITION
 
 SF = f"{TESTDATA}/sf0.001"
@@ -87,6 +88,17 @@ def test_bernoulli_sample_with_cuts(spark):
     near(sorted_totals(totals(sample, cuts=cuts)), sorted_totals(totals(sample, cuts=None)))
 
 
+@pytest.mark.parametrize("forced", [False, True])
+def test_summary_holds_the_counts_and_the_totals(spark, forced):
+    positions = clean(positions_of_fixture(spark))
+    cuts = find_cuts(positions, pieces=21, min_rows=1, per_piece=1) if forced else None
+    rows = summary(positions, cuts=cuts)
+    near(sorted_totals(aggregate.moved(rows)), sorted_totals(totals(positions, cuts=None)))
+    counted = tuple(aggregate.run_counts(rows).collect()[0])
+    assert counted == (*aggregate.profile(positions).collect()[0], aggregate.vessels_count(totals(positions)).collect()[0][0])
+    assert counted == (21, 8, 3)
+
+
 def test_empty_input(spark):
     empty = spark.createDataFrame([], POSITION)
     cleaned = clean(empty)
@@ -98,6 +110,8 @@ def test_empty_input(spark):
     assert aggregate.distinct_vessels(cleaned).count() == 0
     assert tuple(aggregate.profile(cleaned).collect()[0]) == (0, 0)
     assert aggregate.vessels_count(totals(cleaned)).collect()[0][0] == 0
+    assert tuple(aggregate.run_counts(summary(cleaned)).collect()[0]) == (0, 0, 0)
+    assert aggregate.moved(summary(cleaned)).count() == 0
     assert report.answer(top_routes(cleaned)).count() == 0
     assert report.ranking_lines(report.status_rank(top_routes(cleaned))).count() == 0
 

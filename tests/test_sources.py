@@ -3,7 +3,6 @@ import os
 
 import pytest
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from conftest import TESTDATA
 from oracle import from_spark
@@ -48,17 +47,27 @@ def test_bad_values_become_null_and_are_cleaned_away(spark, raw_file):
     assert [positions.where(F.col(c).isNull()).count() for c in ("mmsi", "latitude", "longitude", "timestamp")] == [1, 1, 1, 3]
 
 
-def test_inferred_and_given_schemas_agree(spark, raw_file):
+def test_inferred_types_give_the_same_rows(spark, raw_file):
     path = raw_file(
         "04/05/2024 00:00:01,A,219000001,55.5,10.25,1",
         "04/05/2024 00:00:02,A,219000001,55.6,10.25,2",
+        "04/05/2024 00:00:02,A,219000002,55.6,,2",
     )
-    schema = T.StructType(
-        [T.StructField(name, T.DoubleType() if name in ("Latitude", "Longitude") else T.StringType()) for name in HEADER.strip().split(",")]
-    )
-    plain = from_spark(positions_csv(spark, path))
-    assert from_spark(positions_csv(spark, path, infer=True)) == plain
-    assert from_spark(positions_csv(spark, path, schema=schema)) == plain
+    assert from_spark(positions_csv(spark, path, infer=True)) == from_spark(positions_csv(spark, path))
+
+
+def test_files_with_another_header_are_refused(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(HEADER + "04/05/2024 00:00:01,A,1,55.5,10.25,1\n")
+    (tmp_path / "b.csv").write_text("# Timestamp,MMSI,Type of mobile,Latitude,Longitude,Speed\n04/05/2024 00:00:01,1,A,55.5,10.25,1\n")
+    with pytest.raises(Exception, match="CSV header"):
+        positions_csv(spark, str(tmp_path)).collect()
+
+
+def test_cleaning_reaches_the_parser(spark, raw_file):
+    header = HEADER.replace("Speed", "event_id")
+    path = raw_file("04/05/2024 00:00:01,A,219000001,55.5,10.25,1", header=header)
+    plan = clean(positions_csv(spark, path))._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(Latitude,-90.0)" in plan and "IsNotNull(# Timestamp)" in plan
 
 
 def test_scan_reads_only_the_used_columns(spark, raw_file):
@@ -110,9 +119,33 @@ def test_times_ignore_the_session_zone(spark, zone):
     ["", "04/05/2024", "04/05/2024 00:00", "4/5/2024 00:00:00", "04-05-2024 00:00:00", "04/13/2024 00:00:00",
      "04/05/2024 24:00:00", "04/05/2024 00:61:00", "04/05/2024 00:00:00 UTC", "04/05/2024 00:00:00.1234567", "xx/yy/zzzz 00:00:00"],
 )
-def test_malformed_times_are_null(spark, text):
+def test_malformed_times_are_null(spark, raw_file, text):
     df = spark.createDataFrame([(text,)], "text string")
     assert df.select(parse_report_time(F.col("text"))).collect()[0][0] is None
+    path = raw_file(f"{text},A,219000001,55.5,10.25,1")
+    row = positions_csv(spark, path).collect()[0]
+    assert row["timestamp"] is None and row["mmsi"] == 219000001 and row["longitude"] == 10.25
+
+
+@pytest.mark.parametrize("zone", ["UTC", "Europe/Copenhagen", "America/New_York"])
+@pytest.mark.parametrize("infer", [False, True])
+def test_file_times_ignore_the_session_zone(spark, raw_file, zone, infer):
+    path = raw_file(
+        "31/03/2024 02:30:00,A,1,55.5,10.25,1",
+        "27/10/2024 02:30:00.000001,A,2,55.5,10.25,1",
+        "10/03/2024 02:30:00.5,A,3,55.5,10.25,1",
+    )
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        rows = positions_csv(spark, path, infer=infer).orderBy("mmsi").collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert [row["timestamp"] for row in rows] == [
+        dt.datetime(2024, 3, 31, 2, 30),
+        dt.datetime(2024, 10, 27, 2, 30, 0, 1),
+        dt.datetime(2024, 3, 10, 2, 30, 0, 500000),
+    ]
 
 
 def test_events_counts(spark):

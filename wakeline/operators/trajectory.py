@@ -11,8 +11,8 @@ from wakeline.operators.cuts import Cuts, closing_reports, number_pieces, travel
 from wakeline.params import DEFAULTS, RouteParams
 
 
-def with_previous(positions: DataFrame, cuts: Cuts | None) -> DataFrame:
-    """Add the vessel's previous position; drop its first report, which has none.
+def pair(positions: DataFrame, cuts: Cuts | None) -> DataFrame:
+    """Add the vessel's previous position, null for its first report.
 
     ``cuts`` come from :func:`wakeline.operators.cuts.find_cuts`; with ``None`` each
     vessel is one window partition.
@@ -20,13 +20,12 @@ def with_previous(positions: DataFrame, cuts: Cuts | None) -> DataFrame:
     order = travel_order(positions)
     if cuts is None:
         by_vessel = Window.partitionBy("mmsi").orderBy(*order)
-        paired = positions.withColumns(
+        return positions.withColumns(
             {
                 "prev_lat": F.lag("latitude").over(by_vessel),
                 "prev_lon": F.lag("longitude").over(by_vessel),
             }
         )
-        return paired.where(F.col("prev_lat").isNotNull())
 
     by_piece = Window.partitionBy("mmsi", "piece").orderBy(*order)
     paired = number_pieces(positions, cuts).withColumns(
@@ -42,7 +41,12 @@ def with_previous(positions: DataFrame, cuts: Cuts | None) -> DataFrame:
             "prev_lon": F.when(F.col("opens_piece"), F.col("closing_lon")).otherwise(F.col("prev_lon")),
         }
     )
-    return joined.where(F.col("prev_lat").isNotNull()).select(*positions.columns, "prev_lat", "prev_lon")
+    return joined.select(*positions.columns, "prev_lat", "prev_lon")
+
+
+def with_previous(positions: DataFrame, cuts: Cuts | None) -> DataFrame:
+    """The reports that have a previous one."""
+    return pair(positions, cuts).where(F.col("prev_lat").isNotNull())
 
 
 def coord_deltas(steps: DataFrame) -> DataFrame:

@@ -1,3 +1,3 @@
-from wakeline.plans.routes import edges, steps, top_routes, totals
+from wakeline.plans.routes import edges, steps, summary, top_routes, totals
 
-__all__ = ["edges", "steps", "top_routes", "totals"]
+__all__ = ["edges", "steps", "summary", "top_routes", "totals"]

@@ -1,26 +1,30 @@
 """The steps in their order, which is part of the meaning.
 
 Clean, then sample if at all, then pair, then drop jumps, then sum. The result of
-each function is lazy; only :func:`steps` first runs the small job of
-``find_cuts``, unless the caller passes cuts found earlier for the same reports.
+each function is lazy, but each first runs the small job of ``find_cuts``, unless
+the caller passes cuts found earlier for the same reports.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from wakeline.operators.aggregate import vessel_distance
+from wakeline.operators.aggregate import vessel_distance, vessel_summary
 from wakeline.operators.cuts import Cuts, find_cuts
 from wakeline.operators.report import top
-from wakeline.operators.trajectory import coord_deltas, drop_jumps, edge_distance, with_previous
+from wakeline.operators.trajectory import coord_deltas, drop_jumps, edge_distance, pair, with_previous
 from wakeline.params import DEFAULTS, RouteParams
 
 FIND = "find"
 
 
+def known(positions: DataFrame, cuts: Cuts | None | str) -> Cuts | None:
+    return find_cuts(positions) if cuts == FIND else cuts
+
+
 def steps(positions: DataFrame, cuts: Cuts | None | str = FIND) -> DataFrame:
     """Cleaned reports with the previous position of their vessel."""
-    return with_previous(positions, find_cuts(positions) if cuts == FIND else cuts)
+    return with_previous(positions, known(positions, cuts))
 
 
 def edges(positions: DataFrame, params: RouteParams = DEFAULTS, cuts: Cuts | None | str = FIND) -> DataFrame:
@@ -29,10 +33,16 @@ def edges(positions: DataFrame, params: RouteParams = DEFAULTS, cuts: Cuts | Non
 
 
 def totals(positions: DataFrame, params: RouteParams = DEFAULTS, cuts: Cuts | None | str = FIND) -> DataFrame:
-    """Kilometres and kept edges of every vessel."""
+    """Kilometres and kept edges of every vessel that moved."""
     return vessel_distance(drop_jumps(edges(positions, params, cuts), params), params)
 
 
 def top_routes(positions: DataFrame, params: RouteParams = DEFAULTS, cuts: Cuts | None | str = FIND) -> DataFrame:
     """The longest routes."""
     return top(totals(positions, params, cuts), params)
+
+
+def summary(positions: DataFrame, params: RouteParams = DEFAULTS, cuts: Cuts | None | str = FIND) -> DataFrame:
+    """One row per vessel for a whole run; persist it to take several results from it."""
+    paired = pair(positions, known(positions, cuts))
+    return vessel_summary(edge_distance(coord_deltas(paired), params), params)

@@ -9,29 +9,27 @@ from pyspark.sql import functions as F
 def positions_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One report per event; the users are the vessels.
 
-    ``error`` events with a small ``k`` carry the codes for "not available" or
-    nulls, ``signup`` events with a small ``k`` are outliers far to the north.
+    With ``k`` the number in ``props``, ``error`` events with a small ``k`` carry the
+    codes for "not available" or nulls, and ``signup`` events with a small ``k`` are
+    outliers far to the north. Spark repeats these expressions in every filter that
+    it moves to the scan, so they are kept short and free of regular expressions.
     """
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    k = F.regexp_extract("props", "([0-9]+)", 1).cast("int")
+    number = F.substring_index(F.substring_index("props", ":", -1), "}", 1)
+    k = F.col("k")
     error = F.col("event_type") == "error"
     signup = F.col("event_type") == "signup"
     north = F.col("value") / F.lit(1000.0)
-    latitude = (
-        F.when(error & (k < 5), F.lit(91.0))
-        .when(error & k.between(5, 9), F.lit(None))
-        .when(signup & (k < 5), F.lit(57.0) + north)
-        .otherwise(F.lit(54.0) + north)
-    )
-    longitude = (
-        F.when(error & k.between(10, 14), F.lit(181.0))
-        .when(error & k.between(15, 19), F.lit(None))
-        .otherwise(F.lit(8.0) + k / F.lit(200.0))
-    )
-    return events.select(
-        F.col("event_id"),
-        (F.lit(219000000) + F.col("user_id")).cast("bigint").alias("mmsi"),
-        F.col("ts").alias("timestamp"),
-        latitude.alias("latitude"),
-        longitude.alias("longitude"),
+    base = F.when(signup & (k < 5), F.lit(57.0)).otherwise(F.lit(54.0))
+    latitude = F.when(error & (k < 10), F.when(k < 5, F.lit(91.0))).otherwise(base + north)
+    longitude = F.when(error & k.between(10, 19), F.when(k < 15, F.lit(181.0))).otherwise(F.lit(8.0) + k / F.lit(200.0))
+    return (
+        spark.read.parquet(f"{sf_dir}/events.parquet")
+        .withColumn("k", number.try_cast("int"))
+        .select(
+            F.col("event_id"),
+            (F.lit(219000000) + F.col("user_id")).cast("bigint").alias("mmsi"),
+            F.col("ts").alias("timestamp"),
+            latitude.alias("latitude"),
+            longitude.alias("longitude"),
+        )
     )

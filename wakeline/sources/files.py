@@ -8,35 +8,49 @@ from pyspark.sql import types as T
 
 from wakeline.functions.columns import format_report_time, parse_report_time
 
-# Fixed header names of the raw files.
+# Fixed header names of the raw files, and the form of their times.
 RAW_MMSI = "MMSI"
 RAW_TIME = "# Timestamp"
 RAW_LATITUDE = "Latitude"
 RAW_LONGITUDE = "Longitude"
+RAW_TIME_FORMAT = "dd/MM/yyyy HH:mm:ss[.SSSSSS]"
 
+RAW_TYPES = {
+    RAW_MMSI: T.LongType(),
+    RAW_TIME: T.TimestampNTZType(),
+    RAW_LATITUDE: T.DoubleType(),
+    RAW_LONGITUDE: T.DoubleType(),
+    "event_id": T.LongType(),
+}
 
-def read_raw_csv(
-    spark: SparkSession, path: str, schema: T.StructType | None = None, infer: bool = False
-) -> DataFrame:
-    """All columns of the files.
 
-    By default every column is text under its header name: Spark reads one line
-    to learn the names and parses only the columns that are used later. A
-    ``schema`` must list every column in file order; Spark checks it against
-    the header. ``infer`` costs one more pass over the data.
+def read_raw_csv(spark: SparkSession, path: str, infer: bool = False) -> DataFrame:
+    """All columns of the files, under their header names and in any order.
+
+    Spark reads one line to learn the names and gives the columns used here their
+    types, so that each value is parsed once, a malformed one becomes null, and the
+    filters of the cleaning reach the parser. Every file must have the same header.
+    With ``infer`` Spark finds the types itself, by one more pass over the data;
+    it leaves the times as text.
     """
     reader = spark.read.option("header", True)
-    if schema is not None:
-        reader = reader.schema(schema).option("enforceSchema", False)
-    elif infer:
-        reader = reader.option("inferSchema", True)
-    return reader.csv(path)
+    if infer:
+        return reader.option("inferSchema", True).csv(path)
+    names = reader.csv(path).columns
+    schema = T.StructType([T.StructField(name, RAW_TYPES.get(name, T.StringType())) for name in names])
+    return (
+        spark.read.schema(schema)
+        .option("header", True)
+        .option("enforceSchema", False)
+        .option("timestampNTZFormat", RAW_TIME_FORMAT)
+        .csv(path)
+    )
 
 
 def project_raw(raw: DataFrame) -> DataFrame:
-    """The position columns; a value that cannot be converted becomes null.
+    """The position columns of a raw table, from text or from typed columns.
 
-    Rows without an ``event_id`` are numbered in the order the scan yields
+    A value that cannot be converted becomes null. Rows without an ``event_id`` are numbered in the order the scan yields
     them, so that repeated identical reports can still be told apart.
     """
     event_id = (
@@ -56,10 +70,8 @@ def project_raw(raw: DataFrame) -> DataFrame:
     )
 
 
-def positions_csv(
-    spark: SparkSession, path: str, schema: T.StructType | None = None, infer: bool = False
-) -> DataFrame:
-    return project_raw(read_raw_csv(spark, path, schema, infer))
+def positions_csv(spark: SparkSession, path: str, infer: bool = False) -> DataFrame:
+    return project_raw(read_raw_csv(spark, path, infer))
 
 
 def as_raw(positions: DataFrame) -> DataFrame:
