@@ -23,8 +23,10 @@ def parse_report_time(text: Column) -> Column:
         F.substring(text, 1, 2),
         F.substring(text, 11, 16),
     )
-    shaped = text.like("__/__/____ __:__:__") | text.like("__/__/____ __:__:__._%")
-    return F.when(shaped & (F.length(text) <= 26), iso.try_cast("timestamp_ntz"))
+    marks = F.concat(*[F.substring(text, at, 1) for at in (3, 6, 11, 14, 17, 20)])
+    whole = (marks == "// ::") & (F.length(text) == 19)
+    split = (marks == "// ::.") & F.length(text).between(21, 26)
+    return F.when(whole | split, iso.try_cast("timestamp_ntz"))
 
 
 def format_report_time(time: Column) -> Column:

@@ -54,15 +54,17 @@ def find_cuts(
     ``positions`` must hold the same rows each time it is read.
     """
     order = travel_order(positions)
-    sizes = positions.groupBy("mmsi").agg(F.count(F.lit(1)).alias("rows"))
-    share = F.greatest(F.lit(min_rows), F.ceil(sizes.agg(F.sum("rows")).scalar() / F.lit(pieces)))
-    large = sizes.where(F.col("rows") > share).select("mmsi", share.cast("bigint").alias("share")).collect()
-    if not large:
-        return None
-    vessels = positions.sparkSession.createDataFrame(
-        [(row["mmsi"],) for row in large], T.StructType([positions.schema["mmsi"]])
-    )
-    threshold = min(2**63 * per_piece // large[0]["share"], 2**63 - 1)
+    sizes = positions.groupBy("mmsi").agg(F.count(F.lit(1)).alias("rows")).persist()
+    try:
+        overall = sizes.agg(F.sum("rows").alias("rows"), F.max("rows").alias("most")).collect()[0]
+        share = max(min_rows, -(-(overall["rows"] or 0) // pieces))
+        if (overall["most"] or 0) <= share:
+            return None
+        large = sizes.where(F.col("rows") > F.lit(share)).select("mmsi").collect()
+    finally:
+        sizes.unpersist()
+    vessels = positions.sparkSession.createDataFrame(large, T.StructType([positions.schema["mmsi"]]))
+    threshold = min(2**63 * per_piece // share, 2**63 - 1)
     hashed = F.shiftrightunsigned(F.xxhash64("mmsi", *order), 1)
     sample = (
         positions.join(F.broadcast(vessels), "mmsi", "left_semi")
