@@ -32,9 +32,20 @@ def edges(positions: DataFrame, params: RouteParams = DEFAULTS, cuts: Cuts | Non
     return edge_distance(coord_deltas(steps(positions, cuts)), params)
 
 
+def paired_for_sums(positions: DataFrame, cuts: Cuts | None | str) -> DataFrame:
+    """Paired reports of which only sums and counts per vessel are wanted.
+
+    Reports that differ in their number alone may change places then. Without cuts,
+    whose keys hold it, the number is neither read nor shuffled nor sorted by.
+    """
+    cuts = known(positions, cuts)
+    return pair(positions.drop("event_id") if cuts is None else positions, cuts)
+
+
 def totals(positions: DataFrame, params: RouteParams = DEFAULTS, cuts: Cuts | None | str = FIND) -> DataFrame:
     """Kilometres and kept edges of every vessel that moved."""
-    return vessel_distance(drop_jumps(edges(positions, params, cuts), params), params)
+    lengths = edge_distance(coord_deltas(paired_for_sums(positions, cuts)), params)
+    return vessel_distance(drop_jumps(lengths, params), params)
 
 
 def top_routes(positions: DataFrame, params: RouteParams = DEFAULTS, cuts: Cuts | None | str = FIND) -> DataFrame:
@@ -44,5 +55,4 @@ def top_routes(positions: DataFrame, params: RouteParams = DEFAULTS, cuts: Cuts
 
 def summary(positions: DataFrame, params: RouteParams = DEFAULTS, cuts: Cuts | None | str = FIND) -> DataFrame:
     """One row per vessel for a whole run; persist it to take several results from it."""
-    paired = pair(positions, known(positions, cuts))
-    return vessel_summary(edge_distance(coord_deltas(paired), params), params)
+    return vessel_summary(edge_distance(coord_deltas(paired_for_sums(positions, cuts)), params), params)
