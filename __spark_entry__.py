@@ -30,6 +30,12 @@ from wakeline.sources import (  # noqa: E402
     write_positions_csv,
 )
 
+try:  # the corpus operators are an optional part
+    import corpus_pipeline
+    from wakeline.llm import queries as corpus
+except ImportError:
+    corpus_pipeline = corpus = None
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 # All top-10 totals at sf0.01 exceed the usual 1000 km; 1320 km gives a mixed list.
@@ -140,7 +146,9 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    added = {**corpus.queries(), "pipeline": corpus_pipeline.run} if corpus and corpus_pipeline else {}
     return {
+        **added,
         "scan_positions_csv": csv_round_trip(infer=False),
         "scan_positions_csv_inferred": csv_round_trip(infer=True),
         "project_positions": project_positions,
@@ -269,7 +277,11 @@ def oracle_sql() -> dict[str, str]:
     route = "mmsi, round(total_distance_km, 6) AS total_distance_km, position_count"
     positions = f"{WITH_POSITIONS} SELECT {position} FROM positions"
     vessel_totals = f"{with_steps()} SELECT {route} FROM totals"
+    added = corpus.oracle_sql() if corpus else {}
+    if corpus_pipeline and corpus_pipeline.ORACLE_SQL:
+        added["pipeline"] = corpus_pipeline.ORACLE_SQL
     return {
+        **added,
         "scan_positions_csv": positions,
         "scan_positions_csv_inferred": positions,
         "project_positions": positions,
