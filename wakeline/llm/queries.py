@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wakeline.llm import chat, packing, quality, sharding
+from wakeline.llm import chat, langid, licenses, packing, quality, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,15 @@ def op3_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.numbered(digest, "shard", ["doc_id", "size", "text_crc32"], "slot")
 
 
+def op4_viterbi_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", langid.held_out(F.col("doc_id")))
+    model = langid.learned(docs.where("not held_out"))
+    found = langid.labelled(docs.select("doc_id", "held_out", "text"), model)
+    return found.select(
+        "doc_id", "held_out", F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"), F.size("language.spans").alias("n_spans")
+    )
+
+
 def tokenizer() -> tuple[str, str]:
     import public_tokenizers
 
@@ -65,12 +74,22 @@ def op7_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.formatted(with_conflict(table(spark, sf_dir, "conversations"))))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = licenses.scanned(docs, licenses.document_frequencies(docs, licenses.NOTICES))
+    plain = ("n_words", "n_base", "first_word", "last_word", "score")
+    joined = [F.array_join(f"license.{name}", ",").alias(name) for name in ("base_labels", "labels")]
+    return found.select("doc_id", *[F.col(f"license.{name}").alias(name) for name in plain], *joined)
+
+
 def queries() -> dict:
     return {
         "op1_quality_rules": op1_quality_rules,
         "op3_hash_tree_sharding": op3_hash_tree_sharding,
+        "op4_viterbi_language": op4_viterbi_language,
         "op5_binary_packing": op5_binary_packing,
         "op7_chat_round_trip": op7_chat_round_trip,
+        "op8_license_scan": op8_license_scan,
     }
 
 
