@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wakeline.llm import chat, langid, licenses, packing, quality, sharding
+from wakeline.llm import chat, decontaminate, langid, licenses, packing, quality, sharding, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_greedy_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "coverage", "matched", "item_tokens", F.size("tiles").alias("n_tiles"))
+
+
 def op3_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     sized = table(spark, sf_dir, "documents").select(
@@ -82,14 +87,67 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[F.col(f"license.{name}").alias(name) for name in plain], *joined)
 
 
+def crawl_records(pages: DataFrame) -> DataFrame:
+    """A crawl over the pages: a capture of each, and later requests that were answered 304.
+
+    Page numbers in URLs are cut to their last digit, so that many pages share one. A fifth of
+    the captures are errors. The second request of every third page carries a tag that does not
+    fit, and one of seven has no tag but a date only.
+    """
+    n, day = F.col("page_id"), F.lit("2024-01-01 00:00:00").cast("timestamp")
+    url = F.regexp_replace("url", r"/[0-9]*([0-9])([?#]|$)", "/$1$2")
+    print_ = F.md5(F.coalesce(F.col("html"), F.lit("")))
+    date = F.concat(F.lit("day "), (n % 28).cast("string"))
+
+    def after(seconds) -> Column:
+        return F.timestamp_micros(F.unix_micros(day) + (seconds * 1_000_000).cast("bigint"))
+
+    def record(shift: int, kind: str, status, at, url, headers) -> Column:
+        return F.struct(
+            (n * 3 + shift).alias("record_id"),
+            url.alias("url"),
+            at.alias("at"),
+            F.lit(kind).alias("kind"),
+            status.cast("int").alias("status"),
+            headers.alias("headers"),
+            print_.alias("digest"),
+        )
+
+    tag = F.concat(F.lit('"'), F.substring(print_, 1, 16), F.lit('"'))
+    text = F.lit("text/html")
+    capture = F.create_map(
+        F.lit("ETag"), tag, F.lit("Last-Modified"), date, F.lit("Content-Type"), text, F.lit("Content-Length"), F.length("html").cast("string")
+    )
+    first = F.create_map(F.lit("etag"), F.concat(F.lit("W/"), tag), F.lit("Cache-Control"), F.lit("max-age=60"), F.lit("Content-Length"), F.lit("0"))
+    second_tag = F.when(n % 3 == 0, F.lit('"other"')).otherwise(tag)
+    second = F.when(n % 7 == 0, F.create_map(F.lit("Last-Modified"), date, F.lit("Age"), F.lit("1"))).otherwise(
+        F.create_map(F.lit("ETag"), second_tag, F.lit("Age"), F.lit("2"))
+    )
+    ok = F.when(n % 5 == 4, F.lit(404)).otherwise(F.lit(200))
+    records = F.array(
+        record(0, "response", ok, after(n * 600), url, capture),
+        record(1, "revisit", F.lit(304), after(n * 600 + 5), F.concat(url, F.lit("#part")), first),
+        record(2, "revisit", F.lit(304), after(n * 600 + 90_000 * (n % 4)), url, second),
+    )
+    return pages.select(F.inline(records))
+
+
+def op10_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.resolved(crawl_records(table(spark, sf_dir, "pages")))
+    lines = F.transform("headers", lambda pair: F.concat(pair["name"], F.lit(": "), pair["value"]))
+    return found.withColumns({"headers": F.array_join(lines, "\n"), "at": F.unix_micros("at")}).withColumnRenamed("at", "micros")
+
+
 def queries() -> dict:
     return {
         "op1_quality_rules": op1_quality_rules,
+        "op2_greedy_tiling": op2_greedy_tiling,
         "op3_hash_tree_sharding": op3_hash_tree_sharding,
         "op4_viterbi_language": op4_viterbi_language,
         "op5_binary_packing": op5_binary_packing,
         "op7_chat_round_trip": op7_chat_round_trip,
         "op8_license_scan": op8_license_scan,
+        "op10_revisit_resolution": op10_revisit_resolution,
     }
 
 
