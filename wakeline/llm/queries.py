@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wakeline.llm import chat, decontaminate, langid, licenses, packing, quality, sharding, warc
+from wakeline.llm import chat, decontaminate, langid, licenses, packing, quality, sharding, substrings, warc
+
+from wakeline.llm.text import BLANKS
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,6 +89,12 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[F.col(f"license.{name}").alias(name) for name in plain], *joined)
 
 
+def op9_path_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), BLANKS, " "))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(kept.cast("binary"), 256).alias("kept_sha256"))
+
+
 def crawl_records(pages: DataFrame) -> DataFrame:
     """A crawl over the pages: a capture of each, and later requests that were answered 304.
 
@@ -147,6 +155,7 @@ def queries() -> dict:
         "op5_binary_packing": op5_binary_packing,
         "op7_chat_round_trip": op7_chat_round_trip,
         "op8_license_scan": op8_license_scan,
+        "op9_path_compaction": op9_path_compaction,
         "op10_revisit_resolution": op10_revisit_resolution,
     }
 
