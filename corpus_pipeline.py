@@ -1,19 +1,71 @@
-"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again."""
+"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again.
+
+Every stage works on all rows that the one before kept. All but the last return the columns
+``doc_id, text, lang, source, n_chars``; packing returns one row for each piece.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from wakeline.llm import decontaminate, langid, nearduplicates, queries, substrings
 from wakeline.llm.text import stored
 
-STAGES: list = []
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+# Below this share of letters in one language a text is a mixture without a main one.
+MIN_LANGUAGE_SHARE = 0.3
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without a letter, or without a main language, go."""
+    model = langid.learned(docs.where(~langid.held_out(F.col("doc_id"))))
+    found = langid.labelled(docs, model, name="_language")
+    known = (F.col("_language.lang") != langid.UNKNOWN) & (F.col("_language.score") >= MIN_LANGUAGE_SHARE)
+    return found.where(known).select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest ``doc_id`` of each group stays, once if its row is repeated."""
+    kept = nearduplicates.grouped(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    stays = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    return stays.dropDuplicates(["doc_id", "text"]).select(*COLUMNS)
+
+
+def repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words of spans that occur earlier go, and documents of which nothing is left."""
+    found = substrings.without_repeats(docs)
+    some_left = (F.col("n_words") == 0) | (F.col("n_removed") < F.col("n_words"))
+    n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))
+    return found.where(some_left).withColumn("n_chars", n_chars).select(*COLUMNS)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold most of a benchmark item go."""
+    found = decontaminate.contaminated(docs, queries.table(spark, sf_dir, "benchmark"))
+    bad = found.select(F.col("doc_id").alias("_bad"), F.col("text_hash").alias("_hash")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("_bad")) & (F.xxhash64("text") == F.col("_hash"))
+    return docs.join(bad, same, "left_anti").select(*COLUMNS)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return queries.packed_digest(docs)
+
+
+STAGES = [
+    ("language", language),
+    ("near-duplicates", near_duplicates),
+    ("repeated-spans", repeated_spans),
+    ("decontamination", decontamination),
+    ("packing", packing),
+]
 
-# Packing and the dedup stages have no equivalent in SQL; tests compare with brute force.
+# SQL has neither the tokenizer nor the language model; tests compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = queries.table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), name)
     return docs

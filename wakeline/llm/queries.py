@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wakeline.llm import chat, decontaminate, langid, licenses, packing, quality, sharding, substrings, warc
+from wakeline.llm import chat, decontaminate, langid, licenses, nearduplicates, packing, quality, sharding, substrings, warc
 
 from wakeline.llm.text import BLANKS
 
@@ -62,8 +62,11 @@ def tokenizer() -> tuple[str, str]:
 
 
 def op5_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.packed(table(spark, sf_dir, "documents"), *tokenizer())
-    return pieces.select(
+    return packed_digest(table(spark, sf_dir, "documents"))
+
+
+def packed_digest(docs: DataFrame) -> DataFrame:
+    return packing.packed(docs, *tokenizer()).select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket"
     )
 
@@ -77,6 +80,10 @@ def with_conflict(conversations: DataFrame) -> DataFrame:
     return conversations.select("conv_id", "turn", "role", "text").unionByName(added)
 
 
+def op6_bayesian_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearduplicates.grouped(table(spark, sf_dir, "documents"), nearduplicates.Settings(shingle=4))
+
+
 def op7_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.formatted(with_conflict(table(spark, sf_dir, "conversations"))))
 
@@ -153,6 +160,7 @@ def queries() -> dict:
         "op3_hash_tree_sharding": op3_hash_tree_sharding,
         "op4_viterbi_language": op4_viterbi_language,
         "op5_binary_packing": op5_binary_packing,
+        "op6_bayesian_minhash": op6_bayesian_minhash,
         "op7_chat_round_trip": op7_chat_round_trip,
         "op8_license_scan": op8_license_scan,
         "op9_path_compaction": op9_path_compaction,

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+from functools import cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -60,11 +62,19 @@ def window_hashes(hashes: np.ndarray, size: int, start: int = 0) -> np.ndarray:
     return mix(total)
 
 
+@cache
+def own_folder() -> tempfile.TemporaryDirectory:
+    """A folder of this process, which goes when it ends."""
+    return tempfile.TemporaryDirectory(prefix="corpus-")
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder name in the folder that all executors share."""
+    """A new folder name in ``spark.checkpoint.dir``; only a local session may leave that unset."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        shared = own_folder().name
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
