@@ -18,16 +18,13 @@ from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 from wakeline.operators import aggregate, clean, report, sampling, trajectory  # noqa: E402
-from wakeline.operators.cuts import find_cuts  # noqa: E402
 from wakeline.params import DEFAULTS, RouteParams  # noqa: E402
 from wakeline.plans import edges, steps, summary, top_routes, totals  # noqa: E402
 from wakeline.sources import (  # noqa: E402
     as_raw,
-    positions_csv,
     positions_events,
+    positions_lines,
     project_raw,
-    scratch_folder,
-    write_positions_csv,
 )
 
 try:  # the corpus operators are an optional part
@@ -52,15 +49,60 @@ def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.clean(positions_events(spark, sf_dir))
 
 
-def csv_round_trip(infer: bool) -> Query:
+# A short stretch cuts the histories of the test tables at many places.
+NARROW = replace(DEFAULTS, stretch_seconds=3600)
+CSV_HEADER = "# Timestamp,MMSI,Latitude,Longitude,event_id"
+
+
+def csv_lines(infer: bool = False, untidy: bool = False) -> Query:
+    """Positions parsed from CSV lines made of the events, some with blanks and decimals in them."""
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        path = scratch_folder(spark, "positions-csv")
-        write_positions_csv(positions_events(spark, sf_dir), path)
-        return positions_csv(spark, path, infer=infer)
+        raw = as_raw(positions_events(spark, sf_dir))
+        if untidy:
+            number = F.col("event_id").cast("bigint") % 4
+            mmsi = F.when(number == 1, F.concat("MMSI", F.lit(".0"))).when(number == 2, F.concat(F.lit(" "), "MMSI"))
+            bad = F.col("event_id").cast("bigint") % 50 == 7
+            raw = raw.withColumns(
+                {
+                    "MMSI": F.when(bad, F.lit("none")).otherwise(mmsi.when(number == 3, F.concat("MMSI", F.lit(" "))).otherwise(F.col("MMSI"))),
+                    "Latitude": F.concat(F.lit(" "), "Latitude"),
+                    "Longitude": F.concat("Longitude", F.lit(" ")),
+                }
+            )
+        texts = [F.coalesce(F.col(f"`{name}`"), F.lit("")) for name in CSV_HEADER.split(",")]
+        return positions_lines(raw.select(F.concat_ws(",", *texts).alias("line")), CSV_HEADER, infer)
 
     return run
 
 
+def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cleaned positions with times cut to the hour, so that many share one."""
+    return cleaned(spark, sf_dir).withColumn("timestamp", F.date_trunc("hour", "timestamp").cast("timestamp_ntz"))
+
+
+def bernoulli_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What holds for every Bernoulli sample of the cleaned positions, as one row of truths."""
+    positions = cleaned(spark, sf_dir)
+
+    def marked(rows: DataFrame, name: str) -> DataFrame:
+        marks = [F.lit(int(name == other)).alias(other) for other in ("given", "drawn", "again")]
+        return rows.select("event_id", *marks)
+
+    rows = marked(positions, "given")
+    for name in ("drawn", "again"):
+        rows = rows.unionByName(marked(sampling.bernoulli(positions), name))
+    counts = rows.groupBy("event_id").agg(*[F.sum(name).alias(name) for name in ("given", "drawn", "again")])
+    share, fraction = F.sum("drawn") / F.sum("given"), DEFAULTS.sample_fraction
+    band = F.lit(5.0) * F.sqrt(F.lit(fraction * (1 - fraction)) / F.sum("given"))
+    return counts.agg(
+        (F.abs(share - F.lit(fraction)) <= band).alias("share_in_band"),
+        F.bool_and(F.col("drawn") <= F.col("given")).alias("drawn_from_input"),
+        (F.max("drawn") <= 1).alias("none_twice"),
+        F.bool_and(F.col("drawn") == F.col("again")).alias("same_again"),
+    )
+
+
 def project_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return project_raw(as_raw(positions_events(spark, sf_dir)))
 
@@ -84,16 +126,37 @@ def vessel_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vessel_distance_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same totals with every vessel cut into many window partitions."""
-    positions = cleaned(spark, sf_dir)
-    cuts = find_cuts(positions, pieces=2000, min_rows=5, per_piece=4)
-    return rounded(totals(positions, cuts=cuts), "total_distance_km")
+    """The same totals with every history cut into many stretches."""
+    return rounded(totals(cleaned(spark, sf_dir), NARROW), "total_distance_km")
+
+
+def vessel_distance_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same totals from the rows of all steps."""
+    kept = trajectory.drop_jumps(edges(cleaned(spark, sf_dir)))
+    return rounded(aggregate.vessel_distance(kept), "total_distance_km")
 
 
 def run_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregate.run_counts(summary(cleaned(spark, sf_dir)))
+
+
+def sample_run_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregate.run_counts(summary(sampling.by_hash(cleaned(spark, sf_dir))))
 
 
+def top_vessels_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(top_routes(hourly(spark, sf_dir)), "total_distance_km")
+
+
+def whole_report(params: RouteParams, fraction: float | None = None) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        positions = cleaned(spark, sf_dir)
+        sample = positions if fraction is None else sampling.by_hash(positions, fraction)
+        return report.whole_report(summary(sample, params), params, fraction)
+
+    return run
+
+
 def run_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(aggregate.moved(summary(cleaned(spark, sf_dir))), "total_distance_km")
 
@@ -146,29 +209,41 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    added = {**corpus.queries(), "pipeline": corpus_pipeline.run} if corpus and corpus_pipeline else {}
+    added = {**corpus.queries(), "pipeline": corpus_pipeline.run} if corpus else {}
+    return {**added, **own_queries()}
+
+
+def own_queries() -> dict[str, Query]:
     return {
-        **added,
-        "scan_positions_csv": csv_round_trip(infer=False),
-        "scan_positions_csv_inferred": csv_round_trip(infer=True),
+        "scan_positions_csv": csv_lines(),
+        "scan_positions_csv_inferred": csv_lines(infer=True),
+        "scan_positions_csv_untidy": csv_lines(untidy=True),
+        "scan_positions_csv_untidy_inferred": csv_lines(infer=True, untidy=True),
         "project_positions": project_positions,
         "filter_not_null": lambda spark, sf: clean.not_null(positions_events(spark, sf)),
         "filter_coord_bounds": lambda spark, sf: clean.in_bounds(positions_events(spark, sf)),
         "clean_positions": cleaned,
         "sample_hash": lambda spark, sf: sampling.by_hash(cleaned(spark, sf)),
-        "sample_bernoulli": lambda spark, sf: sampling.bernoulli(cleaned(spark, sf)),
+        "sample_bernoulli": bernoulli_checked,
         "sample_profile": lambda spark, sf: aggregate.profile(sampling.by_hash(cleaned(spark, sf))),
-        "distinct_vessels": lambda spark, sf: aggregate.distinct_vessels(sampling.by_hash(cleaned(spark, sf))),
+        "sample_distinct_vessels": lambda spark, sf: aggregate.distinct_vessels(sampling.by_hash(cleaned(spark, sf))),
+        "sample_run_counts": sample_run_counts,
+        "profile": lambda spark, sf: aggregate.profile(cleaned(spark, sf)),
+        "distinct_vessels": lambda spark, sf: aggregate.distinct_vessels(cleaned(spark, sf)),
         "lag_prev_position": lambda spark, sf: steps(cleaned(spark, sf)),
+        "lag_prev_position_cut": lambda spark, sf: steps(cleaned(spark, sf), NARROW),
+        "lag_prev_position_ties": lambda spark, sf: steps(hourly(spark, sf), NARROW),
         "coord_deltas": coord_deltas,
         "edge_distance": edge_distance,
         "drop_jumps": drop_jumps,
         "vessel_distance": vessel_distance,
         "vessel_distance_cut": vessel_distance_cut,
+        "vessel_distance_steps": vessel_distance_steps,
         "vessels_count": lambda spark, sf: aggregate.vessels_count(totals(cleaned(spark, sf))),
         "run_counts": run_counts,
         "run_totals": run_totals,
         "top_vessels": top_vessels,
+        "top_vessels_ties": top_vessels_ties,
         "sampled_top_vessels": sampled_top_vessels,
         "longest_route": longest_route,
         "realistic_of_top": realistic_of_top,
@@ -179,6 +254,9 @@ def queries() -> dict[str, Query]:
         "report_lines": report_lines,
         "report_headlines": report_headlines(DEFAULTS),
         "report_headlines_mixed": report_headlines(MIXED),
+        "whole_report": whole_report(DEFAULTS),
+        "whole_report_mixed": whole_report(MIXED),
+        "whole_report_sampled": whole_report(DEFAULTS, HALF),
     }
 
 
@@ -201,15 +279,16 @@ PRESENT = 'mmsi IS NOT NULL AND latitude IS NOT NULL AND longitude IS NOT NULL A
 IN_BOUNDS = "latitude BETWEEN -90 AND 90 AND longitude BETWEEN -180 AND 180"
 
 
-def with_clean(threshold: str | None = None) -> str:
+def with_clean(threshold: str | None = None, time: str = '"timestamp"') -> str:
     sampled = f" AND substring(md5(CAST(event_id AS VARCHAR)), 1, 8) < '{threshold}'" if threshold else ""
     return f"""{WITH_POSITIONS}, cleaned AS (
-  SELECT * FROM positions WHERE {PRESENT} AND {IN_BOUNDS}{sampled}
+  SELECT event_id, mmsi, {time} AS "timestamp", latitude, longitude
+  FROM positions WHERE {PRESENT} AND {IN_BOUNDS}{sampled}
 )"""
 
 
-def with_steps(threshold: str | None = None) -> str:
-    return f"""{with_clean(threshold)}, paired AS (
+def with_steps(threshold: str | None = None, time: str = '"timestamp"') -> str:
+    return f"""{with_clean(threshold, time)}, paired AS (
   SELECT *, lag(latitude) OVER w AS prev_lat, lag(longitude) OVER w AS prev_lon FROM cleaned
   WINDOW w AS (PARTITION BY mmsi ORDER BY "timestamp", latitude, longitude, event_id)
 ), steps AS (
@@ -229,8 +308,8 @@ def with_steps(threshold: str | None = None) -> str:
 )"""
 
 
-def with_ranked(km: int) -> str:
-    return f"""{with_steps()}, ranked AS (
+def with_ranked(km: int, threshold: str | None = None) -> str:
+    return f"""{with_steps(threshold)}, ranked AS (
   SELECT row_number() OVER (ORDER BY total_distance_km DESC, mmsi) AS rank,
     CASE WHEN total_distance_km <= {km} THEN 'OK' ELSE 'CHECK' END AS status,
     mmsi, total_distance_km, position_count
@@ -244,8 +323,8 @@ SELECT mmsi, round(total_distance_km, 6) AS total_distance_km, total_distance_km
 FROM top ORDER BY total_distance_km <= {km} DESC, total_distance_km DESC, mmsi LIMIT 1"""
 
 
-def headlines_sql(km: int) -> str:
-    return f"""{with_ranked(km)}, best AS (
+def with_headlines(km: int, threshold: str | None = None) -> str:
+    return f"""{with_ranked(km, threshold)}, best AS (
   SELECT * FROM ranked WHERE rank = 1
 ), good AS (
   SELECT * FROM ranked WHERE status = 'OK' ORDER BY rank LIMIT 1
@@ -268,22 +347,62 @@ def headlines_sql(km: int) -> str:
   UNION ALL SELECT 14, printf('MMSI: %d', mmsi) FROM doubtful
   UNION ALL SELECT 15, printf('Distance: %.2f km', total_distance_km) FROM doubtful
   UNION ALL SELECT 16, 'No vessel routes found in the sample.' WHERE NOT EXISTS (SELECT * FROM best)
+)"""
+
+
+def headlines_sql(km: int) -> str:
+    return f"{with_headlines(km)} SELECT row_number() OVER (ORDER BY place) AS line_no, line FROM lines"
+
+
+RANKING_SQL = """printf('%2d. %s MMSI: %d | Distance: %6.2f km | Reports: ', rank, status, mmsi, total_distance_km)
+  || repeat(' ', greatest(0, 4 - length(format('{:,}', position_count)))) || format('{:,}', position_count)"""
+
+
+def whole_report_sql(km: int, threshold: str | None = None, percent: int | None = None) -> str:
+    sampled = "FALSE" if percent is None else "TRUE"
+    return f"""{with_headlines(km, threshold)}, all_lines AS (
+  SELECT 0 AS part, 0 AS place, 'Taking {percent}.0% sample for processing...' AS line WHERE {sampled}
+  UNION ALL SELECT 0, 1, 'Sample size: ' || format('{{:,}}', count(*)) || ' records' FROM cleaned
+  UNION ALL SELECT 0, 2, 'Vessels in sample: ' || format('{{:,}}', count(DISTINCT mmsi)) FROM cleaned
+  UNION ALL SELECT 0, 3, 'Calculated distances for ' || format('{{:,}}', count(*)) || ' vessels' FROM totals
+  UNION ALL SELECT 1, place, line FROM lines
+  UNION ALL SELECT 2, 0, 'TOP 10 VESSELS BY DISTANCE:' FROM best
+  UNION ALL SELECT 3, rank, {RANKING_SQL} FROM ranked
+  UNION ALL SELECT 4, 0, 'Notes:' FROM best
+  UNION ALL SELECT 4, 1, '- OK = Realistic route (under 1000 km/day)' FROM best
+  UNION ALL SELECT 4, 2, '- CHECK = May contain GPS errors' FROM best
+  UNION ALL SELECT 4, 3, '- Analysis based on {percent}% sample of full dataset' FROM best WHERE {sampled}
 )
-SELECT row_number() OVER (ORDER BY place) AS line_no, line FROM lines"""
+SELECT row_number() OVER (ORDER BY part, place) AS line_no, line FROM all_lines"""
+
+
+def counts_sql(threshold: str | None = None) -> str:
+    return f"""{with_steps(threshold)}
+SELECT (SELECT count(*) FROM cleaned) AS total_records,
+  (SELECT count(DISTINCT mmsi) FROM cleaned) AS unique_vessels,
+  (SELECT count(*) FROM totals) AS vessels"""
 
 
 def oracle_sql() -> dict[str, str]:
+    added = corpus.oracle_sql() if corpus else {}
+    if corpus and corpus_pipeline.ORACLE_SQL:
+        added["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return {**added, **own_oracle_sql()}
+
+
+def own_oracle_sql() -> dict[str, str]:
     position = 'event_id, mmsi, "timestamp", latitude, longitude'
     route = "mmsi, round(total_distance_km, 6) AS total_distance_km, position_count"
     positions = f"{WITH_POSITIONS} SELECT {position} FROM positions"
+    untidy = f"""{WITH_POSITIONS}
+SELECT event_id, CASE WHEN event_id % 50 <> 7 THEN mmsi END AS mmsi, "timestamp", latitude, longitude FROM positions"""
+    hour = """date_trunc('hour', "timestamp")"""
     vessel_totals = f"{with_steps()} SELECT {route} FROM totals"
-    added = corpus.oracle_sql() if corpus else {}
-    if corpus_pipeline and corpus_pipeline.ORACLE_SQL:
-        added["pipeline"] = corpus_pipeline.ORACLE_SQL
     return {
-        **added,
         "scan_positions_csv": positions,
         "scan_positions_csv_inferred": positions,
+        "scan_positions_csv_untidy": untidy,
+        "scan_positions_csv_untidy_inferred": untidy,
         "project_positions": positions,
         "filter_not_null": f"{positions} WHERE {PRESENT}",
         "filter_coord_bounds": f"{positions} WHERE {IN_BOUNDS}",
@@ -291,8 +410,13 @@ def oracle_sql() -> dict[str, str]:
         "sample_hash": f"{with_clean('19999999')} SELECT {position} FROM cleaned",
         "sample_profile": f"""{with_clean('19999999')}
 SELECT count(*) AS total_records, count(DISTINCT mmsi) AS unique_vessels FROM cleaned""",
-        "distinct_vessels": f"{with_clean('19999999')} SELECT DISTINCT mmsi FROM cleaned",
+        "sample_bernoulli": "SELECT TRUE AS share_in_band, TRUE AS drawn_from_input, TRUE AS none_twice, TRUE AS same_again",
+        "sample_distinct_vessels": f"{with_clean('19999999')} SELECT DISTINCT mmsi FROM cleaned",
+        "profile": f"{with_clean()} SELECT count(*) AS total_records, count(DISTINCT mmsi) AS unique_vessels FROM cleaned",
+        "distinct_vessels": f"{with_clean()} SELECT DISTINCT mmsi FROM cleaned",
         "lag_prev_position": f"{with_steps()} SELECT {position}, prev_lat, prev_lon FROM steps",
+        "lag_prev_position_cut": f"{with_steps()} SELECT {position}, prev_lat, prev_lon FROM steps",
+        "lag_prev_position_ties": f"{with_steps(time=hour)} SELECT {position}, prev_lat, prev_lon FROM steps",
         "coord_deltas": f"{with_steps()} SELECT event_id, mmsi, lat_diff, lon_diff FROM deltas",
         "edge_distance": f"""{with_steps()}
 SELECT event_id, mmsi, round(distance_km, 6) AS distance_km FROM edges""",
@@ -300,13 +424,13 @@ SELECT event_id, mmsi, round(distance_km, 6) AS distance_km FROM edges""",
 SELECT event_id, mmsi, round(distance_km, 6) AS distance_km FROM kept""",
         "vessel_distance": vessel_totals,
         "vessel_distance_cut": vessel_totals,
+        "vessel_distance_steps": vessel_totals,
         "vessels_count": f"{with_steps()} SELECT count(*) AS vessels FROM totals",
-        "run_counts": f"""{with_steps('19999999')}
-SELECT (SELECT count(*) FROM cleaned) AS total_records,
-  (SELECT count(DISTINCT mmsi) FROM cleaned) AS unique_vessels,
-  (SELECT count(*) FROM totals) AS vessels""",
+        "run_counts": counts_sql(),
+        "sample_run_counts": counts_sql("19999999"),
         "run_totals": vessel_totals,
         "top_vessels": f"{with_steps()} SELECT {route} FROM top",
+        "top_vessels_ties": f"{with_steps(time=hour)} SELECT {route} FROM top",
         "sampled_top_vessels": f"{with_steps('80000000')} SELECT {route} FROM top",
         "longest_route": f"{with_steps()} SELECT {route} FROM top ORDER BY top.total_distance_km DESC, mmsi LIMIT 1",
         "realistic_of_top": f"{with_steps()} SELECT {route} FROM top WHERE top.total_distance_km <= 1320",
@@ -317,10 +441,10 @@ FROM top WHERE top.total_distance_km <= 1320 ORDER BY top.total_distance_km DESC
         "route_answer_mixed": answer_sql(1320),
         "status_rank": f"""{with_ranked(1320)}
 SELECT rank, status, mmsi, round(total_distance_km, 6) AS total_distance_km, position_count FROM ranked""",
-        "report_lines": f"""{with_ranked(1320)}
-SELECT rank, printf('%2d. %s MMSI: %d | Distance: %6.2f km | Reports: ', rank, status, mmsi, total_distance_km)
-  || repeat(' ', greatest(0, 4 - length(format('{{:,}}', position_count)))) || format('{{:,}}', position_count) AS line
-FROM ranked""",
+        "report_lines": f"{with_ranked(1320)} SELECT rank, {RANKING_SQL} AS line FROM ranked",
         "report_headlines": headlines_sql(1000),
         "report_headlines_mixed": headlines_sql(1320),
+        "whole_report": whole_report_sql(1000),
+        "whole_report_mixed": whole_report_sql(1320),
+        "whole_report_sampled": whole_report_sql(1000, "80000000", 50),
     }

@@ -4,7 +4,6 @@ import pytest
 from fixtures import EDGES, REPORTS, START, TOTALS, at, positions
 
 from wakeline.operators.clean import clean, in_bounds, not_null
-from wakeline.operators.cuts import find_cuts
 from wakeline.operators.trajectory import drop_jumps
 from wakeline.params import RouteParams
 from wakeline.plans import edges, totals
@@ -31,13 +30,11 @@ def test_cleaning(spark):
     assert in_bounds(raw).count() == 21  # NaN and null are in no range
 
 
-@pytest.mark.parametrize("forced", [False, True])
-def test_edges_and_totals(spark, forced):
-    cleaned = clean(positions(spark))
-    cuts = find_cuts(cleaned, pieces=21, min_rows=1, per_piece=1) if forced else None
-    assert (cuts is not None) == forced
-    assert lengths(edges(cleaned, cuts=cuts)) == EDGES
-    assert routes(totals(cleaned, cuts=cuts)) == TOTALS
+@pytest.mark.parametrize("seconds", [1, 2, 86_400])
+def test_edges_and_totals(spark, seconds):
+    cleaned, params = clean(positions(spark)), RouteParams(stretch_seconds=seconds)
+    assert lengths(edges(cleaned, params)) == EDGES
+    assert routes(totals(cleaned, params)) == TOTALS
 
 
 def test_schemas(spark):

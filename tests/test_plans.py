@@ -8,9 +8,7 @@ import __spark_entry__ as registry
 from conftest import TESTDATA
 from wakeline.operators import aggregate
 from wakeline.operators.clean import clean
-from wakeline.operators.cuts import find_cuts
-from wakeline.operators.report import top
-from wakeline.plans import summary, top_routes, totals
+from wakeline.plans import edges, steps, summary, top_routes, totals
 
 SF = f"{TESTDATA}/sf0.01"
 
@@ -34,22 +32,48 @@ def stored(spark, tmp_path):
     return clean(spark.read.parquet(path))
 
 
-def test_whole_answer_is_one_scan_one_shuffle_one_window(static_plans, stored):
-    plan = static_plans(top_routes(stored, cuts=None))
+@pytest.fixture
+def jobs(spark):
+    """How many jobs some code runs."""
+    tracker, group = spark.sparkContext.statusTracker(), "counted-jobs"
+
+    def counted(work):
+        spark.sparkContext.setJobGroup(group, group)
+        before = len(tracker.getJobIdsForGroup(group))
+        work()
+        return len(tracker.getJobIdsForGroup(group)) - before
+
+    yield counted
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_building_a_plan_runs_no_job(jobs, stored):
+    for build in (steps, edges, totals, summary, top_routes):
+        assert jobs(lambda: build(stored)) == 0
+
+
+def test_whole_answer_is_one_scan_and_counts_copies_before_it_shuffles(static_plans, stored):
+    plan = static_plans(top_routes(stored))
     assert count(plan, "FileScan") == 1
-    assert count(plan, "Exchange") == 1
-    assert count(plan, "Window") == 1
-    assert count(plan, "Sort") == 1
+    assert count(plan, "Exchange") == 3  # distinct reports, stretches of a vessel, one row per stretch
+    assert count(plan, "Window") == 2
     assert count(plan, "TakeOrderedAndProject") == 1
+    assert re.search(r"partial_count\(1\)", plan)
 
 
-def test_whole_run_is_one_scan_one_shuffle_one_window(static_plans, stored):
-    plan = static_plans(summary(stored, cuts=None))
-    assert [count(plan, name) for name in ("FileScan", "Exchange", "Window")] == [1, 1, 1]
+def test_whole_run_is_one_scan(static_plans, stored):
+    plan = static_plans(summary(stored))
+    assert [count(plan, name) for name in ("FileScan", "Exchange", "Window")] == [1, 3, 2]
+
+
+def test_step_rows_shuffle_the_reports_once(static_plans, stored):
+    plan = static_plans(steps(stored.drop("unused")))
+    assert count(plan, "FileScan") == 1
+    assert count(plan, "ReusedExchange") == 1
 
 
 def test_filters_and_columns_reach_the_scan(static_plans, stored):
-    plan = static_plans(top_routes(stored, cuts=None))
+    plan = static_plans(top_routes(stored))
     pushed = re.search(r"PushedFilters: \[(.*?)\]", plan).group(1)
     for name in ("mmsi", "timestamp", "latitude", "longitude"):
         assert f"IsNotNull({name})" in pushed
@@ -58,16 +82,6 @@ def test_filters_and_columns_reach_the_scan(static_plans, stored):
     assert columns == "mmsi:bigint,timestamp:timestamp_ntz,latitude:double,longitude:double"
 
 
-def test_cut_plan_shuffles_the_reports_once(static_plans, stored):
-    cuts = find_cuts(stored, pieces=2000, min_rows=5, per_piece=4)
-    plan = static_plans(top(totals(stored, cuts=cuts)))
-    assert count(plan, "FileScan") == 1
-    assert count(plan, "Window") == 1
-    assert count(plan, "Exchange") == 2  # the second one carries partial sums
-    assert count(plan, "BroadcastHashJoin") == 2
-    assert re.search(r"partial_sum\(distance_km", plan)
-
-
 def test_profile_is_one_scan(static_plans, stored):
     plan = static_plans(aggregate.profile(stored))
     assert count(plan, "FileScan") == 1
@@ -75,7 +89,7 @@ def test_profile_is_one_scan(static_plans, stored):
 
 
 def test_no_python_and_no_cross_join_anywhere(spark, static_plans):
-    for query in registry.queries().values():
+    for query in registry.own_queries().values():
         plan = static_plans(query(spark, SF))
         for word in ("Python", "Arrow", "CartesianProduct", "BroadcastNestedLoopJoin"):
             assert word not in plan

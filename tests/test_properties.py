@@ -12,7 +12,8 @@ from conftest import TESTDATA
 from oracle import from_spark
 from wakeline.operators import aggregate, report, sampling
 from wakeline.operators.clean import clean
-from wakeline.operators.cuts import find_cuts
+from wakeline.operators.trajectory import drop_jumps
+from wakeline.params import RouteParams
 from wakeline.plans import edges, summary, top_routes, totals
 from wakeline.schema import POSITION
 
@@ -76,24 +77,25 @@ def test_bernoulli_sample_is_repeatable_and_about_the_fraction(spark):
     assert "Sample 0.0, 0.1, false, 42" in sampling.bernoulli(cleaned)._jdf.queryExecution().toString()
 
 
-def test_sampled_routes_with_cuts(spark):
-    sample = sampling.by_hash(registry.cleaned(spark, f"{TESTDATA}/sf0.01"), 0.5)
-    cuts = find_cuts(sample, pieces=1000, min_rows=1, per_piece=2)
-    near(sorted_totals(totals(sample, cuts=cuts)), sorted_totals(totals(sample, cuts=None)))
+def test_hash_sample_keeps_null_keys_together(spark):
+    rows = spark.createDataFrame([(None, n, 1.0) for n in range(50)], "event_id bigint, mmsi bigint, latitude double")
+    assert sampling.by_hash(rows, 0.99999).count() == 50
+    assert sampling.by_hash(rows, 0.0).count() == 0
+    assert 5 < sampling.by_hash(rows.drop("event_id"), 0.5).count() < 45
+    assert sampling.by_hash(rows, 0.5, key="mmsi").count() == sampling.by_hash(rows.select("mmsi"), 0.5, key="mmsi").count()
 
 
-def test_bernoulli_sample_with_cuts(spark):
-    sample = sampling.bernoulli(registry.cleaned(spark, f"{TESTDATA}/sf0.1"))
-    cuts = find_cuts(sample, pieces=5000, min_rows=1, per_piece=2)
-    near(sorted_totals(totals(sample, cuts=cuts)), sorted_totals(totals(sample, cuts=None)))
+@pytest.mark.parametrize("draw", [lambda df: sampling.by_hash(df, 0.5), sampling.bernoulli])
+def test_sampled_routes_in_short_stretches(spark, draw):
+    sample = draw(registry.cleaned(spark, f"{TESTDATA}/sf0.01"))
+    near(sorted_totals(totals(sample, RouteParams(stretch_seconds=60))), sorted_totals(totals(sample)))
 
 
-@pytest.mark.parametrize("forced", [False, True])
-def test_summary_holds_the_counts_and_the_totals(spark, forced):
+@pytest.mark.parametrize("seconds", [1, 86_400])
+def test_summary_holds_the_counts_and_the_totals(spark, seconds):
     positions = clean(positions_of_fixture(spark))
-    cuts = find_cuts(positions, pieces=21, min_rows=1, per_piece=1) if forced else None
-    rows = summary(positions, cuts=cuts)
-    near(sorted_totals(aggregate.moved(rows)), sorted_totals(totals(positions, cuts=None)))
+    rows = summary(positions, RouteParams(stretch_seconds=seconds))
+    near(sorted_totals(aggregate.moved(rows)), sorted_totals(aggregate.vessel_distance(drop_jumps(edges(positions)))))
     counted = tuple(aggregate.run_counts(rows).collect()[0])
     assert counted == (*aggregate.profile(positions).collect()[0], aggregate.vessels_count(totals(positions)).collect()[0][0])
     assert counted == (21, 8, 3)
@@ -116,7 +118,7 @@ def test_empty_input(spark):
     assert report.ranking_lines(report.status_rank(top_routes(cleaned))).count() == 0
 
 
-@pytest.mark.parametrize("name", sorted(registry.queries()))
+@pytest.mark.parametrize("name", sorted(registry.own_queries()))
 def test_query_has_a_stable_schema(spark, name):
-    query = registry.queries()[name]
+    query = registry.own_queries()[name]
     assert query(spark, SF).schema == query(spark, SF).schema

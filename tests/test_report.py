@@ -85,6 +85,60 @@ def test_headlines_without_routes(spark):
     assert texts(report.headlines(routes(spark))) == ["No vessel routes found in the sample."]
 
 
+@pytest.mark.parametrize("km,text", [(1.005, "1.00"), (0.125, "0.12"), (2.675, "2.67"), (999.995, "1000.00"), (999.994, "999.99")])
+def test_distances_round_the_exact_value(spark, km, text):
+    lines = texts(report.headlines(routes(spark, (1, km, 1))))
+    assert f"{km:.2f}" == text and f"Distance: {text} km" in lines
+    ranking = texts(report.ranking_lines(report.status_rank(routes(spark, (1, km, 1)))))
+    assert f"Distance: {km:6.2f} km" in ranking[0]
+
+
+def test_speeds_round_the_exact_value(spark):
+    assert "Average speed: 0.2 km/h" in texts(report.headlines(routes(spark, (1, 6.0, 1))))
+
+
+def summary_of(spark, *rows):
+    return spark.createDataFrame(list(rows), "mmsi bigint, reports bigint, total_distance_km double, position_count bigint")
+
+
+def test_whole_report(spark):
+    rows = summary_of(spark, (1, 1500, 900.5, 1400), (2, 7, None, 0), (3, 2, 1200.0, 1))
+    assert texts(report.whole_report(rows, fraction=0.1)) == [
+        "Taking 10.0% sample for processing...",
+        "Sample size: 1,509 records",
+        "Vessels in sample: 3",
+        "Calculated distances for 2 vessels",
+        "LONGEST ROUTE:",
+        "MMSI: 3",
+        "Distance: 1200.00 km",
+        "Position reports: 1",
+        "REALISTIC LONGEST ROUTE:",
+        "MMSI: 1",
+        "Distance: 900.50 km",
+        "Position reports: 1,400",
+        "Average speed: 37.5 km/h",
+        "ASSIGNMENT ANSWER:",
+        "Vessel with longest route: MMSI 1",
+        "Total distance traveled: 900.50 km",
+        "TOP 10 VESSELS BY DISTANCE:",
+        " 1. CHECK MMSI: 3 | Distance: 1200.00 km | Reports:    1",
+        " 2. OK MMSI: 1 | Distance: 900.50 km | Reports: 1,400",
+        "Notes:",
+        "- OK = Realistic route (under 1000 km/day)",
+        "- CHECK = May contain GPS errors",
+        "- Analysis based on 10% sample of full dataset",
+    ]
+
+
+def test_whole_report_without_routes(spark):
+    assert texts(report.whole_report(summary_of(spark, (2, 7, None, 0)))) == [
+        "Sample size: 7 records",
+        "Vessels in sample: 1",
+        "Calculated distances for 0 vessels",
+        "No vessel routes found in the sample.",
+    ]
+
+
 @pytest.mark.parametrize("step", [report.longest, report.realistic, report.realistic_longest, report.answer, report.status_rank])
 def test_no_routes_give_no_rows(spark, step):
     assert step(routes(spark)).count() == 0

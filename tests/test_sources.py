@@ -1,6 +1,4 @@
 import datetime as dt
-import os
-
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,8 +6,8 @@ from conftest import TESTDATA
 from oracle import from_spark
 from wakeline.functions.columns import format_report_time, parse_report_time
 from wakeline.operators.clean import clean
-from wakeline.plans import totals
-from wakeline.sources import positions_csv, positions_events, read_raw_csv, scratch_folder, write_positions_csv
+from wakeline.plans import edges, totals
+from wakeline.sources import columns_of, positions_csv, positions_events, read_raw_csv, write_positions_csv
 
 HEADER = "# Timestamp,Type of mobile,MMSI,Latitude,Longitude,Speed\n"
 
@@ -26,7 +24,7 @@ def raw_file(tmp_path):
 
 def test_columns_are_found_by_name(spark, raw_file):
     path = raw_file("04/05/2024 00:00:01,Class A,219000001,55.5,10.25,3.5")
-    row = positions_csv(spark, path).drop("event_id").collect()[0]
+    row = positions_csv(spark, path).collect()[0]
     assert tuple(row) == (219000001, dt.datetime(2024, 5, 4, 0, 0, 1), 55.5, 10.25)
     assert read_raw_csv(spark, path).columns == HEADER.strip().split(",")
 
@@ -63,11 +61,39 @@ def test_files_with_another_header_are_refused(spark, tmp_path):
         positions_csv(spark, str(tmp_path)).collect()
 
 
-def test_cleaning_reaches_the_parser(spark, raw_file):
-    header = HEADER.replace("Speed", "event_id")
-    path = raw_file("04/05/2024 00:00:01,A,219000001,55.5,10.25,1", header=header)
-    plan = clean(positions_csv(spark, path))._jdf.queryExecution().executedPlan().toString()
-    assert "GreaterThanOrEqual(Latitude,-90.0)" in plan and "IsNotNull(# Timestamp)" in plan
+@pytest.mark.parametrize("derived", [clean, lambda df: edges(clean(df)), lambda df: totals(clean(df))])
+def test_cleaning_reaches_the_parser(spark, raw_file, derived):
+    path = raw_file("04/05/2024 00:00:01,A,219000001,55.5,10.25,1")
+    plan = derived(positions_csv(spark, path))._jdf.queryExecution().executedPlan().toString()
+    pushed = [part.split("]")[0] for part in plan.split("PushedFilters: [")[1:]]
+    for part in pushed:
+        for wanted in ("GreaterThanOrEqual(Latitude,-90.0)", "LessThanOrEqual(Longitude,180.0)", "IsNotNull(# Timestamp)"):
+            assert wanted in part
+    assert pushed and "monotonically" not in plan
+
+
+UNTIDY = ["219000001", "219000001.0", " 219000001", "219000001 ", " 219000001.00 "]
+MALFORMED = ["", "none", "219000001.5", "2190 00001", "1e400"]
+
+
+@pytest.mark.parametrize("infer", [False, True])
+def test_untidy_numbers_are_kept_and_malformed_ones_dropped(spark, raw_file, infer):
+    lines = [f"04/05/2024 00:00:{n:02},A,{mmsi}, 55.5,10.25 ,1" for n, mmsi in enumerate(UNTIDY + MALFORMED)]
+    kept = clean(positions_csv(spark, raw_file(*lines), infer=infer)).collect()
+    assert [(row["mmsi"], row["latitude"], row["longitude"]) for row in kept] == [(219000001, 55.5, 10.25)] * len(UNTIDY)
+
+
+@pytest.mark.parametrize("infer", [False, True])
+def test_columns_of_whole_doubles_are_numbers(spark, raw_file, infer):
+    lines = [f"04/05/2024 00:00:0{n},A,{mmsi},55.5,10.25,1" for n, mmsi in enumerate(["219000001.0", "219000002", "219000003.5"])]
+    kept = clean(positions_csv(spark, raw_file(*lines), infer=infer)).collect()
+    assert [row["mmsi"] for row in kept] == [219000001, 219000002]
+
+
+def test_available_columns(spark, raw_file):
+    path = raw_file("04/05/2024 00:00:01,A,219000001,55.5,10.25,3.5")
+    rows = columns_of(read_raw_csv(spark, path, infer=True)).orderBy("place").collect()
+    assert [(row["name"], row["type"]) for row in rows][1:4] == [("Type of mobile", "string"), ("MMSI", "int"), ("Latitude", "double")]
 
 
 def test_scan_reads_only_the_used_columns(spark, raw_file):
@@ -77,10 +103,10 @@ def test_scan_reads_only_the_used_columns(spark, raw_file):
     assert "Speed" not in plan and "Type of mobile" not in plan
 
 
-def test_rows_without_numbers_are_numbered(spark, raw_file):
+def test_rows_without_numbers_get_none(spark, raw_file):
     line = "04/05/2024 00:00:01,A,219000001,55.5,10.25,1"
     positions = positions_csv(spark, raw_file(line, line, line))
-    assert positions.select("event_id").distinct().count() == 3
+    assert positions.columns == ["mmsi", "timestamp", "latitude", "longitude"] and positions.count() == 3
 
 
 def test_months_are_ordered_as_time_not_as_text(spark, raw_file):
@@ -155,14 +181,9 @@ def test_events_counts(spark):
     assert clean(positions).count() == 9606
 
 
-def test_round_trip_through_files(spark):
+def test_round_trip_through_files(spark, tmp_path):
     positions = positions_events(spark, f"{TESTDATA}/sf0.001")
-    path = scratch_folder(spark, "trip")
+    path = str(tmp_path / "trip")
     write_positions_csv(positions, path)
     assert from_spark(positions_csv(spark, path)) == from_spark(positions)
-
-
-def test_scratch_folders_are_new_and_shared(spark):
-    one, two = scratch_folder(spark, "a"), scratch_folder(spark, "a")
-    shared = spark.conf.get("spark.checkpoint.dir")
-    assert one != two and os.path.dirname(one) == shared == os.path.dirname(two)
+    assert from_spark(positions_csv(spark, path, infer=True)) == from_spark(positions)

@@ -1,0 +1,123 @@
+"""Cutting histories at fixed times must not change a single row."""
+
+import datetime as dt
+import random
+
+import pytest
+
+from wakeline.operators.trajectory import stretch_summary, with_previous
+from wakeline.params import RouteParams
+from wakeline.plans import summary, totals
+from wakeline.schema import POSITION
+
+START = dt.datetime(2024, 5, 4)
+WIDTHS = [1, 3600, 10 * 365 * 86_400]
+
+
+def reports(spark, rows):
+    return spark.createDataFrame(rows, POSITION)
+
+
+def one_vessel_with_a_third(seed):
+    """9000 reports, 3000 of them of one vessel, many at the same time."""
+    draw = random.Random(seed)
+    rows = []
+    for event_id in range(9000):
+        mmsi = 7 if event_id % 3 == 0 else 100 + draw.randrange(200)
+        time = START + dt.timedelta(microseconds=draw.randrange(10**10))
+        if event_id % 6 == 0:
+            time = START + dt.timedelta(seconds=30)
+        rows.append((event_id, mmsi, time, draw.uniform(-1, 1), draw.uniform(-1, 1)))
+    return rows
+
+
+def previous_by_hand(rows):
+    last, found = {}, []
+    for event_id, mmsi, time, lat, lon in sorted(rows, key=lambda r: (r[1], r[2], r[3], r[4], r[0])):
+        if mmsi in last:
+            found.append((event_id, mmsi, time, lat, lon, *last[mmsi]))
+        last[mmsi] = (lat, lon)
+    return sorted(found)
+
+
+def summary_by_hand(rows, limit=100.0):
+    result = {}
+    for mmsi in {row[1] for row in rows}:
+        own = sorted((row[2:] for row in rows if row[1] == mmsi))
+        steps = [((abs(b[1] - a[1]) * 111) ** 2 + (abs(b[2] - a[2]) * 85) ** 2) ** 0.5 for a, b in zip(own, own[1:])]
+        kept = [km for km in steps if km < limit]
+        result[mmsi] = (len(own), sum(kept) if kept else None, len(kept))
+    return result
+
+
+def close(found, expected):
+    rows = {row["mmsi"]: tuple(row)[1:] for row in found.collect()}
+    assert rows.keys() == expected.keys()
+    for mmsi, (count, km, kept) in expected.items():
+        assert rows[mmsi][0] == count and rows[mmsi][2] == kept
+        assert rows[mmsi][1] == (None if km is None else pytest.approx(km, abs=1e-6))
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("width", WIDTHS)
+def test_rows_equal_brute_force(spark, seed, width):
+    rows = one_vessel_with_a_third(seed)
+    got = with_previous(reports(spark, rows), RouteParams(stretch_seconds=width)).collect()
+    assert sorted(tuple(row) for row in got) == previous_by_hand(rows)
+
+
+@pytest.mark.parametrize("width", WIDTHS)
+def test_sums_equal_brute_force(spark, width):
+    rows = one_vessel_with_a_third(3)
+    close(summary(reports(spark, rows), RouteParams(stretch_seconds=width)), summary_by_hand(rows))
+
+
+@pytest.mark.parametrize("width", WIDTHS)
+def test_copies_of_one_report(spark, width):
+    """Two thirds of the table are one report over and over, its number too."""
+    rows = [(1, 7, START, 50.0, 5.0)] * 6000
+    rows += [(2, 7, START - dt.timedelta(days=1), 50.1, 5.0), (3, 7, START + dt.timedelta(days=1), 50.2, 5.0)]
+    rows += [(4000 + n, 100 + n % 300, START + dt.timedelta(seconds=n), 50.0, n / 1e5) for n in range(3000)]
+    params = RouteParams(stretch_seconds=width)
+    close(summary(reports(spark, rows), params), summary_by_hand(rows))
+    got = with_previous(reports(spark, rows), params).collect()
+    assert sorted(tuple(row) for row in got) == previous_by_hand(rows)
+
+
+def test_copies_are_one_row_of_a_window(spark):
+    rows = [(n, 7, START, 50.0, 5.0) for n in range(1000)] + [(5000, 7, START, 50.1, 5.0)]
+    only = stretch_summary(reports(spark, rows)).collect()
+    assert [(row["reports"], row["moves"], row["rests"]) for row in only] == [(1001, 1, 999)]
+
+
+def test_no_step_is_kept_below_a_limit_of_zero(spark):
+    rows = [(n, 7, START, 50.0, 5.0) for n in range(5)]
+    assert tuple(summary(reports(spark, rows), RouteParams(max_jump_km=0.0)).collect()[0]) == (7, 5, None, 0)
+
+
+def test_a_hot_vessel_is_spread(spark):
+    stretches = stretch_summary(reports(spark, one_vessel_with_a_third(5)), RouteParams(stretch_seconds=60))
+    sizes = [row["reports"] for row in stretches.where("mmsi = 7").collect()]
+    assert len(sizes) > 100 and max(sizes) < 1600  # 1500 share one second
+
+
+def test_reports_without_numbers(spark):
+    rows = one_vessel_with_a_third(8)
+    got = with_previous(reports(spark, rows).drop("event_id"), RouteParams(stretch_seconds=600)).collect()
+    assert sorted(tuple(row) for row in got) == sorted(row[1:] for row in previous_by_hand(rows))
+
+
+def test_extreme_values(spark):
+    draw = random.Random(9)
+    odd = [0.1 + 0.2, -0.0, 0.0, 5e-324, 90.0, -90.0, 1 / 3, 1e-7, 12345e-6]
+    rows = [
+        (n - 2**62, 2**62 + n % 2, dt.datetime(1969, 12, 31) + dt.timedelta(seconds=97 * n), draw.choice(odd), draw.choice(odd))
+        for n in range(2000)
+    ]
+    got = with_previous(reports(spark, rows), RouteParams(stretch_seconds=7)).collect()
+    assert sorted(tuple(row) for row in got) == previous_by_hand(rows)
+
+
+def test_totals_are_the_moved_rows(spark):
+    rows = [(1, 1, START, 50.0, 5.0), (2, 1, START, 50.0, 5.0), (3, 2, START, 50.0, 5.0), (4, 2, START + dt.timedelta(days=3), 50.5, 5.0)]
+    assert [row["mmsi"] for row in totals(reports(spark, rows)).collect()] == [2]

@@ -5,8 +5,34 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed output format of one line of the ranking.
-RANKING_LINE = "%2d. %s MMSI: %d | Distance: %6.2f km | Reports: %,4d"
+SECONDS_PER_DAY = 86_400
+
+
+def stretch_of(time: Column, seconds: int) -> Column:
+    """The number of the stretch of so many seconds that a time without zone falls into."""
+    of_day = F.hour(time) * 3600 + F.minute(time) * 60 + F.second(time)
+    since = F.unix_date(time.cast("date")).cast("bigint") * SECONDS_PER_DAY + of_day
+    return F.floor(since / F.lit(seconds))
+
+
+def whole_number(value: Column) -> Column:
+    """A number, or a text of one, as 64-bit integer; null if it is none or has a fraction."""
+    number = value.try_cast("double")
+    fits = (number == F.floor(number)) & (F.abs(number) < F.lit(2.0**53))
+    digits = value.cast("string").try_cast("bigint")
+    return F.coalesce(digits, F.when(fits, number.try_cast("bigint")))
+
+
+def fixed_decimals(value: Column, decimals: int, width: int = 0) -> Column:
+    """Fixed decimals, rounded from the exact binary value, padded on the left."""
+    text = F.call_function("format_number", value, F.lit(f"0.{'0' * decimals}"))
+    return F.lpad(text, F.greatest(F.length(text), F.lit(width)), F.lit(" "))
+
+
+def grouped_digits(value: Column, width: int = 0) -> Column:
+    """A whole number with commas between thousands, padded on the left."""
+    text = F.format_number(value, 0)
+    return F.lpad(text, F.greatest(F.length(text), F.lit(width)), F.lit(" "))
 
 
 def parse_report_time(text: Column) -> Column:
@@ -56,4 +82,10 @@ def hash_below(key: Column, fraction: float) -> Column:
 
 
 def ranking_line(rank: Column, status: Column, mmsi: Column, total_km: Column, reports: Column) -> Column:
-    return F.format_string(RANKING_LINE, rank, status, mmsi, total_km, reports)
+    # Fixed output format of one line of the ranking.
+    return F.concat(
+        F.format_string("%2d. %s MMSI: %d | Distance: ", rank, status, mmsi),
+        fixed_decimals(total_km, 2, 6),
+        F.lit(" km | Reports: "),
+        grouped_digits(reports, 4),
+    )

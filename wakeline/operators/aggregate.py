@@ -21,7 +21,7 @@ def distinct_vessels(positions: DataFrame) -> DataFrame:
 
 
 def vessel_distance(edges: DataFrame, params: RouteParams = DEFAULTS) -> DataFrame:
-    """Travelled kilometres and number of kept edges of each vessel that moved."""
+    """Travelled kilometres and number of kept edges of each vessel that moved, from step rows."""
     totals = edges.groupBy("mmsi").agg(
         F.sum("distance_km").alias("total_distance_km"),
         F.count("distance_km").alias("position_count"),
@@ -33,20 +33,6 @@ def vessels_count(totals: DataFrame) -> DataFrame:
     return totals.agg(F.count(F.lit(1)).alias("vessels"))
 
 
-def vessel_summary(paired: DataFrame, params: RouteParams = DEFAULTS) -> DataFrame:
-    """Reports, kilometres and kept edges of every vessel, moved or not.
-
-    One row per vessel holds all that the counts and the ranking need, so that
-    they do not each read the reports again.
-    """
-    kept = F.when(F.col("distance_km") < F.lit(params.max_jump_km), F.col("distance_km"))
-    return paired.groupBy("mmsi").agg(
-        F.count(F.lit(1)).alias("reports"),
-        F.sum(kept).alias("total_distance_km"),
-        F.count(kept).alias("position_count"),
-    )
-
-
 def moved(summary: DataFrame, params: RouteParams = DEFAULTS) -> DataFrame:
     """The rows that :func:`vessel_distance` would give."""
     return summary.where(F.col("total_distance_km") > F.lit(params.min_total_km)).drop("reports")

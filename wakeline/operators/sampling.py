@@ -16,6 +16,14 @@ def bernoulli(
     return positions.sample(fraction=fraction, seed=seed)
 
 
-def by_hash(positions: DataFrame, fraction: float = DEFAULTS.sample_fraction) -> DataFrame:
-    """The rows whose hashed ``event_id`` is small: the same ones every time."""
-    return positions.where(hash_below(F.col("event_id").cast("string"), fraction))
+def by_hash(positions: DataFrame, fraction: float = DEFAULTS.sample_fraction, key: str | None = None) -> DataFrame:
+    """The rows whose hashed key is small: the same ones every time.
+
+    The key is ``event_id`` if the reports have one, else all their columns; a null is a key
+    like any other, so its rows are drawn together or not at all.
+    """
+    if key is None:
+        key = "event_id" if "event_id" in positions.columns else None
+    columns = [key] if key else positions.columns
+    parts = [F.coalesce(F.col(name).cast("string"), F.lit("null")) for name in columns]
+    return positions.where(hash_below(F.concat_ws("|", *parts), fraction))

@@ -19,6 +19,8 @@ class RouteParams:
     top_n: int = 10
     realistic_km: float = 1000.0
     hours: float = 24.0
+    # Changes no result: the most of one vessel's history that meets in one task.
+    stretch_seconds: int = 86_400
     sample_fraction: float = 0.1
     sample_seed: int = 42
 

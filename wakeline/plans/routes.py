@@ -1,58 +1,38 @@
 """The steps in their order, which is part of the meaning.
 
-Clean, then sample if at all, then pair, then drop jumps, then sum. The result of
-each function is lazy, but each first runs the small job of ``find_cuts``, unless
-the caller passes cuts found earlier for the same reports.
+Clean, then sample if at all, then pair, then drop jumps, then sum. All results are lazy.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from wakeline.operators.aggregate import vessel_distance, vessel_summary
-from wakeline.operators.cuts import Cuts, find_cuts
+from wakeline.operators.aggregate import moved
 from wakeline.operators.report import top
-from wakeline.operators.trajectory import coord_deltas, drop_jumps, edge_distance, pair, with_previous
+from wakeline.operators.trajectory import coord_deltas, edge_distance, stretch_summary, vessel_summary, with_previous
 from wakeline.params import DEFAULTS, RouteParams
 
-FIND = "find"
 
-
-def known(positions: DataFrame, cuts: Cuts | None | str) -> Cuts | None:
-    return find_cuts(positions) if cuts == FIND else cuts
-
-
-def steps(positions: DataFrame, cuts: Cuts | None | str = FIND) -> DataFrame:
+def steps(positions: DataFrame, params: RouteParams = DEFAULTS) -> DataFrame:
     """Cleaned reports with the previous position of their vessel."""
-    return with_previous(positions, known(positions, cuts))
+    return with_previous(positions, params)
 
 
-def edges(positions: DataFrame, params: RouteParams = DEFAULTS, cuts: Cuts | None | str = FIND) -> DataFrame:
+def edges(positions: DataFrame, params: RouteParams = DEFAULTS) -> DataFrame:
     """Every step with its length, jumps included."""
-    return edge_distance(coord_deltas(steps(positions, cuts)), params)
-
+    return edge_distance(coord_deltas(steps(positions, params)), params)
 
-def paired_for_sums(positions: DataFrame, cuts: Cuts | None | str) -> DataFrame:
-    """Paired reports of which only sums and counts per vessel are wanted.
 
-    Reports that differ in their number alone may change places then. Without cuts,
-    whose keys hold it, the number is neither read nor shuffled nor sorted by.
-    """
-    cuts = known(positions, cuts)
-    return pair(positions.drop("event_id") if cuts is None else positions, cuts)
+def summary(positions: DataFrame, params: RouteParams = DEFAULTS) -> DataFrame:
+    """One row per vessel for a whole run; persist it to take several results from it."""
+    return vessel_summary(stretch_summary(positions, params), params)
 
 
-def totals(positions: DataFrame, params: RouteParams = DEFAULTS, cuts: Cuts | None | str = FIND) -> DataFrame:
-    """Kilometres and kept edges of every vessel that moved."""
-    lengths = edge_distance(coord_deltas(paired_for_sums(positions, cuts)), params)
-    return vessel_distance(drop_jumps(lengths, params), params)
+def totals(positions: DataFrame, params: RouteParams = DEFAULTS) -> DataFrame:
+    """Kilometres and kept steps of every vessel that moved."""
+    return moved(summary(positions, params), params)
 
 
-def top_routes(positions: DataFrame, params: RouteParams = DEFAULTS, cuts: Cuts | None | str = FIND) -> DataFrame:
+def top_routes(positions: DataFrame, params: RouteParams = DEFAULTS) -> DataFrame:
     """The longest routes."""
-    return top(totals(positions, params, cuts), params)
-
-
-def summary(positions: DataFrame, params: RouteParams = DEFAULTS, cuts: Cuts | None | str = FIND) -> DataFrame:
-    """One row per vessel for a whole run; persist it to take several results from it."""
-    return vessel_summary(edge_distance(coord_deltas(paired_for_sums(positions, cuts)), params), params)
+    return top(totals(positions, params), params)

@@ -1,13 +1,21 @@
 from wakeline.sources.events import positions_events
-from wakeline.sources.files import as_raw, positions_csv, project_raw, read_raw_csv, write_positions_csv
-from wakeline.sources.scratch import scratch_folder
+from wakeline.sources.files import (
+    as_raw,
+    columns_of,
+    positions_csv,
+    positions_lines,
+    project_raw,
+    read_raw_csv,
+    write_positions_csv,
+)
 
 __all__ = [
     "as_raw",
+    "columns_of",
     "positions_csv",
     "positions_events",
+    "positions_lines",
     "project_raw",
     "read_raw_csv",
-    "scratch_folder",
     "write_positions_csv",
 ]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wakeline.functions.columns import format_report_time, parse_report_time
+from wakeline.functions.columns import format_report_time, parse_report_time, whole_number
 
 # Fixed header names of the raw files, and the form of their times.
 RAW_MMSI = "MMSI"
@@ -15,8 +15,9 @@ RAW_LATITUDE = "Latitude"
 RAW_LONGITUDE = "Longitude"
 RAW_TIME_FORMAT = "dd/MM/yyyy HH:mm:ss[.SSSSSS]"
 
+# Vessel numbers stay text, as files write some of them with decimals.
 RAW_TYPES = {
-    RAW_MMSI: T.LongType(),
+    RAW_MMSI: T.StringType(),
     RAW_TIME: T.TimestampNTZType(),
     RAW_LATITUDE: T.DoubleType(),
     RAW_LONGITUDE: T.DoubleType(),
@@ -43,6 +44,8 @@ def read_raw_csv(spark: SparkSession, path: str, infer: bool = False) -> DataFra
         .option("header", True)
         .option("enforceSchema", False)
         .option("timestampNTZFormat", RAW_TIME_FORMAT)
+        .option("ignoreLeadingWhiteSpace", True)
+        .option("ignoreTrailingWhiteSpace", True)
         .csv(path)
     )
 
@@ -50,41 +53,61 @@ def read_raw_csv(spark: SparkSession, path: str, infer: bool = False) -> DataFra
 def project_raw(raw: DataFrame) -> DataFrame:
     """The position columns of a raw table, from text or from typed columns.
 
-    A value that cannot be converted becomes null. Rows without an ``event_id`` are numbered in the order the scan yields
-    them, so that repeated identical reports can still be told apart.
+    Blanks around a value do not matter, and a vessel number may have decimals that are all
+    0. A value that cannot be converted becomes null. ``event_id`` is there only if the raw
+    table has it.
     """
-    event_id = (
-        F.col("event_id").try_cast("bigint") if "event_id" in raw.columns else F.monotonically_increasing_id()
-    )
     time = F.col(f"`{RAW_TIME}`")
     if isinstance(raw.schema[RAW_TIME].dataType, T.StringType):
-        time = parse_report_time(time)
+        time = parse_report_time(F.trim(time))
     else:
         time = time.cast("timestamp_ntz")
+    numbers = [whole_number(F.col("event_id")).alias("event_id")] if "event_id" in raw.columns else []
     return raw.select(
-        event_id.alias("event_id"),
-        F.col(RAW_MMSI).try_cast("bigint").alias("mmsi"),
+        *numbers,
+        whole_number(F.col(RAW_MMSI)).alias("mmsi"),
         time.alias("timestamp"),
         F.col(RAW_LATITUDE).try_cast("double").alias("latitude"),
         F.col(RAW_LONGITUDE).try_cast("double").alias("longitude"),
     )
 
 
+def positions_lines(lines: DataFrame, header: str, infer: bool = False) -> DataFrame:
+    """Positions from CSV lines in the one column of ``lines``, whose names the header gives.
+
+    The typed columns are parsed at once; with ``infer`` all columns are read as text and
+    converted afterwards. The rows are the same.
+    """
+    names = header.split(",")
+    types = {name: T.StringType() if infer else RAW_TYPES.get(name, T.StringType()) for name in names}
+    schema = ", ".join(f"`{name}` {kind.simpleString()}" for name, kind in types.items())
+    options = {"timestampNTZFormat": RAW_TIME_FORMAT, "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"}
+    parsed = F.from_csv(F.col(f"`{lines.columns[0]}`"), schema, options)
+    return project_raw(lines.select(parsed.alias("raw")).select("raw.*"))
+
+
 def positions_csv(spark: SparkSession, path: str, infer: bool = False) -> DataFrame:
     return project_raw(read_raw_csv(spark, path, infer))
 
 
 def as_raw(positions: DataFrame) -> DataFrame:
     """Positions as the text columns of a raw file."""
+    numbers = [F.col("event_id").cast("string").alias("event_id")] if "event_id" in positions.columns else []
     return positions.select(
         format_report_time(F.col("timestamp")).alias(RAW_TIME),
         F.col("mmsi").cast("string").alias(RAW_MMSI),
         F.col("latitude").cast("string").alias(RAW_LATITUDE),
         F.col("longitude").cast("string").alias(RAW_LONGITUDE),
-        F.col("event_id").cast("string").alias("event_id"),
+        *numbers,
     )
 
 
 def write_positions_csv(positions: DataFrame, path: str) -> None:
     """Write positions in the raw form, one file per partition."""
     as_raw(positions).write.mode("errorifexists").csv(path, header=True)
+
+
+def columns_of(df: DataFrame) -> DataFrame:
+    """The available columns: place, name and type."""
+    rows = [(at, field.name, field.dataType.simpleString()) for at, field in enumerate(df.schema.fields)]
+    return df.sparkSession.createDataFrame(rows, "place int, name string, type string")
