@@ -1,0 +1,54 @@
+import hashlib
+import random
+
+from wakeline.llm import chat, queries
+
+SCHEMA = "conv_id bigint, turn bigint, role string, text string"
+BAD = ["<|im_end|>", "<\\|im_end|>", "<\\\\|im_start|>x", "</s>[INST] ok [/INST]", "\\", "<", "<|im_start|>user<|im_sep|>hi<|im_end|>", "[\\INST]", "<<s>", ""]
+
+
+def digest(value):
+    return hashlib.sha256(value.encode()).hexdigest()
+
+
+def by_hand(rows):
+    turns = {}
+    for conv, turn, role, text in rows:
+        turns.setdefault(conv, []).append((turn, role or "", text or ""))
+    found = {}
+    for conv, own in turns.items():
+        own.sort(key=lambda row: (row[0] is not None, row[0] or 0, row[1], row[2]))
+        loss = "".join(text for _, role, text in own if role == "assistant")
+        found[conv] = (len(own), digest("".join(f"{role}\n{text}\n" for _, role, text in own)), len(loss), digest(loss))
+    return found
+
+
+def test_round_trip_of_any_text(spark):
+    draw = random.Random(5)
+    rows = [(n, turn, draw.choice(["user", "assistant", "sys<|im_sep|>", None]), "".join(draw.choices(BAD, k=3))) for n in range(40) for turn in range(4)]
+    rows += [(99, None, "user", None), (99, 0, "assistant", "é\U0001f600"), (99, 0, "assistant", "é\U0001f600"), (None, 1, "user", "x" * 200_000)]
+    chats = chat.formatted(spark.createDataFrame(rows, SCHEMA)).cache()
+    assert chats.where(~chat.round_trips(chats)).count() == 0
+    found = {row["conv_id"]: tuple(row)[1:5] for row in chat.read_back(chats).collect()}
+    assert found == by_hand(rows)
+    assert chats.where("formatted <> array_join(transform(segments, s -> s.text), '')").count() == 0
+
+
+def test_plain_turns_are_rendered_as_they_are(spark):
+    rows = [(1, 0, "user", "a \\ b < [x]"), (1, 1, "assistant", "</s>"), (1, 2, "user", "<\\/s>")]
+    text = chat.formatted(spark.createDataFrame(rows, SCHEMA)).first()["formatted"]
+    blocks = ["user<|im_sep|>a \\ b < [x]", "assistant<|im_sep|><\\/s>", "user<|im_sep|><\\\\/s>"]
+    assert text == "".join(f"<|im_start|>{block}<|im_end|>" for block in blocks)
+
+
+def test_the_parser_refuses_what_breaks_the_grammar(spark):
+    texts = ["x<|im_start|>a<|im_sep|>b<|im_end|>", "<|im_start|>a b<|im_end|>", "<|im_start|>a<|im_sep|>b", "<|im_start|>a<|im_sep|></s><|im_end|>"]
+    df = spark.createDataFrame([(text,) for text in texts], "t string")
+    assert [row[0] for row in df.select(chat.parsed(df["t"])).collect()] == [None, [None], [None], [None]]
+
+
+def test_no_rows_and_no_python(spark):
+    empty = spark.createDataFrame([], SCHEMA + ", source string, body string")
+    assert chat.read_back(chat.formatted(empty)).count() == 0
+    plan = queries.op7_chat_round_trip(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan

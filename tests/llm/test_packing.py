@@ -1,0 +1,59 @@
+import struct
+import zlib
+
+import pytest
+from corpus import AWKWARD, clashing, corpus, frame
+from tokenizers import Tokenizer
+
+from wakeline.llm import packing, queries
+
+ODD = ["  two  blanks", "tab\tand\n\nlines \n x", "it's we'll I'M 'tis", "a b　c", "<|endoftext|> x", "naïve 😀😀 日本語 12345 ¡¿", "trailing ", "\n", "x\x1fy z", "a " * 5000]
+
+
+@pytest.fixture(scope="module")
+def reference():
+    tokenizer = Tokenizer.from_file(queries.tokenizer()[0])
+    tokenizer.encode_special_tokens = True
+    return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_ids_equal_the_tokenizer(spark, reference):
+    tokens = packing.Tokens(*queries.tokenizer(), remembered=50)
+    texts = ODD + [row[1] for row in corpus() if row[1]]
+    texts += [row["text"] for row in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    for text in texts:
+        ids = tokens(text)
+        assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == reference(text)
+
+
+@pytest.mark.parametrize("tokens", [1, 2, 7, 2047, 2048, 2049, 6143, 10_000])
+def test_pieces_are_powers_of_two(tokens):
+    lengths = packing.piece_lengths(tokens, 2048)
+    assert sum(lengths) == tokens and lengths == sorted(lengths, reverse=True)
+    assert all(length & (length - 1) == 0 and length <= 2048 for length in lengths)
+    assert len([length for length in lengths if length < 2048]) == len({length for length in lengths if length < 2048})
+
+
+def test_pieces_make_up_the_documents(spark, reference, tmp_path):
+    rows = corpus() + [(200 + n, text, "en", "a", 0) for n, text in enumerate(ODD)] + AWKWARD[-1:] * 3
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    found = queries.op5_binary_packing(spark, str(tmp_path)).collect()
+    assert len({row["sequence_id"] for row in found}) == len(found)
+    assert all(row["offset"] == 0 and row["length"] == 2 ** row["bucket"] for row in found)
+    expected = []
+    for doc_id, text, *_ in rows:
+        ids, start = [*(reference(text) if text else []), 1], 0
+        for length in packing.piece_lengths(len(ids), 2048):
+            expected.append((doc_id, start, length, zlib.crc32(struct.pack(f"<{length}I", *ids[start : start + length])), len(ids)))
+            start += length
+    assert sorted((r["doc_id"], r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]) for r in found) == sorted(expected)
+
+
+def test_other_columns_null_numbers_and_empty_tables(spark):
+    df = clashing(frame(spark, AWKWARD), "start", "length", "ids")
+    pieces = packing.packed(df, *queries.tokenizer(), longest=4, end=7)
+    assert pieces.where("doc_id is null").count() >= 1
+    assert pieces.where("doc_id = 1").collect()[0]["ids"] == b"\x07\0\0\0"
+    assert packing.packed(df.limit(0), *queries.tokenizer()).count() == 0
+    with pytest.raises(ValueError):
+        packing.packed(df, *queries.tokenizer(), longest=1000)

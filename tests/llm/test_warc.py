@@ -1,0 +1,86 @@
+import datetime as dt
+import random
+
+import pytest
+from oracle import connect, from_duckdb, from_spark
+from pyspark.sql import functions as F
+
+from wakeline.llm import queries, warc
+
+SCHEMA = "record_id bigint, url string, at timestamp, kind string, status int, headers map<string,string>, digest string"
+START = dt.datetime(2024, 1, 1)
+
+
+def record(number, seconds, kind, headers, url="http://a.org/x", status=None):
+    at = None if seconds is None else START + dt.timedelta(seconds=seconds)
+    return number, url, at, kind, status or (200 if kind == "response" else 304), headers, f"d{number}"
+
+
+def resolve(spark, rows, **more):
+    return {row["record_id"]: row for row in warc.resolved(spark.createDataFrame(rows, SCHEMA), **more).collect()}
+
+
+@pytest.mark.parametrize("stretch", [1, 50, 10**9])
+def test_as_of_join_equals_brute_force(spark, stretch):
+    draw, rows = random.Random(4), []
+    for n in range(600):
+        url = f"http://a.org/{draw.choice([1, 1, 1, 2, 3])}"
+        kind = draw.choice(["response", "revisit"])
+        rows.append(record(n, draw.randrange(300), kind, {"ETag": "t"}, url, draw.choice([200, 404]) if kind == "response" else 304))
+    found = resolve(spark, rows, stretch_seconds=stretch)
+    for number, url, at, kind, _, _, _ in rows:
+        if kind == "revisit":
+            earlier = [(r[2], r[0]) for r in rows if r[1] == url and r[3] == "response" and r[4] == 200 and r[2] < at]
+            assert found[number]["response_id"] == (max(earlier)[1] if earlier else None)
+    assert len(found) == sum(row[3] == "revisit" for row in rows)
+
+
+def test_validators_and_headers(spark):
+    full = {"ETag": '"a"', "Last-Modified": "day 1", "Content-Type": "text/html", "Content-Length": "9", "Server": "s"}
+    rows = [
+        record(1, 0, "response", full),
+        record(2, 5, "revisit", {"etag": 'W/"a"', "Content-Length": "0", "Cache-Control": "x", "SERVER": "t"}),
+        record(3, 5, "revisit", {"ETAG": '"b"', "Last-Modified": "day 1"}),
+        record(4, 5, "revisit", {"last-modified": "day 1"}),
+        record(5, 5, "revisit", {"last-modified": "day 2"}),
+        record(6, 5, "revisit", None),
+        record(7, 0, "revisit", {"etag": '"a"'}),
+        record(8, None, "revisit", {}),
+        record(9, 5, "revisit", {}, url=None),
+        record(9, 5, "revisit", {}, url=None),
+        record(10, 5, "revisit", {"etag": '"a"'}, status=200),
+    ]
+    rows = [row if row[0] != 10 else (*row[:4], 200, *row[5:]) for row in rows]
+    found = resolve(spark, rows)
+    assert {n: row["validation"] for n, row in found.items()} == {
+        2: "etag", 3: "mismatch", 4: "last-modified", 5: "mismatch", 6: "unvalidated", 7: "no response", 8: "no response", 9: "no response",
+    }
+    headers = {pair["name"]: pair["value"] for pair in found[2]["headers"]}
+    assert headers == {"etag": 'W/"a"', "last-modified": "day 1", "content-type": "text/html", "content-length": "9", "cache-control": "x", "server": "t"}
+    assert found[2]["digest"] == "d1" and found[3]["digest"] is None and found[3]["headers"] is None
+    assert warc.resolved(spark.createDataFrame(rows, SCHEMA)).count() == 9
+
+
+@pytest.mark.parametrize(
+    "url,expected",
+    [
+        ("HTTP://WWW.A.org:80/x?b=2&a=1&utm_source=q#f", "a.org/x?a=1&b=2"),
+        ("https://m.a.org", "a.org/"),
+        (" https://a.org:8080/X?ref=1 ", "a.org:8080/X"),
+        ("not a url", "not a url"),
+        ("", ""),
+        (None, None),
+    ],
+)
+def test_canonical_urls(spark, url, expected):
+    assert spark.createDataFrame([(url,)], "u string").select(warc.canonical(F.col("u"))).first()[0] == expected
+
+
+def test_empty_and_other_columns(spark):
+    empty = spark.createDataFrame([], SCHEMA + ", stretch string, pairs string, full string, canonical_url string")
+    assert warc.resolved(empty).count() == 0
+
+
+def test_query_equals_sql(spark):
+    sf = "/root/testdata/sf0.01"
+    assert from_spark(queries.op10_revisit_resolution(spark, sf)) == from_duckdb(connect(sf), queries.oracle_sql()["op10_revisit_resolution"])

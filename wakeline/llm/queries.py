@@ -246,5 +246,165 @@ SELECT conv_id, count(*) AS n_turns,
 FROM turns GROUP BY conv_id"""
 
 
+def tree_sql(shards: int) -> dict[str, str]:
+    """Region, rack and shard of a key, each as an SQL expression over the ones before."""
+    tree = sharding.tree_of(shards)
+
+    def winner(weights: dict, level: str, quote: str) -> str:
+        draws = [
+            "{'draw': -ln((CAST('0x' || substr(md5('"
+            + f"{level}:{child}/' || key), 1, 13) AS BIGINT) + 0.5) / CAST({2**52} AS DOUBLE)) / {weight}, 'child': {quote}{child}{quote}}}"
+            for child, weight in weights.items()
+        ]
+        return f"list_min([{', '.join(draws)}]).child"
+
+    def choice(column: str, branches: dict) -> str:
+        return f"CASE {column} {' '.join(f"WHEN '{name}' THEN {value}" for name, value in branches.items())} END"
+
+    racks = {rack: sum(own.values()) for group in tree.values() for rack, own in group.items()}
+    region = winner({name: sum(racks[rack] for rack in group) for name, group in tree.items()}, "region", "'")
+    rack = choice("region", {name: winner({rack: racks[rack] for rack in group}, "rack", "'") for name, group in tree.items()})
+    shard = choice("rack", {name: winner(own, "shard", "") for group in tree.values() for name, own in group.items()})
+    return {"region": region, "rack": rack, "shard": shard}
+
+
+def shard_sql() -> str:
+    """The checksum runs byte by byte over a table of 256 remainders, which is computed first."""
+    small, large = tree_sql(8), tree_sql(9)
+    bits = " ".join(["SELECT i, 0 AS step, i AS value FROM range(256) AS r(i)"])
+    return f"""
+WITH RECURSIVE steps AS (
+  {bits}
+  UNION ALL SELECT i, step + 1, CASE WHEN value % 2 = 1 THEN xor(value // 2, 3988292384) ELSE value // 2 END FROM steps WHERE step < 8
+), remainders AS (
+  SELECT list(CAST(value AS BIGINT) ORDER BY i) AS t FROM steps WHERE step = 8
+), texts AS (
+  SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS code FROM documents
+), bytes AS (
+  SELECT r, doc_id, list_transform(range(length(code) // 2), lambda i: CAST('0x' || substr(code, CAST(2 * i + 1 AS INTEGER), 2) AS BIGINT)) AS b FROM texts
+), sized AS (
+  SELECT doc_id, CAST(len(b) + 1 AS BIGINT) AS size, coalesce(CAST(doc_id AS VARCHAR), 'null') AS key,
+    xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), b), lambda c, x: xor(t[xor(c, x) % 256 + 1], c // 256)), 4294967295) AS text_crc32
+  FROM bytes, remainders
+), regions AS (SELECT *, {small['region']} AS region FROM sized
+), racks AS (SELECT *, {small['rack']} AS rack FROM regions
+), shards AS (SELECT *, {small['shard']} AS shard FROM racks
+), grown1 AS (SELECT doc_id, size, text_crc32, region AS region8, rack AS rack8, shard AS shard8, key, {large['region']} AS region
+  FROM (SELECT doc_id, size, text_crc32, key, region AS region8, rack AS rack8, shard FROM shards) AS s(doc_id, size, text_crc32, key, region, rack, shard)
+), grown2 AS (SELECT *, {large['rack']} AS rack FROM grown1
+), grown3 AS (SELECT *, {large['shard']} AS shard FROM grown2)
+SELECT doc_id, size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'key' AS law, CAST(shard8 AS INTEGER) AS shard, CAST(shard AS INTEGER) AS grown_shard,
+  region8 AS region, rack8 AS rack, row_number() OVER (PARTITION BY shard8 ORDER BY doc_id NULLS FIRST, size, text_crc32) - 1 AS slot
+FROM grown3"""
+
+
+SQL_BYTES = r"list_filter(regexp_split_to_array({text}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
+SQL_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def groups_sql(size: int = 4, percent: int = 80) -> str:
+    return f"""
+WITH RECURSIVE cut AS (
+  SELECT doc_id, {SQL_BYTES.format(text=SQL_LOWER)} AS words FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < {size} THEN [array_to_string(words, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(words) - {size} + 2), lambda p: array_to_string(words[p:p + {size} - 1], ' '))) END AS shingles
+  FROM cut
+), members AS (
+  SELECT doc_id, len(shingles) AS n, unnest(shingles) AS shingle FROM sets
+), links AS (
+  SELECT a.doc_id AS u, b.doc_id AS v FROM members a JOIN members b ON a.shingle = b.shingle AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= {percent} * (a.n + b.n - count(*))
+), both_ways AS (
+  SELECT u, v FROM links UNION ALL SELECT v, u FROM links
+), reached AS (
+  SELECT doc_id, doc_id AS other FROM sets
+  UNION SELECT r.doc_id, l.v FROM reached r JOIN both_ways l ON r.other = l.u
+), least AS (
+  SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(shingles) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN least USING (doc_id)"""
+
+
+def spans_sql(window: int = 20) -> str:
+    return f"""
+WITH cut AS (
+  SELECT doc_id, {SQL_WORDS} AS words FROM documents
+), windows AS (
+  SELECT doc_id, p, array_to_string(words[p:p + {window} - 1], ' ') AS gram
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - {window} + 2)) AS p FROM cut WHERE len(words) >= {window})
+), placed AS (
+  SELECT doc_id, p, row_number() OVER (PARTITION BY gram ORDER BY doc_id, p) AS place FROM windows
+), removed AS (
+  SELECT DISTINCT doc_id, p + step AS p FROM placed, range({window}) AS s(step) WHERE place > 1
+), numbered AS (
+  SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS p FROM cut
+), kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS text FROM numbered ANTI JOIN removed USING (doc_id, p) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM cut LEFT JOIN kept USING (doc_id)"""
+
+
+def revisit_sql() -> str:
+    refused = ", ".join(f"'{name}'" for name in warc.NOT_REPLACED)
+    day = 1_704_067_200
+    return rf"""
+WITH pages_cut AS (
+  SELECT page_id AS n, regexp_replace(url, '/[0-9]*([0-9])([?#]|$)', '/\1\2') AS url, md5(coalesce(html, '')) AS digest,
+    'day ' || CAST(page_id % 28 AS VARCHAR) AS date, CAST(length(html) AS VARCHAR) AS size FROM pages
+), tagged AS (
+  SELECT *, '"' || substr(digest, 1, 16) || '"' AS tag FROM pages_cut
+), records AS (
+  SELECT n * 3 AS record_id, url, n * 600 AS s, 'full' AS kind, n % 5 <> 4 AS counts,
+    MAP {{'etag': tag, 'last-modified': date, 'content-type': 'text/html', 'content-length': size}} AS h, digest FROM tagged
+  UNION ALL SELECT n * 3 + 1, url || '#part', n * 600 + 5, 'revisit', TRUE,
+    MAP {{'etag': 'W/' || tag, 'cache-control': 'max-age=60', 'content-length': '0'}}, digest FROM tagged
+  UNION ALL SELECT n * 3 + 2, url, n * 600 + 90000 * (n % 4), 'revisit', TRUE,
+    CASE WHEN n % 7 = 0 THEN MAP {{'last-modified': date, 'age': '1'}}
+         ELSE MAP {{'etag': CASE WHEN n % 3 = 0 THEN '"other"' ELSE tag END, 'age': '2'}} END, digest FROM tagged
+), parts AS (
+  SELECT *, ({day} + s) * 1000000 AS micros,
+    regexp_replace(regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)), '^(www|m)\.', ''), ':(80|443)$', '') AS host,
+    regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) AS path,
+    list_sort(list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'),
+      lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[^=]*|ref|fbclid|gclid|sessionid)(=|$)'))) AS params
+  FROM records
+), canonical AS (
+  SELECT *, host || CASE WHEN path = '' THEN '/' ELSE path END
+    || CASE WHEN len(params) = 0 THEN '' ELSE '?' || array_to_string(params, '&') END AS canonical_url FROM parts
+), joined AS (
+  SELECT v.record_id, v.canonical_url, v.micros, v.h, f.record_id AS response_id, f.h AS fh, f.digest AS fd,
+    row_number() OVER (PARTITION BY v.record_id ORDER BY f.micros DESC, f.record_id DESC) AS place
+  FROM canonical v LEFT JOIN canonical f
+    ON f.canonical_url = v.canonical_url AND f.kind = 'full' AND f.counts AND f.micros < v.micros
+  WHERE v.kind = 'revisit'
+), tags AS (
+  SELECT *, regexp_replace(fh['etag'], '^W/', '') AS ft, regexp_replace(h['etag'], '^W/', '') AS vt FROM joined WHERE place = 1
+), checked AS (
+  SELECT *, CASE WHEN response_id IS NULL THEN 'no response'
+    WHEN ft IS NOT NULL AND vt IS NOT NULL THEN CASE WHEN ft = vt THEN 'etag' ELSE 'mismatch' END
+    WHEN fh['last-modified'] IS NOT NULL AND h['last-modified'] IS NOT NULL
+      THEN CASE WHEN fh['last-modified'] = h['last-modified'] THEN 'last-modified' ELSE 'mismatch' END
+    ELSE 'unvalidated' END AS validation FROM tags
+), entries AS (
+  SELECT *, list_filter(map_entries(h), lambda e: e.key NOT IN ({refused})) AS new FROM checked
+)
+SELECT record_id, canonical_url, CAST(micros AS BIGINT) AS micros, response_id, validation,
+  CASE WHEN validation IN ('etag', 'last-modified') THEN array_to_string(list_sort(list_transform(list_concat(
+    list_filter(map_entries(fh), lambda e: NOT list_contains(list_transform(new, lambda x: x.key), e.key)), new),
+    lambda e: e.key || ': ' || e.value)), chr(10)) END AS headers,
+  CASE WHEN validation IN ('etag', 'last-modified') THEN fd END AS digest
+FROM entries"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality_sql(), "op7_chat_round_trip": chat_sql()}
+    return {
+        "op1_quality_rules": quality_sql(),
+        "op3_hash_tree_sharding": shard_sql(),
+        "op6_bayesian_minhash": groups_sql(),
+        "op7_chat_round_trip": chat_sql(),
+        "op9_path_compaction": spans_sql(),
+        "op10_revisit_resolution": revisit_sql(),
+    }

@@ -92,7 +92,7 @@ def numbered(rows: DataFrame, group: str, order: list[str], number: str) -> Data
     Rows are range-partitioned by ``order``, so no group meets in one task; ties go to several
     tasks too. Each task numbers its own rows of each group, the result is written, and the
     counts of tasks and groups, summed up, are what the tasks' numbers start from. The table
-    has none of the columns ``_tie, _task, _own``.
+    has no columns ``_tie, _task, _own, _rows, _start, _group, _from``.
     """
     columns, schema = rows.columns, rows.schema
     spread = rows.withColumn("_tie", F.monotonically_increasing_id())
@@ -111,13 +111,13 @@ def numbered(rows: DataFrame, group: str, order: list[str], number: str) -> Data
 
     fields = ", ".join(f"`{field.name}` {field.dataType.simpleString()}" for field in schema)
     own = stored(spread.mapInPandas(count, f"{fields}, _own bigint, _task bigint"), "numbered")
-    sizes = own.groupBy(group, "_task").agg((F.max("_own") + 1).alias("rows"))
+    sizes = own.groupBy(group, "_task").agg((F.max("_own") + 1).alias("_rows"))
     before = Window.partitionBy(group).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(
-        F.col(group).alias("_group"), F.col("_task").alias("_from"), F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("start")
+        F.col(group).alias("_group"), F.col("_task").alias("_from"), F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start")
     )
     joined = own.join(starts, (own[group] == starts["_group"]) & (own["_task"] == starts["_from"]))
-    return joined.select(*columns, (F.col("start") + F.col("_own")).alias(number))
+    return joined.select(*columns, (F.col("_start") + F.col("_own")).alias(number))
 
 
 def sharded(docs: DataFrame, tree: Tree, key: str = "doc_id", name: str = "place") -> DataFrame:
