@@ -42,7 +42,7 @@ def test_base_equals_brute_force(spark):
 def test_labels_of_the_method(spark):
     rows = [(n, text, "en", "a", 0) for n, text in enumerate(TEXTS)]
     found = scanned(frame(spark, rows)).orderBy("doc_id").select("license.*").collect()
-    labels = [["mit"], ["apache-2"], ["cc-by-nc", "mit"], ["gpl", "gpl-3"], ["mit"], [], ["bsd"], [], ["mit"]]
+    labels = [["mit"], ["apache-2"], ["cc-by-nc", "mit"], ["gpl", "gpl-3"], ["mit"], ["mit"], ["bsd"], [], ["mit"]]
     assert [row["labels"] for row in found] == labels
     assert found[4]["base_labels"] == [] and found[4]["score"] == 0.6  # the key phrase and one more word
     assert [found[at]["score"] for at in (0, 1, 2, 3, 6, 8)] == [1.0] * 6
