@@ -2,8 +2,8 @@
 
 Windows of ``window`` words are the edges of the graph, their first and last ``window - 1``
 words its nodes. Edges are not shuffled one by one: consecutive windows of a text that have
-the same smallest inner window, at the same place, form a path, about one for every eight
-words. All occurrences of an edge lie on paths of one smallest inner window, so
+the same smallest inner window, at the same place, form a path, about one for every seven
+words. An inner window of eight words rarely occurs twice by chance. All occurrences of an edge lie on paths of one smallest inner window, so
 
 1. inner windows that occur once are dropped with all their edges;
 2. where all paths of an inner window are equal, none of them branches: the path stays
@@ -26,27 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wakeline.llm.text import WordHashes, mix, stored
+from wakeline.llm.text import BASES, Content, WordHashes, drop_stored, stored, text_portions
 
-BASES = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 NO_ID = -(2**63)  # stands for a null number, before all others
 STEP = 64  # a place is start * STEP + number of edges
 
 
-class Content:
-    """Hashes of any stretch of a sequence of hashed words, from running sums."""
-
-    def __init__(self, words: np.ndarray, base: int = BASES[0]):
-        power, self.back = (np.ones(len(words) + 1, np.uint64) for _ in range(2))
-        np.cumprod(np.full(len(words), base, np.uint64), out=power[1:])
-        np.cumprod(np.full(len(words), pow(base, -1, 2**64), np.uint64), out=self.back[1:])
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * power[:-1], dtype=np.uint64)])
-
-    def __call__(self, start: np.ndarray, length) -> np.ndarray:
-        return mix((self.sums[start + length] - self.sums[start]) * self.back[start] + np.asarray(length).astype(np.uint64))
-
-
 def joined_words(texts: list[str], hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
     """The hashed words of several texts in a row, and where each text begins and ends."""
     split = [text.encode("utf-8", "replace").split() for text in texts]
@@ -54,17 +40,6 @@ def joined_words(texts: list[str], hashes: WordHashes) -> tuple[np.ndarray, np.n
     return hashes([word for words in split for word in words]), bounds
 
 
-def text_portions(texts: list[str], size: int = 2_000_000) -> Iterator[slice]:
-    start, held = 0, 0
-    for at, text in enumerate(texts):
-        held += len(text)
-        if held >= size:
-            yield slice(start, at + 1)
-            start, held = at + 1, 0
-    if start < len(texts):
-        yield slice(start, len(texts))
-
-
 def paths_in(words: np.ndarray, bounds: np.ndarray, window: int, inner: int):
     """Text, start, number of edges, hash of the inner window and of all words, of every path."""
     text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
@@ -104,40 +79,46 @@ def paths(docs: DataFrame, window: int, inner: int) -> DataFrame:
     return docs.mapInArrow(find, "_id bigint, place bigint, content bigint, inner bigint")
 
 
+def listed_places(found: DataFrame) -> DataFrame:
+    """``_id`` and two arrays: the places in its text, and the hashes they were found for."""
+    listed = found.groupBy("_id").agg(F.collect_set(F.struct("place", "content")).alias("found"))
+    return listed.select(
+        "_id",
+        F.transform("found", lambda entry: entry["place"]).alias("_places"),
+        F.transform("found", lambda entry: entry["content"]).alias("_checks"),
+    )
+
+
 def sound(content: Content, count: int, places: np.ndarray, checks: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Starts and numbers of edges of those places whose words are the ones they were found for."""
     start, edges = places // STEP, places % STEP
     inside = start + edges + window - 1 <= count
-    start, edges, checks = start[inside], edges[inside], checks[inside]
+    start, edges, checks = start[inside], edges[inside], checks[inside].view(np.uint64)
     same = content(start, edges + window - 1) == checks
     return start[same], edges[same]
 
 
 def edges_of(docs: DataFrame, branching: DataFrame, window: int) -> DataFrame:
     """``_id, place, content, other`` for every edge of the branching paths."""
-    listed = branching.groupBy("_id").agg(F.collect_set(F.struct("place", "content")).alias("found"))
+    listed = listed_places(branching)
     schema = "_id bigint, place bigint, content bigint, other bigint"
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
         for batch in batches:
-            for _id, text, found in batch.itertuples(index=False):
+            parts = []
+            for _id, text, places, checks in batch.itertuples(index=False):
                 words = hashes(text.encode("utf-8", "replace").split())
-                content, other = Content(words), Content(words, BASES[1])
-                places = np.array([row["place"] for row in found], np.int64)
-                checks = np.array([row["content"] for row in found], np.int64).view(np.uint64)
+                content = Content(words)
                 start, edges = sound(content, len(words), places, checks, window)
                 each = np.unique(np.repeat(start, edges) + np.arange(edges.sum()) - np.repeat(np.cumsum(edges) - edges, edges))
-                yield pd.DataFrame(
-                    {
-                        "_id": _id,
-                        "place": each * STEP + 1,
-                        "content": content(each, window).view(np.int64),
-                        "other": other(each, window).view(np.int64),
-                    }
-                )
+                other = Content(words, BASES[1])(each, window)
+                parts.append((np.full(len(each), _id), each * STEP + 1, content(each, window).view(np.int64), other.view(np.int64)))
+            if parts:
+                columns = [np.concatenate(column) for column in zip(*parts, strict=True)]
+                yield pd.DataFrame(dict(zip(("_id", "place", "content", "other"), columns, strict=True)))
 
-    return docs.join(listed, "_id").select("_id", "text", "found").mapInPandas(find, schema)
+    return docs.join(listed, "_id").select("_id", "text", "_places", "_checks").mapInPandas(find, schema)
 
 
 def later(occurrences: DataFrame, firsts: DataFrame, keys: list[str]) -> DataFrame:
@@ -151,6 +132,7 @@ def repeats(docs: DataFrame, window: int, inner: int) -> DataFrame:
     all_paths = stored(paths(docs, window, inner), "paths")
     repeated = all_paths.groupBy("inner").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("inner")
     again = stored(all_paths.join(repeated, "inner", "left_semi"), "repeated-paths")
+    drop_stored(all_paths)
     first = F.min(F.struct("_id", "place")).alias("first")
     groups = again.groupBy("inner").agg((F.min("content") == F.max("content")).alias("straight"), first)
     straight = groups.where("straight").select("inner", "first")
@@ -172,7 +154,7 @@ def cut(text: str, covered: np.ndarray) -> str:
     return b"".join([*parts, data[at:]]).decode("utf-8", "replace")
 
 
-def without_repeats(docs: DataFrame, window: int = 20, inner: int = 5, text: str = "text") -> DataFrame:
+def without_repeats(docs: DataFrame, window: int = 20, inner: int = 8, text: str = "text") -> DataFrame:
     """Cut every word that lies in a window whose words occur earlier too.
 
     Earlier is a smaller ``doc_id``, or an earlier start in the same document; all windows are
@@ -183,27 +165,25 @@ def without_repeats(docs: DataFrame, window: int = 20, inner: int = 5, text: str
     Texts shorter than a window, empty ones and null ones stay as they are; a null text has no
     words. A null ``doc_id`` counts as smaller than all others. Rows that share a ``doc_id``
     are places of one document: a window at the same start in several of them is not earlier
-    in any, so repeated rows stay alike.
+    in any, so repeated rows stay alike. ``docs`` has no columns ``_id, _places, _checks, _cut``.
     """
     if not 1 <= inner <= window or window - inner + 1 >= STEP:
         raise ValueError("the inner window must be shorter than the window, by less than STEP words")
     keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)))
     texts = keyed.select("_id", F.coalesce(F.col(text), F.lit("")).alias("text"))
     found = repeats(texts, window, inner)
-    listed = found.groupBy("_id").agg(F.collect_set(F.struct("place", "content")).alias("_found"))
+    listed = listed_places(found)
 
     @F.pandas_udf("text string, n_words bigint, n_removed bigint, spans array<struct<start:bigint,length:bigint>>")
-    def apply(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    def apply(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
-        for values, lists in batches:
+        for batch in batches:
             rows = []
-            for value, found in zip(values, lists, strict=True):
+            for value, places, checks in zip(*batch, strict=True):
                 words = (value or "").encode("utf-8", "replace").split()
                 covered = np.zeros(len(words) + 1, np.int64)
-                if found is not None and len(words) >= window:
+                if places is not None and len(words) >= window:
                     content = Content(hashes(words))
-                    places = np.array([row["place"] for row in found], np.int64)
-                    checks = np.array([row["content"] for row in found], np.int64).view(np.uint64)
                     start, edges = sound(content, len(words), places, checks, window)
                     np.add.at(covered, start, 1)
                     np.add.at(covered, start + edges + window - 1, -1)
@@ -213,6 +193,6 @@ def without_repeats(docs: DataFrame, window: int = 20, inner: int = 5, text: str
                 rows.append((cut(value, mask) if spans else value, len(words), int(mask.sum()), spans))
             yield pd.DataFrame(rows, columns=["text", "n_words", "n_removed", "spans"])
 
-    joined = keyed.join(listed, "_id", "left").withColumn("_cut", apply(F.col(text), F.col("_found")))
+    joined = keyed.join(listed, "_id", "left").withColumn("_cut", apply(F.col(text), F.col("_places"), F.col("_checks")))
     results = {name: F.col(f"_cut.{name}") for name in ("n_words", "n_removed", "spans")}
-    return joined.withColumns({text: F.col("_cut.text"), **results}).drop("_id", "_found", "_cut")
+    return joined.withColumns({text: F.col("_cut.text"), **results}).drop("_id", "_places", "_checks", "_cut")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
@@ -33,6 +34,33 @@ def seeds(count: int, start: int) -> np.ndarray:
     return mix(np.arange(start, start + count, dtype=np.uint64) + np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
+BASES = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+
+
+class Content:
+    """Hashes of any stretch of a sequence of hashed words, from running sums."""
+
+    def __init__(self, words: np.ndarray, base: int = BASES[0]):
+        power, self.back = (np.ones(len(words) + 1, np.uint64) for _ in range(2))
+        np.cumprod(np.full(len(words), base, np.uint64), out=power[1:])
+        np.cumprod(np.full(len(words), pow(base, -1, 2**64), np.uint64), out=self.back[1:])
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * power[:-1], dtype=np.uint64)])
+
+    def __call__(self, start: np.ndarray, length) -> np.ndarray:
+        return mix((self.sums[start + length] - self.sums[start]) * self.back[start] + np.asarray(length).astype(np.uint64))
+
+
+def text_portions(texts: list[str], size: int = 2_000_000) -> Iterator[slice]:
+    start, held = 0, 0
+    for at, text in enumerate(texts):
+        held += len(text)
+        if held >= size:
+            yield slice(start, at + 1)
+            start, held = at + 1, 0
+    if start < len(texts):
+        yield slice(start, len(texts))
+
+
 class WordHashes:
     """64-bit hashes of words given as bytes; remembers a bounded number of them."""
 
@@ -78,8 +106,29 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+# Spark's own setting: the shuffle files of a query go when it ends.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows written to the shared folder and read back: a cut lineage that survives lost executors."""
-    path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """The rows written to the shared folder and read back: a cut lineage that survives lost executors.
+
+    Nothing reads the shuffles of the written rows again, so their files go at once.
+    """
+    spark, path = df.sparkSession, shared_folder(df.sparkSession, name)
+    before = spark.conf.get(CLEAN_UP)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.stored_at = path
+    return table
+
+
+def drop_stored(table: DataFrame) -> None:
+    """Delete the files of a table that :func:`stored` returned and that no result reads any more."""
+    spark = table.sparkSession
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table.stored_at)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
