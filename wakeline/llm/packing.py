@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import json
 import re
+import sys
+from array import array
 from collections.abc import Iterator
 
 import pandas as pd
@@ -34,7 +36,7 @@ class Tokens:
     before. A text with other white space in a row is encoded as a whole.
     """
 
-    def __init__(self, path: str, pattern: str, remembered: int = 400_000):
+    def __init__(self, path: str, pattern: str, remembered: int = 600_000):
         import tiktoken
 
         with open(path, encoding="utf-8") as file:
@@ -49,27 +51,24 @@ class Tokens:
         self.encoding = tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.known: dict[str, bytes] = {}
         self.remembered = remembered
-        self.feed = self.encoded("\n")
 
     def encoded(self, text: str) -> bytes:
-        return self.encoding.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
-
-    def stretch(self, text: str) -> bytes:
-        found = self.known.get(text)
-        if found is None:
-            if len(self.known) >= self.remembered:
-                self.known.clear()
-            found = self.known[text] = self.encoded(text)
-        return found
+        ids = array("I", self.encoding.encode_ordinary(text))
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
     def __call__(self, text: str) -> bytes:
-        if re.search(r"\s\s", text) or text[:1].isspace() or text[-1:].isspace():
+        if re.search(r"\s\s|\0", text) or text[:1].isspace() or text[-1:].isspace():
             return self.encoded(text)
-        lines = []
-        for line in text.split("\n"):
-            first, *rest = line.split(" ")
-            lines.append(b"".join([self.stretch(first), *[self.stretch(" " + word) for word in rest]]))
-        return self.feed.join(lines)
+        stretches = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+        missing = set(stretches).difference(self.known)
+        if len(self.known) + len(missing) > self.remembered:
+            self.known.clear()
+            missing = set(stretches)
+        for stretch in missing:
+            self.known[stretch] = self.encoded(stretch)
+        return b"".join(map(self.known.__getitem__, stretches))
 
 
 def piece_lengths(tokens: int, longest: int) -> list[int]:
