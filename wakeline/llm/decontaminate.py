@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wakeline.llm.text import WordHashes, window_hashes
+from wakeline.llm.text import Content, WordHashes, text_portions
 
 TOKEN = re.compile(r"[^\W_]+")
 TILE = "array<struct<doc_token:bigint,item_token:bigint,length:bigint>>"
@@ -26,10 +26,21 @@ TILE = "array<struct<doc_token:bigint,item_token:bigint,length:bigint>>"
 MAX_SENT_SEEDS = 1_000_000
 
 
+# The same tokens of a text of ASCII characters, by a table of its bytes.
+ASCII = bytes(at if chr(at).isalnum() and at < 128 else 32 for at in range(256))
+
+
 def tokens_of(text: str) -> list[str]:
     return TOKEN.findall(text.lower())
 
 
+def token_hashes(text: str, hashes: WordHashes) -> np.ndarray:
+    """Hashes of :func:`tokens_of`; those of a text and of its UTF-8 bytes are the same."""
+    if text.isascii():
+        return hashes(text.lower().encode().translate(ASCII).split())
+    return hashes(tokens_of(text))
+
+
 def powers(base: int, count: int) -> np.ndarray:
     return np.concatenate([[np.uint64(1)], np.cumprod(np.full(max(count - 1, 0), base, np.uint64))]).astype(np.uint64)
 
@@ -107,27 +118,23 @@ def tiling(doc: np.ndarray, item: np.ndarray, least: int) -> list[tuple[int, int
 
 
 def document_seeds(docs: DataFrame, least: int) -> DataFrame:
-    """``doc_id, text_hash, seed``: each window of ``least`` tokens once per text."""
+    """``doc_id, text_hash, seed`` of each window of ``least`` tokens."""
 
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            ids, prints, texts = (batch.column(at).to_pylist() for at in range(3))
-            found, sizes = [], []
-            for text in texts:
-                windows = np.unique(window_hashes(hashes(tokens_of(text)), least))
-                found.append(windows.view(np.int64))
-                sizes.append(len(windows))
-            rows = np.repeat(np.arange(len(texts)), sizes)
-            taken = pa.array(rows)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(ids, pa.int64()).take(taken),
-                    pa.array(prints, pa.int64()).take(taken),
-                    pa.array(np.concatenate([*found, np.empty(0, np.int64)])),
-                ],
-                names=["doc_id", "text_hash", "seed"],
-            )
+            ids, prints, texts = batch.column(0), batch.column(1), batch.column(2).to_pylist()
+            for part in text_portions(texts):
+                tokens = [token_hashes(text, hashes) for text in texts[part]]
+                ends = np.cumsum([len(own) for own in tokens])
+                joined = np.concatenate(tokens)
+                text = np.repeat(np.arange(len(tokens)), [len(own) for own in tokens])
+                starts = np.flatnonzero(ends[text] - np.arange(len(joined)) >= least)
+                rows = pa.array(text[starts] + part.start)
+                yield pa.RecordBatch.from_arrays(
+                    [ids.take(rows), prints.take(rows), pa.array(Content(joined)(starts, least).view(np.int64))],
+                    names=["doc_id", "text_hash", "seed"],
+                )
 
     return docs.mapInArrow(seeds, "doc_id bigint, text_hash bigint, seed bigint")
 
@@ -139,8 +146,9 @@ def item_seeds(items: DataFrame, least: int) -> DataFrame:
         hashes = WordHashes()
         for batch in batches:
             for item_id, item_hash, text in zip(batch["item_id"], batch["item_hash"], batch["item_text"], strict=True):
-                tokens = tokens_of(text)
-                windows = window_hashes(hashes(tokens), least).view(np.int64)
+                tokens = token_hashes(text, hashes)
+                starts = np.arange(max(0, len(tokens) - least + 1))
+                windows = Content(tokens)(starts, least).view(np.int64)
                 yield pd.DataFrame(
                     {"item_id": pd.array([item_id] * len(windows), "Int64"), "item_hash": item_hash, "tokens": len(tokens), "place": np.arange(len(windows)), "seed": windows}
                 )
@@ -187,9 +195,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6,
         for batch in batches:
             rows = []
             for doc_id, text_hash, text, items in batch.itertuples(index=False):
-                doc = hashes(tokens_of(text))
+                doc = token_hashes(text, hashes)
                 for item in items:
-                    tokens = hashes(tokens_of(item["item_text"]))
+                    tokens = token_hashes(item["item_text"], hashes)
                     tiles = tiling(doc, tokens, min_match)
                     matched = sum(length for _, _, length in tiles)
                     if matched >= threshold * len(tokens):
