@@ -9,7 +9,7 @@ from oracle import connect, from_duckdb, from_spark
 from wakeline.llm import langid, nearduplicates, queries
 
 
-@pytest.mark.parametrize("name", ["op1_quality_rules", "op3_hash_tree_sharding", "op7_chat_round_trip"])
+@pytest.mark.parametrize("name", ["op1_quality_rules", "op3_hash_tree_sharding", "op6_bayesian_minhash", "op7_chat_round_trip", "op8_license_scan", "op9_path_compaction"])
 def test_query_equals_sql(spark, name):
     sf = "/root/testdata/sf0.001"
     assert from_spark(queries.queries()[name](spark, sf)) == from_duckdb(connect(sf), queries.oracle_sql()[name])

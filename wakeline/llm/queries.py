@@ -399,12 +399,63 @@ SELECT record_id, canonical_url, CAST(micros AS BIGINT) AS micros, response_id,
 FROM entries"""
 
 
+def license_sql(looked_up: int = 6) -> str:
+    def quoted(words: list[str]) -> str:
+        return "[" + ", ".join(f"'{word}'" for word in words) + "]"
+
+    notices = ",\n    ".join(
+        f"({at}, '{n.label}', {quoted(n.words)}, {quoted(n.key.split())}, {n.key_at})" for at, n in enumerate(licenses.NOTICES)
+    )
+    phrases = ", ".join(f"({quoted(phrase.split())}, '{label}')" for phrase, label in licenses.PHRASES.items())
+    return rf"""
+WITH notices(notice, label, wording, key, key_at) AS (
+  VALUES {notices}
+), phrases(phrase, label) AS (
+  VALUES {phrases}
+), texts AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    list_filter(regexp_split_to_array({SQL_LOWER}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS words
+  FROM documents
+), tokens AS (
+  SELECT r, words, unnest(words) AS w, unnest(range(len(words))) AS p FROM texts
+), postings AS (
+  SELECT notice, unnest(wording) AS w, unnest(range(len(wording))) AS pos FROM notices
+), present AS (
+  SELECT DISTINCT r, w FROM tokens SEMI JOIN postings USING (w)
+), frequencies AS (
+  SELECT w, count(*) AS texts FROM present GROUP BY w
+), top AS (
+  SELECT r, w FROM present JOIN frequencies USING (w) QUALIFY row_number() OVER (PARTITION BY r ORDER BY texts, w) <= {looked_up}
+), starts AS (
+  SELECT r, any_value(t.words) AS words, notice, p - pos AS start
+  FROM tokens t JOIN top USING (r, w) JOIN postings USING (w) GROUP BY r, notice, p - pos HAVING count(*) >= 2
+), matches AS (
+  SELECT r, label, CAST(len(list_filter(range(len(wording)), lambda i: start + i >= 0 AND words[start + i + 1] = wording[i + 1])) AS DOUBLE)
+    / len(wording) AS agreement
+  FROM starts JOIN notices USING (notice)
+  WHERE start + key_at >= 0 AND words[start + key_at + 1:start + key_at + len(key)] = key
+), places AS (
+  SELECT r, label, p FROM tokens JOIN phrases ON w = phrase[1] AND words[p + 1:p + len(phrase)] = phrase
+), base AS (
+  SELECT r, count(*) AS n, min(p) AS first_word, max(p) AS last_word FROM places GROUP BY r
+), labelled AS (
+  SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (is_base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
+  FROM (SELECT r, label, TRUE AS is_base FROM places UNION ALL SELECT r, label, FALSE FROM matches) GROUP BY r
+), scores AS (
+  SELECT r, max(agreement) AS score FROM matches GROUP BY r
+)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_base, first_word, last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0) AS score
+FROM texts LEFT JOIN base USING (r) LEFT JOIN labelled USING (r) LEFT JOIN scores USING (r)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_quality_rules": quality_sql(),
         "op3_hash_tree_sharding": shard_sql(),
         "op6_bayesian_minhash": groups_sql(),
         "op7_chat_round_trip": chat_sql(),
+        "op8_license_scan": license_sql(),
         "op9_path_compaction": spans_sql(),
         "op10_revisit_resolution": revisit_sql(),
     }
