@@ -2,8 +2,9 @@
 
 1. Texts with equal shingle sets are one class; only classes are compared.
 2. Classes whose signatures agree in a band share a bucket. Buckets of up to ``small``
-   classes give pairs by a join. Larger ones are cut into blocks, and each pair of blocks is
-   one task's work, whose output is no larger than its input: a forest of confirmed links.
+   classes give pairs by a join. Larger ones are cut into blocks, each one task's work, whose
+   output is no larger than its input: a forest of confirmed links. Then only classes outside
+   of a bucket's largest component are compared across its blocks.
 3. Signatures are compared batch by batch. A pair goes as soon as the posterior probability
    that its similarity reaches the threshold falls below ``miss``.
 4. What is left is confirmed on the full shingle sets. Two classes that links connect
@@ -38,7 +39,7 @@ class Settings:
     batch: int = 32  # signature values compared at a time
     miss: float = 1e-6
     small: int = 16  # classes in a bucket that is joined to pairs
-    block: int = 512  # classes of a larger bucket in one task, twice
+    block: int = 512  # classes of a larger bucket in one task, or twice as many across blocks
 
     @property
     def length(self) -> int:
@@ -125,52 +126,58 @@ def linked(one: np.ndarray, other: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(one) + len(other) - common)
 
 
-def forest(members: pd.DataFrame, settings: Settings, band: int, across: bool) -> list[tuple[int, int]]:
-    """Confirmed links that connect what this bucket, or pair of its blocks, can connect."""
+def forest(members: pd.DataFrame, settings: Settings) -> list[tuple[int, int]]:
+    """Confirmed links that connect what these rows of one bucket can connect.
+
+    Rows with ``asks`` are compared with those with ``held``; rows of one ``root`` are not, and
+    two that are ``outside`` of the largest component only once.
+    """
     sigs = np.stack([np.frombuffer(sig, "<u2") for sig in members["sig"]])
     sets = [np.frombuffer(shingles, "<u8") for shingles in members["shingles"]]
-    n, block, nodes = members["n"].to_numpy(), members["block"].to_numpy(), members["node"].to_numpy()
-    parent = list(range(len(nodes)))
+    n, nodes, roots, outside = (members[name].to_numpy() for name in ("n", "node", "root", "outside"))
+    asks, others = (np.flatnonzero(members[name].to_numpy()) for name in ("asks", "held"))
+    band = int(members["band"].iloc[0])
+    parent: dict[int, int] = {}
 
-    def root(at: int) -> int:
-        while parent[at] != at:
-            parent[at] = parent[parent[at]]
-            at = parent[at]
-        return at
+    def top(node: int) -> int:
+        while (above := parent.setdefault(node, node)) != node:
+            parent[node] = parent[above]
+            node = above
+        return node
 
     found = []
-    for at in range(len(nodes) - 1):
-        rest = np.arange(at + 1, len(nodes))
-        near = 100 * np.minimum(n[at], n[rest]) >= settings.percent * np.maximum(n[at], n[rest])
-        if across:
-            near &= block[at] != block[rest]
-        rest = rest[near]
+    for at in asks.tolist():
+        rest = others[(roots[others] != roots[at]) & (~outside[others] | (nodes[others] > nodes[at]))]
+        rest = rest[100 * np.minimum(n[at], n[rest]) >= settings.percent * np.maximum(n[at], n[rest])]
         if band:  # a pair belongs to the first band in which it agrees
-            same = (sigs[at, : band * settings.rows] == sigs[rest, : band * settings.rows]).reshape(len(rest), band, settings.rows)
+            width = band * settings.rows
+            same = (sigs[at, :width] == sigs[rest, :width]).reshape(len(rest), band, settings.rows)
             rest = rest[~same.all(2).any(1)]
         pairs, matches = surviving(np.broadcast_to(sigs[at], (len(rest), settings.length)), sigs[rest], settings)
         found += zip(matches.tolist(), [at] * len(pairs), rest[pairs].tolist(), strict=True)
     links = []
     for _, one, other in sorted(found, reverse=True):
-        if root(one) != root(other) and linked(sets[one], sets[other], settings.percent):
-            parent[root(one)] = root(other)
+        tops = top(int(roots[one])), top(int(roots[other]))
+        if tops[0] != tops[1] and linked(sets[one], sets[other], settings.percent):
+            parent[tops[0]] = tops[1]
             links.append((int(nodes[one]), int(nodes[other])))
     return links
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, settings: Settings) -> DataFrame:
-    """``node, shingles`` of the wanted ``node, rep``, from the texts of their representatives."""
+    """``node, shingles, sig`` of the wanted ``node, rep, sig``, from the texts of their representatives."""
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
         for batch in batches:
-            for text in batch["text"]:
-                shingles = shingle_set(text, settings.shingle, hashes)
-                yield pd.DataFrame({"node": [node_of(shingles)], "shingles": [shingles.astype("<u8").tobytes()]})
+            sets = [shingle_set(text, settings.shingle, hashes) for text in batch["text"]]
+            rows = {"node": [node_of(own) for own in sets], "shingles": [own.astype("<u8").tobytes() for own in sets]}
+            yield pd.DataFrame(rows).astype({"node": "int64"})
 
     reps = wanted.select(F.col("rep").alias("doc_id")).distinct()
     found = docs.join(reps, "doc_id", "left_semi").select("text").mapInPandas(find, "node bigint, shingles binary")
-    return found.join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    sets = found.groupBy("node").agg(F.first("shingles").alias("shingles"))
+    return sets.join(wanted.select("node", "sig"), "node")
 
 
 def links_of(docs: DataFrame, classes: DataFrame, settings: Settings) -> DataFrame:
@@ -195,7 +202,7 @@ def links_of(docs: DataFrame, classes: DataFrame, settings: Settings) -> DataFra
     candidates = stored(with_sigs.mapInPandas(prune, "u bigint, v bigint"), "candidates")
     many = shared.where(F.col("members") > settings.small)
     nodes = candidates.select(F.col("u").alias("node")).union(candidates.select("v")).union(many.select("node")).distinct()
-    wanted = classes.join(nodes, "node", "left_semi").select("node", "rep")
+    wanted = classes.join(nodes, "node", "left_semi").select("node", "rep", "sig")
     sets = stored(shingle_sets(docs, wanted, settings), "shingle-sets")
 
     def confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -206,26 +213,49 @@ def links_of(docs: DataFrame, classes: DataFrame, settings: Settings) -> DataFra
             ]
             yield batch.loc[np.array(same, bool), ["u", "v"]]
 
-    with_sets = candidates.join(sets.toDF("v", "set_v"), "v").join(sets.toDF("u", "set_u"), "u")
+    plain = sets.select("node", "shingles")
+    with_sets = candidates.join(plain.toDF("v", "set_v"), "v").join(plain.toDF("u", "set_u"), "u")
     confirmed = with_sets.mapInPandas(confirm, "u bigint, v bigint")
 
-    blocks = F.ceil(F.col("members") / F.lit(settings.block)).cast("int")
-    own = F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int")
-    spread = (
-        many.withColumn("blocks", blocks)
-        .withColumn("block", own)
-        .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", "band", "node", "n", "block", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"))
-        .join(classes.select("node", "sig"), "node")
-        .join(sets, "node")
+    def connect(key: tuple, members: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(forest(members, settings), columns=["u", "v"]).astype("int64")
+
+    def blocks_of(rows: Column) -> Column:
+        return F.ceil(rows / F.lit(settings.block)).cast("int")
+
+    def block(blocks: Column, salt: int) -> Column:
+        return F.pmod(F.xxhash64("node", F.lit(salt)), blocks).cast("int")
+
+    columns = ("key", "band", "node", "n")
+    inside = many.select(*columns, F.col("node").alias("root"), block(blocks_of(F.col("members")), 1).alias("block"))
+    inside = inside.join(sets, "node").withColumns({name: F.lit(True) for name in ("outside", "asks", "held")})
+    first = stored(
+        confirmed.unionByName(inside.groupBy("key", "block").applyInPandas(connect, "u bigint, v bigint")), "first-links"
     )
 
-    def connect(key: tuple, members: pd.DataFrame) -> pd.DataFrame:
-        links = forest(members, settings, int(members["band"].iloc[0]), key[1] != key[2])
-        return pd.DataFrame(links, columns=["u", "v"]).astype("int64")
+    roots = components(first)
+    rooted = many.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    of_root = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("rows"))
+    largest = of_root.groupBy("key").agg(F.max(F.struct("rows", "root")).alias("largest"), F.sum("rows").alias("all"))
+    largest = largest.where(F.col("largest.rows") < F.col("all"))
+    spread = rooted.join(largest, "key").select(
+        *columns,
+        "root",
+        (F.col("root") != F.col("largest.root")).alias("outside"),
+        blocks_of(F.col("all")).alias("blocks"),
+        blocks_of(F.col("all") - F.col("largest.rows")).alias("outer_blocks"),
+    )
+
+    def numbers(blocks: Column) -> Column:
+        return F.explode(F.sequence(F.lit(0), blocks - 1))
 
-    connected = spread.groupBy("key", "low", "high").applyInPandas(connect, "u bigint, v bigint")
-    return confirmed.unionByName(connected)
+    held = spread.withColumns({"i": block(F.col("blocks"), 1), "asks": F.lit(False), "held": F.lit(True)})
+    held = held.withColumn("j", numbers(F.col("outer_blocks")))
+    asks = spread.where("outside").withColumns({"j": block(F.col("outer_blocks"), 2), "asks": F.lit(True), "held": F.lit(False)})
+    asks = asks.withColumn("i", numbers(F.col("blocks")))
+    names = (*columns, "root", "outside", "asks", "held", "i", "j")
+    across = held.select(*names).unionByName(asks.select(*names)).join(sets, "node")
+    return first.unionByName(across.groupBy("key", "i", "j").applyInPandas(connect, "u bigint, v bigint"))
 
 
 def components(links: DataFrame) -> DataFrame:
