@@ -154,7 +154,7 @@ def counted(docs: DataFrame, text: str, lang: str, languages: list[str], setting
         for batch in batches:
             for number, rows in batch.groupby("lang")["text"]:
                 texts = rows.tolist()
-                for portion in portions(texts, 2_000_000):
+                for portion in portions(texts, 500_000):
                     words = words_in([texts[at] for at in portion], settings.buckets)
                     triples[number] += np.bincount(words.triples, minlength=settings.buckets)
                     scripts[number] += np.bincount(words.script, words.end - words.begin, len(NAMES)).astype(np.int64)
@@ -227,7 +227,7 @@ def label_texts(texts: list[str], model: Model) -> list[tuple[str, float, list[d
     settings, found = model.settings, [(UNKNOWN, 0.0, [])] * len(texts)
     if not model.languages:
         return found
-    for portion in portions(texts, max(100_000, 8_000_000 // len(model.languages))):
+    for portion in portions(texts, max(100_000, 2_000_000 // len(model.languages))):
         words = words_in([texts[at] for at in portion], settings.buckets)
         if not len(words.first):
             continue

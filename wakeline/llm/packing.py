@@ -36,7 +36,7 @@ class Tokens:
     before. A text with other white space in a row is encoded as a whole.
     """
 
-    def __init__(self, path: str, pattern: str, remembered: int = 600_000):
+    def __init__(self, path: str, pattern: str, remembered: int = 300_000):
         import tiktoken
 
         with open(path, encoding="utf-8") as file:

@@ -64,7 +64,7 @@ def text_portions(texts: list[str], size: int = 2_000_000) -> Iterator[slice]:
 class WordHashes:
     """64-bit hashes of words given as bytes; remembers a bounded number of them."""
 
-    def __init__(self, remembered: int = 500_000):
+    def __init__(self, remembered: int = 200_000):
         self.remembered, self.known = remembered, {}
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
