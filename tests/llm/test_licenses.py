@@ -56,6 +56,33 @@ def test_a_notice_with_a_changed_word_is_still_placed(spark):
     assert row["labels"] == ["bsd"] and row["score"] == 12 / 14
 
 
+def matches_by_hand(text):
+    words = re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text.lower())
+    found = []
+    for notice in licenses.NOTICES:
+        wording, key = notice.words, notice.key.split()
+        for start in range(-len(wording), len(words)):
+            if start + notice.key_at >= 0 and words[start + notice.key_at :][: len(key)] == key:
+                agreed = sum(start + at >= 0 and words[start + at : start + at + 1] == [word] for at, word in enumerate(wording))
+                if agreed >= 2:
+                    found.append((notice.label, start, agreed / len(wording)))
+    return found
+
+
+def test_no_notice_displaces_another(spark):
+    ordinary = "free software 2 4 0 v and or by to any person charge subject terms binary mozilla cc granted"
+    several = "Licensed under the Apache License, Version 2.0. Licensed under CC BY-NC 4.0. " + TEXTS[3]
+    every = [" x ".join([ordinary, *[notice.text for notice in notices], ordinary]) for notices in (licenses.NOTICES, licenses.NOTICES[::-1])]
+    texts = [several, *every, *[f"{ordinary} {notice.text} {ordinary}" for notice in licenses.NOTICES], *TEXTS]
+    rows = [(n, text, "en", "a", 0) for n, text in enumerate(texts)] + [(1000 + n, word, "en", "a", 0) for n, word in enumerate(ordinary.split() * 3)]
+    found = {row["doc_id"]: row for row in scanned(frame(spark, rows)).select("doc_id", "license.*").collect()}
+    for n, text in enumerate(texts):
+        assert [tuple(match) for match in found[n]["matches"]] == matches_by_hand(text), text
+    assert found[0]["labels"] == ["apache-2", "cc-by-nc", "gpl", "gpl-3"]
+    assert found[1]["labels"] == found[2]["labels"] == sorted({notice.label for notice in licenses.NOTICES})
+    assert all(found[3 + n]["score"] == 1.0 for n in range(len(licenses.NOTICES)))
+
+
 def test_other_columns_and_empty_tables(spark):
     df = clashing(frame(spark, AWKWARD), "words", "hits", "places", "matches", "word")
     assert scanned(df).where("doc_id = 4").first()["words"] == "kept"

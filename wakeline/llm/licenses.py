@@ -1,9 +1,10 @@
 """License scans by a positional index of rare words, in built-in functions only.
 
 Templates are short licence notices. The index holds, for each of their words, the places
-in each template. Of a file's licence words the few with the highest inverse document
-frequency are looked up; a template is placed where two of them stand at the same distance
-as in the template, and it counts if its mandatory key phrase stands there word by word.
+in each template. Of each template's mandatory key phrase the word with the highest inverse
+document frequency is looked up at all its places in a file; the template is placed wherever
+the whole key phrase stands around that word and two of its words agree. So nothing else in
+a file can displace a template, and the frequencies change the work, not the result.
 """
 
 from __future__ import annotations
@@ -102,7 +103,6 @@ def scanned(
     frequencies: tuple[int, dict[str, int]],
     notices: tuple[Notice, ...] = NOTICES,
     phrases: dict[str, str] = PHRASES,
-    looked_up: int = 6,
     text: str = "text",
     name: str = "license",
 ) -> DataFrame:
@@ -114,7 +114,8 @@ def scanned(
     as they are, repeated ones included; a column of that name is replaced. ``frequencies``
     come from :func:`document_frequencies`, over all texts. No shuffle, no Python.
     """
-    rare = list(by_rarity(*frequencies))
+    rarity = list(by_rarity(*frequencies))
+    anchors = [min(notice.key.split(), key=rarity.index) for notice in notices]
     taken = "_".join(docs.columns)
     names = {part: f"{part}_{taken}" for part in ("words", "hits", "places", "matches")}
     col = {part: F.col(f"`{column}`") for part, column in names.items()}
@@ -123,13 +124,12 @@ def scanned(
     found = docs.withColumn(names["words"], F.when(flagged, words_of(F.col(text))).otherwise(nothing))
     words = col["words"]
 
-    top = F.slice(F.array_intersect(F.lit(rare), words), 1, looked_up)
     numbered = F.transform(words, lambda word, at: F.struct(word.alias("word"), at.alias("at")))
-    hits = F.transform(F.array(top), lambda top: F.filter(numbered, lambda hit: F.array_contains(top, hit["word"])))
+    hits = F.filter(numbered, lambda hit: hit["word"].isin(sorted(set(anchors))))
     base = F.array(*[F.struct(F.lit(label).alias("label"), places(words, phrase).alias("at")) for phrase, label in phrases.items()])
-    found = found.withColumns({names["hits"]: F.get(hits, F.lit(0)), names["places"]: base})
+    found = found.withColumns({names["hits"]: hits, names["places"]: base})
 
-    matched = [matches(words, col["hits"], notice) for notice in notices]
+    matched = [matches(words, col["hits"], notice, anchor) for notice, anchor in zip(notices, anchors, strict=True)]
     found = found.withColumn(names["matches"], F.flatten(F.array(*matched)))
 
     starts = F.flatten(F.transform(col["places"], lambda phrase: phrase["at"]))
@@ -150,37 +150,28 @@ def scanned(
     return found.withColumn(name, result).drop(*names.values())
 
 
-def matches(words: Column, hits: Column, notice: Notice) -> Column:
-    """Where the notice stands, as label, word number and agreement."""
+def matches(words: Column, hits: Column, notice: Notice, anchor: str) -> Column:
+    """Where the notice stands, as label, word number and agreement; ``anchor`` is a word of its key phrase."""
     wording, key, key_at = notice.words, notice.key.split(), notice.key_at
-    postings: dict[str, list[int]] = {}
-    for at, word in enumerate(wording):
-        postings.setdefault(word, []).append(at)
-    index = F.create_map(*[part for word, at in postings.items() for part in (F.lit(word), F.lit(at))])
-    none = F.array().cast("array<int>")
-
-    def starts(hit: Column) -> Column:
-        return F.transform(F.coalesce(F.try_element_at(index, hit["word"]), none), lambda at: hit["at"] - at)
-
-    def agreed(in_order: Column) -> Column:
-        twice = F.filter(in_order, lambda start, at: F.coalesce(F.get(in_order, at - 1) == start, F.lit(False)))
-        return F.array_distinct(twice)
+    anchor_at = key_at + key.index(anchor)
 
     def phrase_stands(start: Column) -> Column:
         return F.when(start + F.lit(key_at) >= 0, F.slice(words, start + F.lit(key_at + 1), len(key)) == F.lit(key)).otherwise(F.lit(False))
 
-    def agreement(start: Column) -> Column:
+    def agreed(start: Column) -> Column:
         same = F.lit(0)
         for at, word in enumerate(wording):
             there = F.when(start + F.lit(at) >= 0, F.get(words, start + F.lit(at)) == F.lit(word))
             same = same + F.coalesce(there, F.lit(False)).cast("int")
-        return same / F.lit(float(len(wording)))
+        return same
 
-    in_order = F.sort_array(F.flatten(F.transform(hits, starts)))
-    placed = F.filter(F.get(F.transform(F.array(in_order), agreed), F.lit(0)), phrase_stands)
+    starts = F.transform(F.filter(hits, lambda hit: hit["word"] == F.lit(anchor)), lambda hit: hit["at"] - F.lit(anchor_at))
+    placed = F.filter(starts, lambda start: phrase_stands(start) & (agreed(start) >= 2))
     return F.transform(
         placed,
         lambda start: F.struct(
-            F.lit(notice.label).alias("label"), start.cast("bigint").alias("first_word"), agreement(start).alias("agreement")
+            F.lit(notice.label).alias("label"),
+            start.cast("bigint").alias("first_word"),
+            (agreed(start) / F.lit(float(len(wording)))).alias("agreement"),
         ),
     )
