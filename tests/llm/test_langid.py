@@ -70,6 +70,31 @@ def test_nothing_learned(spark):
     assert {row["language"]["lang"] for row in langid.labelled(df, model).collect()} == {"und"}
 
 
+def many_languages(count):
+    pools = {f"l{n:03}": ["".join(random.Random(f"{n} {at}").choices("abcdefghijklmnopqrstuvwxyz", k=7)) for at in range(12)] for n in range(count)}
+    rows = [(n, text_of(pool, n * 7 + copy), name, "a", 0) for n, (name, pool) in enumerate(pools.items()) for copy in range(1 + (n < 64))]
+    return pools, rows
+
+
+def test_every_language_is_learned(spark):
+    pools, rows = many_languages(150)
+    model = langid.learned(frame(spark, rows + AWKWARD[:1] + [(9000, None, "of no text", "a", 0)]))
+    assert model.languages == sorted([*pools, "of no text"])
+    texts = [text_of(pool, 1000 + n) for n, pool in enumerate(pools.values())]
+    assert [found[0] for found in langid.label_texts(texts, model)] == list(pools)
+
+
+def test_languages_held_at_a_time_change_nothing(spark):
+    _, rows = many_languages(10)
+    texts = [row[1] for row in rows] + [" ".join(row[1] for row in rows[::3]), "щука", ""]
+    whole, parts = (langid.learned(frame(spark, rows), settings=langid.Settings(held_languages=held)) for held in (64, 3))
+    assert langid.label_texts(texts, parts) == langid.label_texts(texts, whole)
+    counts = np.full((10, langid.SETTINGS.buckets), langid.SETTINGS.smoothing)
+    for _, text, name, *_ in rows:
+        np.add.at(counts[whole.languages.index(name)], langid.words_in([text], langid.SETTINGS.buckets).triples, 1)
+    assert np.array_equal(whole.scores(0), np.log(counts / counts.sum(1, keepdims=True)).astype(np.float32))
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     found = queries.op4_viterbi_language(spark, sf).join(queries.table(spark, sf, "documents").select("doc_id", "lang"), "doc_id")

@@ -5,8 +5,9 @@ letter triples around its letters. The script of its first letter narrows the la
 those that use this script. Viterbi then finds the labels of a text's words with the best
 sum of scores less a penalty for each change of language; runs of equal labels are spans.
 
-The model is a table of ``languages`` x ``buckets`` numbers, counted over all texts to
-learn from with partial counts per task, so its size is bounded whatever the corpus.
+The model has a row for each language, of the buckets of triples found in it, counted over all
+texts to learn from with partial counts per task. So its size is bounded by languages x buckets
+whatever the corpus, and a language with few texts has a short row; none is left out.
 """
 
 from __future__ import annotations
@@ -63,7 +64,7 @@ UNKNOWN = "und"
 @dataclass(frozen=True)
 class Settings:
     buckets: int = 1 << 15  # of letter triples
-    max_languages: int = 64  # the most frequent ones are learned
+    held_languages: int = 64  # counted or scored at a time in one task; changes no result
     smoothing: float = 0.5
     script_share: float = 0.001  # of a language's letters, to count as its script
     foreign: float = -30.0  # score of a letter in a script that the language does not use
@@ -140,57 +141,87 @@ def portions(texts: list[str], letters: int) -> Iterator[list[int]]:
 @dataclass
 class Model:
     languages: list[str]
-    scores: np.ndarray  # language x bucket
+    first: np.ndarray  # place of each language's row among the buckets found, and the end of the last
+    buckets: np.ndarray
+    found: np.ndarray  # score of each bucket found
+    unseen: np.ndarray  # score of any other bucket, for each language
     uses: np.ndarray  # script x language
     settings: Settings
 
+    def scores(self, start: int) -> np.ndarray:
+        """Language x bucket, of the held number of languages from ``start``."""
+        if self.kept is None or self.kept[0] != start:
+            end = min(start + self.settings.held_languages, len(self.languages))
+            table = np.repeat(self.unseen[start:end, None], self.settings.buckets, axis=1)
+            row = slice(self.first[start], self.first[end])
+            table[np.repeat(np.arange(end - start), np.diff(self.first[start : end + 1])), self.buckets[row]] = self.found[row]
+            self.kept = start, table
+        return self.kept[1]
 
-def counted(docs: DataFrame, text: str, lang: str, languages: list[str], settings: Settings) -> DataFrame:
+    def word_scores(self, words: Words) -> np.ndarray:
+        """Word x language."""
+        parts = range(0, len(self.languages), self.settings.held_languages)
+        scored = [np.add.reduceat(self.scores(start)[:, words.triples], words.first, axis=1) for start in parts]
+        return np.concatenate(scored).T.astype(np.float64)
+
+    kept: tuple[int, np.ndarray] | None = None
+
+
+def counted(docs: DataFrame, text: str, lang: str, settings: Settings) -> DataFrame:
     """Letters by language and bucket of triples, and by language and script as ``-1 - script``."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        triples = np.zeros((len(languages), settings.buckets), np.int64)
-        scripts = np.zeros((len(languages), len(NAMES)), np.int64)
-        for batch in batches:
-            for number, rows in batch.groupby("lang")["text"]:
-                texts = rows.tolist()
-                for portion in portions(texts, 500_000):
-                    words = words_in([texts[at] for at in portion], settings.buckets)
-                    triples[number] += np.bincount(words.triples, minlength=settings.buckets)
-                    scripts[number] += np.bincount(words.script, words.end - words.begin, len(NAMES)).astype(np.int64)
-        for number in range(len(languages)):
-            some, of_script = np.flatnonzero(triples[number]), np.flatnonzero(scripts[number])
+    def rows(triples: dict[str, np.ndarray], scripts: dict[str, np.ndarray]) -> Iterator[pd.DataFrame]:
+        for name in triples:
+            some, of_script = np.flatnonzero(triples[name]), np.flatnonzero(scripts[name])
             yield pd.DataFrame(
                 {
-                    "lang": number,
+                    "lang": name,
                     "bucket": np.concatenate([some, -1 - of_script]),
-                    "letters": np.concatenate([triples[number][some], scripts[number][of_script]]),
+                    "letters": np.concatenate([triples[name][some], scripts[name][of_script]]),
                 }
             )
 
-    known = F.array_position(F.lit(languages), F.col(lang)) - 1
-    learned = docs.select(known.cast("int").alias("lang"), F.col(text).alias("text")).where("lang >= 0 and text is not null")
-    partial = learned.mapInPandas(count, "lang int, bucket int, letters bigint")
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        triples: dict[str, np.ndarray] = {}
+        scripts: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for name, rows_of in batch.groupby("lang")["text"]:
+                if name not in triples and len(triples) >= settings.held_languages:
+                    yield from rows(triples, scripts)
+                    triples.clear(), scripts.clear()
+                own = triples.setdefault(name, np.zeros(settings.buckets, np.int64))
+                of_scripts = scripts.setdefault(name, np.zeros(len(NAMES), np.int64))
+                texts = rows_of.tolist()
+                for portion in portions(texts, 500_000):
+                    words = words_in([texts[at] for at in portion], settings.buckets)
+                    own += np.bincount(words.triples, minlength=settings.buckets)
+                    of_scripts += np.bincount(words.script, words.end - words.begin, len(NAMES)).astype(np.int64)
+        yield from rows(triples, scripts)
+
+    labelled = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null")
+    partial = labelled.mapInPandas(count, "lang string, bucket int, letters bigint")
     return partial.groupBy("lang", "bucket").agg(F.sum("letters").alias("letters"))
 
 
 def learned(docs: DataFrame, text: str = "text", lang: str = "lang", settings: Settings = SETTINGS) -> Model:
-    """The model of labelled texts; rows with a null label or text teach nothing."""
-    frequent = docs.where(F.col(lang).isNotNull()).groupBy(F.col(lang).alias("lang")).agg(F.count(F.lit(1)).alias("rows"))
-    frequent = frequent.orderBy(F.desc("rows"), "lang").limit(settings.max_languages)
-    languages = sorted(row["lang"] for row in frequent.collect())
-    triples = np.zeros((max(1, len(languages)), settings.buckets))
-    scripts = np.zeros((max(1, len(languages)), len(NAMES)))
-    if languages:
-        # at most languages x (buckets + scripts) rows, whatever the corpus
-        counts = counted(docs, text, lang, languages, settings).toPandas()
-        plain = counts[counts["bucket"] >= 0]
-        triples[plain["lang"], plain["bucket"]] = plain["letters"]
-        other = counts[counts["bucket"] < 0]
-        scripts[other["lang"], -1 - other["bucket"]] = other["letters"]
-    smooth = triples + settings.smoothing
+    """The model of labelled texts, of every label; rows with a null label or text teach nothing."""
+    languages = sorted(row["lang"] for row in docs.where(F.col(lang).isNotNull()).select(F.col(lang).alias("lang")).distinct().collect())
+    scripts = np.zeros((len(languages), len(NAMES)))
+    # at most languages x (buckets + scripts) rows, whatever the corpus
+    number = (F.array_position(F.lit(languages).cast("array<string>"), F.col("lang")) - 1).cast("int")
+    counts = counted(docs, text, lang, settings).select(number.alias("number"), "bucket", "letters").toPandas()
+    of, bucket, letters = (counts[name].to_numpy(np.int64) for name in ("number", "bucket", "letters"))
+    other = bucket < 0
+    scripts[of[other], -1 - bucket[other]] = letters[other]
     uses = scripts / np.maximum(scripts.sum(1, keepdims=True), 1) >= settings.script_share
-    return Model(languages, np.log(smooth / smooth.sum(1, keepdims=True)).astype(np.float32), uses.T, settings)
+    of, bucket, letters = of[~other], bucket[~other], letters[~other]
+    order = np.lexsort((bucket, of))
+    of, bucket, letters = of[order], bucket[order], letters[order]
+    total = np.bincount(of, letters, len(languages)) + settings.smoothing * settings.buckets
+    found = np.log((letters + settings.smoothing) / total[of]).astype(np.float32)
+    unseen = np.log(settings.smoothing / total).astype(np.float32)
+    first = np.searchsorted(of, np.arange(len(languages) + 1))
+    return Model(languages, first, bucket.astype(np.int32), found, unseen, uses.T, settings)
 
 
 def best_labels(scores: np.ndarray, first: np.ndarray, counts: np.ndarray, penalty: float) -> np.ndarray:
@@ -227,11 +258,11 @@ def label_texts(texts: list[str], model: Model) -> list[tuple[str, float, list[d
     settings, found = model.settings, [(UNKNOWN, 0.0, [])] * len(texts)
     if not model.languages:
         return found
-    for portion in portions(texts, max(100_000, 2_000_000 // len(model.languages))):
+    for portion in portions(texts, max(10_000, 2_000_000 // len(model.languages))):
         words = words_in([texts[at] for at in portion], settings.buckets)
         if not len(words.first):
             continue
-        scores = np.add.reduceat(model.scores[:, words.triples], words.first, axis=1).T.astype(np.float64)
+        scores = model.word_scores(words)
         size = words.end - words.begin
         uses = model.uses[words.script]
         known = uses.any(1, keepdims=True)
