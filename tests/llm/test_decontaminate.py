@@ -90,6 +90,32 @@ def test_every_pair_equals_brute_force(spark):
     assert {key: row["matched"] for key, row in found.items() if key[0] < 1000} == {k: v for k, v in expected.items() if k[0] < 1000}
 
 
+def test_short_items_equal_brute_force(spark):
+    rows = [(n, " ".join(words(70 + n, 40, 12)), "en", "a", 0) for n in range(12)] + AWKWARD
+    items = [(n, " ".join(words(170 + n, 1 + n % 7, 12))) for n in range(28)] + [(100, "One."), (101, "!"), (102, "text without")]
+    expected = {}
+    for doc_id, text, *_ in rows:
+        doc = decontaminate.tokens_of(text or "")
+        for item_id, item in items:
+            tokens = decontaminate.tokens_of(item)
+            matched = sum(n for _, _, n in tiling_by_hand(doc, tokens, min(5, len(tokens)))) if tokens else 0
+            if tokens and matched >= 0.6 * len(tokens):
+                expected[(doc_id, item_id)] = matched
+    found = found_in(spark, rows, items)
+    assert {key: row["matched"] for key, row in found.items()} == expected
+    assert {(4, 100), (5, 100), (None, 102)} <= set(expected)
+
+
+def test_scripts_without_blanks(spark):
+    question = "日本で一番高い山は何ですか、そしてその高さは何メートルありますか"
+    thai = "ภูเขาที่สูงที่สุดในประเทศไทยคือภูเขาอะไร"
+    texts = ["前書き。" + question + "続き", question.replace("番", "晩"), "日本の山は美しい", thai, "abc 12" + question + "xyz", "一番"]
+    found = found_in(spark, [(n, text, "ja", "a", 0) for n, text in enumerate(texts)], [(1, question), (2, thai), (3, "一番")])
+    assert set(found) == {(0, 1), (1, 1), (4, 1), (3, 2), (0, 3), (4, 3), (5, 3)}
+    assert found[(1, 1)]["item_tokens"] - found[(1, 1)]["matched"] == 5  # the four tokens before the changed one are too few to match
+    assert decontaminate.tokens_of("Abc漢字9x カ_é") == ["abc", "漢", "字", "9x", "カ", "é"]
+
+
 def test_empty_tables_and_other_columns(spark):
     items = spark.createDataFrame([(1, "a b c d e f g")], ITEMS)
     df = clashing(frame(spark, [(None, "a b c d e f g", "en", "a", 0)]), "seed", "tokens", "items", "text_hash")

@@ -1,6 +1,7 @@
 """Benchmark decontamination by greedy string tiling.
 
-Documents and benchmark items that share a window of ``min_match`` tokens are joined on it.
+Documents and benchmark items that share a window of ``min_match`` tokens are joined on it; the
+window of a shorter item is the whole item.
 The shared windows bound what a tiling can cover, so pairs below the threshold go before any
 text is compared. For the others the longest matches of yet unmarked tokens are marked again
 and again, found by running Karp-Rabin hashes, until none of ``min_match`` tokens is left.
@@ -20,7 +21,15 @@ from pyspark.sql import functions as F
 
 from wakeline.llm.text import Content, WordHashes, text_portions
 
-TOKEN = re.compile(r"[^\W_]+")
+# Fixed: scripts written without blanks between words (South-East Asian ones, Yi, kana, Han).
+UNSPACED = (
+    "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u1950-\u19ff\u1a20-\u1aaf\u1b00-\u1b7f\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff"
+    "\u3400-\u4dbf\u4e00-\u9fff\ua000-\ua4cf\ua980-\ua9ff\uaa60-\uaadf\uf900-\ufaff\uff66-\uff9f\U00020000-\U000323af"
+)
+UNSPACED_LETTER = re.compile(rf"(?=[{UNSPACED}])[^\W_]")
+# A token is a letter of such a script, or a run of other letters and digits.
+TOKEN = re.compile(rf"[^\W_{UNSPACED}]+|{UNSPACED_LETTER.pattern}")
+RUN = re.compile(r"[^\W_]+")
 TILE = "array<struct<doc_token:bigint,item_token:bigint,length:bigint>>"
 # The seeds of the benchmark are sent to all executors up to this many (12 bytes each).
 MAX_SENT_SEEDS = 1_000_000
@@ -31,7 +40,8 @@ ASCII = bytes(at if chr(at).isalnum() and at < 128 else 32 for at in range(256))
 
 
 def tokens_of(text: str) -> list[str]:
-    return TOKEN.findall(text.lower())
+    text = text.lower()
+    return (TOKEN if UNSPACED_LETTER.search(text) else RUN).findall(text)
 
 
 def token_hashes(text: str, hashes: WordHashes) -> np.ndarray:
@@ -117,8 +127,8 @@ def tiling(doc: np.ndarray, item: np.ndarray, least: int) -> list[tuple[int, int
     return tiles
 
 
-def document_seeds(docs: DataFrame, least: int) -> DataFrame:
-    """``doc_id, text_hash, seed`` of each window of ``least`` tokens."""
+def document_seeds(docs: DataFrame, lengths: list[int]) -> DataFrame:
+    """``doc_id, text_hash, seed`` of each window of so many tokens."""
 
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -129,26 +139,29 @@ def document_seeds(docs: DataFrame, least: int) -> DataFrame:
                 ends = np.cumsum([len(own) for own in tokens])
                 joined = np.concatenate(tokens)
                 text = np.repeat(np.arange(len(tokens)), [len(own) for own in tokens])
-                starts = np.flatnonzero(ends[text] - np.arange(len(joined)) >= least)
-                rows = pa.array(text[starts] + part.start)
-                yield pa.RecordBatch.from_arrays(
-                    [ids.take(rows), prints.take(rows), pa.array(Content(joined)(starts, least).view(np.int64))],
-                    names=["doc_id", "text_hash", "seed"],
-                )
+                content, left = Content(joined), ends[text] - np.arange(len(joined))
+                for length in lengths:
+                    starts = np.flatnonzero(left >= length)
+                    rows = pa.array(text[starts] + part.start)
+                    yield pa.RecordBatch.from_arrays(
+                        [ids.take(rows), prints.take(rows), pa.array(content(starts, length).view(np.int64))],
+                        names=["doc_id", "text_hash", "seed"],
+                    )
 
     return docs.mapInArrow(seeds, "doc_id bigint, text_hash bigint, seed bigint")
 
 
 def item_seeds(items: DataFrame, least: int) -> DataFrame:
-    """``item_id, item_hash, tokens, place, seed`` for each window of each item."""
+    """``item_id, item_hash, tokens, place, seed`` for each window of each item; a shorter item is one window."""
 
     def seeds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
         for batch in batches:
             for item_id, item_hash, text in zip(batch["item_id"], batch["item_hash"], batch["item_text"], strict=True):
                 tokens = token_hashes(text, hashes)
-                starts = np.arange(max(0, len(tokens) - least + 1))
-                windows = Content(tokens)(starts, least).view(np.int64)
+                length = min(least, len(tokens))
+                starts = np.arange(len(tokens) - length + 1 if length else 0)
+                windows = Content(tokens)(starts, length).view(np.int64)
                 yield pd.DataFrame(
                     {"item_id": pd.array([item_id] * len(windows), "Int64"), "item_hash": item_hash, "tokens": len(tokens), "place": np.arange(len(windows)), "seed": windows}
                 )
@@ -162,16 +175,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6,
     ``docs`` has ``doc_id`` and ``text``, ``benchmark`` ``item_id`` and ``text``; further columns
     are not used. Returns ``doc_id, item_id, coverage, matched, item_tokens, tiles`` and the
     ``text_hash`` of the document, which tells texts with one number apart; a repeated row of
-    number and text gives one result. Tokens are lower-case runs of letters and digits. A null
-    text has none; an item of fewer than ``min_match`` tokens has no window and no row. Null
-    numbers stay null. An empty table on either side gives no row.
+    number and text gives one result. Tokens are lower-case runs of letters and digits, and single
+    letters of scripts without blanks. A null text has none; an item of fewer than ``min_match``
+    tokens has to stand as a whole. Null numbers stay null. An empty table on either side gives
+    no row.
     """
     read = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").where("text is not null")
     items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.xxhash64("text").alias("item_hash"), F.col("text").alias("item_text"))
     items = items.where("item_text is not null").distinct()
     of_items = item_seeds(items, min_match)
-    few = of_items.count() <= MAX_SENT_SEEDS
-    shared = document_seeds(read, min_match).join(F.broadcast(of_items) if few else of_items, "seed")
+    length = F.least(F.col("tokens"), F.lit(min_match).cast("bigint"))
+    # at most min_match rows
+    sizes = {row["length"]: row["count"] for row in of_items.groupBy(length.alias("length")).count().collect()}
+    few = sum(sizes.values()) <= MAX_SENT_SEEDS
+    shared = document_seeds(read, sorted(sizes)).join(F.broadcast(of_items) if few else of_items, "seed")
     covered = F.flatten(F.transform(F.collect_set("place"), lambda at: F.sequence(at, at + F.lit(min_match - 1))))
     pairs = (
         shared.groupBy("doc_id", "text_hash", "item_id", "item_hash", "tokens")
@@ -198,7 +215,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6,
                 doc = token_hashes(text, hashes)
                 for item in items:
                     tokens = token_hashes(item["item_text"], hashes)
-                    tiles = tiling(doc, tokens, min_match)
+                    tiles = tiling(doc, tokens, min(min_match, len(tokens)))
                     matched = sum(length for _, _, length in tiles)
                     if matched >= threshold * len(tokens):
                         places = [{"doc_token": a, "item_token": b, "length": n} for a, b, n in tiles]
