@@ -1,6 +1,6 @@
 import __spark_entry__ as registry
 import pytest
-from conftest import TESTDATA
+from fixtures import TESTDATA
 from oracle import connect, from_duckdb, from_spark
 
 QUERIES = registry.own_queries()

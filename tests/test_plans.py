@@ -5,7 +5,7 @@ import re
 import pytest
 
 import __spark_entry__ as registry
-from conftest import TESTDATA
+from fixtures import TESTDATA
 from wakeline.operators import aggregate
 from wakeline.operators.clean import clean
 from wakeline.plans import edges, steps, summary, top_routes, totals

@@ -8,7 +8,7 @@ from fixtures import positions as positions_of_fixture
 from pyspark.sql import functions as F
 
 import __spark_entry__ as registry
-from conftest import TESTDATA
+from fixtures import TESTDATA
 from oracle import from_spark
 from wakeline.operators import aggregate, report, sampling
 from wakeline.operators.clean import clean

@@ -2,7 +2,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import TESTDATA
+from fixtures import TESTDATA
 from oracle import from_spark
 from wakeline.functions.columns import format_report_time, parse_report_time
 from wakeline.operators.clean import clean
