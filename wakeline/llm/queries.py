@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wakeline.llm import chat, decontaminate, langid, licenses, nearduplicates, packing, quality, sharding, substrings, warc
+from wakeline.llm import chat, decontaminate, langid, licenses, manifest, nearduplicates, packing, quality, sharding, substrings, warc
 
 from wakeline.llm.text import BLANKS
 
@@ -153,6 +153,30 @@ def op10_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({"headers": F.array_join(lines, "\n"), "at": F.unix_micros("at")}).withColumnRenamed("at", "micros")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    doc_id, text = F.col("doc_id"), F.col("text")
+
+    def leaf(text: Column) -> Column:
+        return manifest.leaf_digest(doc_id, F.col("source"), F.col("lang"), F.col("n_chars"), text)
+
+    hit = F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 0, F.lit(False))
+    lower = F.translate(text, licenses.UPPER, licenses.LOWER)
+    leaves = docs.select("doc_id", "lang", leaf(text).alias("leaf"), F.when(hit, leaf(lower)).alias("tampered"))
+    found = manifest.manifest(leaves)
+    proof = F.array_join(F.transform("steps", lambda step: F.concat(step["left"], step["right"])), "")
+    found = found.withColumn("folded_root", manifest.folded(F.coalesce("tampered", "leaf"), F.col("steps")))
+    return found.select(
+        "doc_id",
+        "leaf",
+        "subroot",
+        "root",
+        F.sha2(proof.cast("binary"), 256).alias("proof_sha256"),
+        "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
 def queries() -> dict:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -165,6 +189,7 @@ def queries() -> dict:
         "op8_license_scan": op8_license_scan,
         "op9_path_compaction": op9_path_compaction,
         "op10_revisit_resolution": op10_revisit_resolution,
+        "op11_merkle_manifest": op11_merkle_manifest,
     }
 
 
@@ -449,6 +474,78 @@ SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIG
 FROM texts LEFT JOIN base USING (r) LEFT JOIN labelled USING (r) LEFT JOIN scores USING (r)"""
 
 
+SQL_REMAINDERS = """steps AS (
+  SELECT i, 0 AS step, i AS value FROM range(256) AS r(i)
+  UNION ALL SELECT i, step + 1, CASE WHEN value % 2 = 1 THEN xor(value // 2, 3988292384) ELSE value // 2 END FROM steps WHERE step < 8
+), remainders AS (
+  SELECT list(CAST(value AS BIGINT) ORDER BY i) AS t FROM steps WHERE step = 8
+)"""
+
+
+def crc32_sql(text: str) -> str:
+    """The unsigned checksum of a short text of ASCII characters; ``t`` is the table of ``SQL_REMAINDERS``."""
+    codes = f"list_transform(string_split({text}, ''), lambda c: CAST(ascii(c) AS BIGINT))"
+    return (
+        f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {codes}), "
+        "lambda c, x: xor(t[xor(c, x) % 256 + 1], c // 256)), 4294967295)"
+    )
+
+
+def manifest_sql(arity: int = 8) -> str:
+    names = ("source", "lang", "n_chars")
+
+    def leaf(text: str) -> str:
+        values = [f"CAST({name} AS VARCHAR)" for name in ("doc_id", *names)] + [text]
+        return "sha256(" + " || ".join(f"coalesce(strlen({v}) || ':' || {v}, '-')" for v in values) + ")"
+
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""
+WITH RECURSIVE {SQL_REMAINDERS}, leaves AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce('=' || lang, '') AS tree, {leaf('text')} AS leaf,
+    CASE WHEN {crc32_sql('CAST(doc_id AS VARCHAR)')} % 3 = 0 THEN {leaf(lower)} ELSE {leaf('text')} END AS start
+  FROM documents, remainders
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS num FROM leaves
+), nodes AS (
+  SELECT tree, 0 AS level, num, leaf AS digest, count(*) OVER (PARTITION BY tree) AS n FROM placed
+  UNION ALL
+  SELECT tree, any_value(level) + 1, num // {arity}, sha256(string_agg(digest, '' ORDER BY num)), (any_value(n) + {arity - 1}) // {arity}
+  FROM nodes WHERE n > 1 GROUP BY tree, num // {arity}
+), subroots AS (
+  SELECT tree, level, digest, row_number() OVER (ORDER BY encode(tree)) - 1 AS place FROM nodes WHERE n = 1
+), upper_nodes AS (
+  SELECT 0 AS level, place AS num, digest, count(*) OVER () AS n FROM subroots
+  UNION ALL
+  SELECT any_value(level) + 1, num // {arity}, sha256(string_agg(digest, '' ORDER BY num)), (any_value(n) + {arity - 1}) // {arity}
+  FROM upper_nodes WHERE n > 1 GROUP BY num // {arity}
+), ladder AS (
+  SELECT r, p.tree AS tree, n.level AS step, n.num AS num, n.num % {arity} AS slot, sib.num AS sib, sib.digest AS digest
+  FROM placed p JOIN nodes n ON n.tree = p.tree AND n.num = p.num // CAST(pow({arity}, n.level) AS BIGINT) AND n.n > 1
+  LEFT JOIN nodes sib ON sib.tree = n.tree AND sib.level = n.level AND sib.num // {arity} = n.num // {arity} AND sib.num <> n.num
+  UNION ALL
+  SELECT r, p.tree, 100 + n.level, n.num, n.num % {arity}, sib.num, sib.digest
+  FROM placed p JOIN subroots s ON s.tree = p.tree
+  JOIN upper_nodes n ON n.num = s.place // CAST(pow({arity}, n.level) AS BIGINT) AND n.n > 1
+  LEFT JOIN upper_nodes sib ON sib.level = n.level AND sib.num // {arity} = n.num // {arity} AND sib.num <> n.num
+), rungs AS (
+  SELECT r, step, coalesce(string_agg(digest, '' ORDER BY sib) FILTER (sib < num), '') AS lefts,
+    coalesce(string_agg(digest, '' ORDER BY sib) FILTER (sib > num), '') AS rights,
+    row_number() OVER (PARTITION BY r ORDER BY step) AS place FROM ladder GROUP BY r, step
+), climb AS (
+  SELECT r, 0 AS place, start AS digest FROM placed
+  UNION ALL
+  SELECT c.r, g.place, sha256(lefts || c.digest || rights) FROM climb c JOIN rungs g ON g.r = c.r AND g.place = c.place + 1
+), folded AS (
+  SELECT r, arg_max(digest, place) AS folded_root FROM climb GROUP BY r
+), proofs AS (
+  SELECT r, sha256(string_agg(lefts || rights, '' ORDER BY place)) AS proof_sha256 FROM rungs GROUP BY r
+)
+SELECT doc_id, leaf, s.digest AS subroot, u.digest AS root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root,
+  folded_root = u.digest AS verified
+FROM placed JOIN subroots s USING (tree) JOIN folded USING (r) LEFT JOIN proofs USING (r)
+JOIN (SELECT digest FROM upper_nodes WHERE n = 1) u ON TRUE"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_quality_rules": quality_sql(),
@@ -458,4 +555,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_license_scan": license_sql(),
         "op9_path_compaction": spans_sql(),
         "op10_revisit_resolution": revisit_sql(),
+        "op11_merkle_manifest": manifest_sql(),
     }
