@@ -9,7 +9,7 @@ from oracle import connect, from_duckdb, from_spark
 from wakeline.llm import langid, nearduplicates, queries
 
 
-@pytest.mark.parametrize("name", ["op1_quality_rules", "op3_hash_tree_sharding", "op6_bayesian_minhash", "op7_chat_round_trip", "op8_license_scan", "op9_path_compaction"])
+@pytest.mark.parametrize("name", ["op1_quality_rules", "op3_hash_tree_sharding", "op6_bayesian_minhash", "op7_chat_round_trip", "op8_license_scan", "op9_path_compaction", "op11_merkle_manifest", "op12_curriculum_mix", "op13_conversation_repair"])
 def test_query_equals_sql(spark, name):
     sf = "/root/testdata/sf0.001"
     assert from_spark(queries.queries()[name](spark, sf)) == from_duckdb(connect(sf), queries.oracle_sql()[name])
@@ -17,7 +17,7 @@ def test_query_equals_sql(spark, name):
 
 def test_all_are_registered():
     names = [name for name in registry.queries() if name.startswith("op")]
-    assert sorted(int(name[2:].split("_")[0]) for name in names) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in names) == list(range(1, 14))
     assert registry.queries()["pipeline"] is corpus_pipeline.run
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wakeline.llm import chat, decontaminate, langid, licenses, manifest, nearduplicates, packing, quality, sharding, substrings, warc
+from wakeline.llm import chat, decontaminate, langid, licenses, manifest, mixing, nearduplicates, packing, quality, repair, sharding, substrings, warc
 
 from wakeline.llm.text import BLANKS
 
@@ -177,6 +177,42 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mixed(table(spark, sf_dir, "documents"))
+    once = found.where("copy is null or copy = 1")
+    return once.select("doc_id", "size", "source_size", "target", F.col("doc_taken").alias("taken"), F.round("position", 6).alias("position"))
+
+
+def damaged(conversations: DataFrame) -> DataFrame:
+    """The conversations with a fifth of their turns dropped, emptied, cut, repeated or given to the user; nulls are a space."""
+    space = F.lit(" ")
+    key = F.concat(F.coalesce(F.col("conv_id").cast("string"), space), F.lit(":"), F.coalesce(F.col("turn").cast("string"), space))
+    kind, text = F.crc32(key.cast("binary")) % 20, F.coalesce(F.col("text"), space)
+    times = F.when(kind == 0, 0).when(kind == 3, 2).otherwise(1)
+    return conversations.select(
+        "conv_id",
+        "turn",
+        F.when(kind == 4, F.lit("user")).otherwise(F.coalesce(F.col("role"), space)).alias("role"),
+        F.when(kind == 1, F.lit("")).when(kind == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text).alias("text"),
+        F.explode(F.array_repeat(F.lit(1), times)).alias("again"),
+    ).drop("again")
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations")
+    audits, turns = repair.repaired(damaged(given))
+    shas = repair.digests(turns.select("tree", "place", F.concat("role", F.lit(":"), "text").alias("line")))
+    found = audits.join(shas, "tree", "left").drop("tree", "turns", "emitted").withColumnRenamed("conv_id", "id")
+    all_ids = given.select("conv_id").distinct()
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return all_ids.join(found, F.col("conv_id").eqNullSafe(F.col("id")), "left").select(
+        "conv_id",
+        *[F.coalesce(name, F.lit(0).cast("bigint")).alias(name) for name in counts],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"),
+    )
+
+
 def queries() -> dict:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -190,6 +226,8 @@ def queries() -> dict:
         "op9_path_compaction": op9_path_compaction,
         "op10_revisit_resolution": op10_revisit_resolution,
         "op11_merkle_manifest": op11_merkle_manifest,
+        "op12_curriculum_mix": op12_curriculum_mix,
+        "op13_conversation_repair": op13_conversation_repair,
     }
 
 
@@ -546,6 +584,128 @@ FROM placed JOIN subroots s USING (tree) JOIN folded USING (r) LEFT JOIN proofs
 JOIN (SELECT digest FROM upper_nodes WHERE n = 1) u ON TRUE"""
 
 
+def mixing_sql() -> str:
+    curriculum = mixing.CURRICULUM
+    turns = len(curriculum.schedules)
+    weights = ", ".join(f"CAST({weight} AS DOUBLE)" for weight in curriculum.weights)
+
+    def number(value: float) -> str:
+        return f"CAST({value!r} AS DOUBLE)"
+
+    def position(schedule: tuple[float, ...]) -> str:
+        reached, times, cases = curriculum.integrals(schedule), curriculum.times, []
+        for at in range(len(times) - 1):
+            rest = f"greatest(middle * {number(reached[-1])} - {number(reached[at])}, 0)"
+            slope = (schedule[at + 1] - schedule[at]) / (times[at + 1] - times[at])
+            root = f"sqrt(greatest({number(schedule[at] ** 2)} + {number(2.0 * slope)} * {rest}, 0))"
+            cases.append(f"WHEN middle * {number(reached[-1])} <= {number(reached[at + 1])} THEN {number(times[at])} + 2 * {rest} / ({number(schedule[at])} + {root})")
+        return f"CASE {' '.join(cases)} ELSE {number(times[-1])} END"
+
+    positions = " ".join(f"WHEN {turn} THEN {position(schedule)}" for turn, schedule in enumerate(curriculum.schedules))
+    return f"""
+WITH RECURSIVE sized AS (
+  SELECT row_number() OVER () AS r, doc_id, source, CAST(len({SQL_WORDS}) AS BIGINT) AS size,
+    md5('{curriculum.seed}/' || coalesce(CAST(doc_id AS VARCHAR), 'null') || '/' || coalesce(text, '')) AS draw FROM documents
+), sources AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, (row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % {turns} AS turn
+  FROM sized GROUP BY source
+), weighed AS (
+  SELECT *, [{weights}][turn + 1] AS weight, CAST({curriculum.repeats} AS DOUBLE) * source_size AS most FROM sources
+), levels AS (
+  SELECT 0 AS step, CAST({curriculum.share} AS DOUBLE) * sum(source_size) AS goal, CAST(NULL AS DOUBLE) AS before,
+    CAST({curriculum.share} AS DOUBLE) * sum(source_size) / sum(weight) AS level FROM weighed
+  UNION ALL
+  SELECT step + 1, goal, level, (SELECT (l.goal - coalesce(sum(most) FILTER (most <= l.level * weight), 0))
+    / sum(weight) FILTER (most > l.level * weight) FROM weighed) FROM levels l WHERE level IS NOT NULL AND (before IS NULL OR level <> before) AND step < 1000
+), targets AS (
+  SELECT w.*, coalesce(least(most, weight * (SELECT arg_max(level, step) FROM levels)), most) AS target FROM weighed w
+), placed AS (
+  SELECT s.r, s.doc_id, s.size, t.source_size, t.target, t.turn, floor(t.target + 0.5) AS demand,
+    sum(size) OVER (PARTITION BY t.source ORDER BY draw, doc_id NULLS FIRST, size, s.r) - size AS begins
+  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
+), copies AS (
+  SELECT *, greatest(0, least(size, demand - (begins + c * source_size))) AS part, begins + c * source_size AS at_word
+  FROM placed, range({curriculum.repeats}) AS copies(c)
+), middles AS (
+  SELECT *, (at_word + part / 2.0) / demand AS middle FROM copies
+)
+SELECT any_value(doc_id) AS doc_id, any_value(size) AS size, any_value(source_size) AS source_size, any_value(target) AS target,
+  CAST(sum(part) AS BIGINT) AS taken, round(max(CASE turn {positions} END) FILTER (c = 0 AND part > 0), 6) AS position
+FROM middles GROUP BY r"""
+
+
+def repair_sql() -> str:
+    """Turn by turn from the end for the costs, then edit by edit from the start."""
+    final = ", ".join(map(str, repair.END))
+    blank, word = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
+
+    def row_cost(state: int) -> str:
+        after = repair.NEXT[state]
+        keeps = {0: "CASE symbol WHEN 'u' THEN v[3] WHEN 's' THEN v[2] END", 1: "CASE symbol WHEN 'u' THEN v[3] END"}
+        kept = keeps.get(state, f"CASE symbol WHEN '{'a' if state == 2 else 'u'}' THEN v[{after + 1}] END")
+        return f"least(2 + v[{state + 1}], CASE WHEN NOT gone THEN least(extra + coalesce({kept}, 1000000000000), extra + 1 + v[{after + 1}]) ELSE 1000000000000 END)"
+
+    costs = ", ".join(f"{row_cost(state)} AS c{state}" for state in range(4))
+    return rf"""
+WITH RECURSIVE {SQL_REMAINDERS}, keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {crc32_sql("(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))")} % 20 AS kind
+  FROM conversations, remainders
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM keyed, range(2) AS copies(c) WHERE kind <> 0 AND (c = 0 OR kind = 3)
+), told AS (
+  SELECT *, dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS cid,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS seen,
+    regexp_extract(text, '({word}){blank}*$', 1) AS ending
+  FROM damaged
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY cid ORDER BY turn NULLS FIRST, encode(role), encode(text), seen) AS i FROM told
+), marked AS (
+  SELECT *, CASE WHEN ending = '' THEN 'blank' WHEN seen > 1 THEN 'duplicate' WHEN ending NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+    role[1] AS symbol, lag(role[1]) OVER (PARTITION BY cid ORDER BY i) AS ahead FROM placed
+), rows_of AS (
+  SELECT *, fault IN ('blank', 'duplicate') AS gone, CASE WHEN fault = 'truncated' THEN {repair.TRUNCATED} ELSE 0 END AS extra FROM marked
+), counts AS (
+  SELECT cid, any_value(conv_id) AS conv_id, CAST(max(i) AS BIGINT) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (ahead || symbol NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM rows_of GROUP BY cid
+), back AS (
+  SELECT cid, n AS i, CAST([{final}] AS BIGINT[]) AS v FROM counts
+  UNION ALL
+  SELECT cid, i - 1, CAST([least(c0, 5 + c2, 10 + c3), least(c1, 5 + c2, 10 + c3), least(c2, 5 + c3), least(c3, 5 + c2)] AS BIGINT[])
+  FROM (SELECT b.cid, b.i, {costs} FROM back b JOIN rows_of r ON r.cid = b.cid AND r.i = b.i)
+), forth AS (
+  SELECT cid, 0 AS step, CAST(0 AS BIGINT) AS i, 0 AS state, '' AS audit, '' AS lines, 0 AS out FROM counts
+  UNION ALL
+  SELECT cid, step + 1, CASE WHEN letter = 'I' THEN i ELSE i + 1 END,
+    CASE WHEN letter = 'D' THEN state WHEN letter = 'K' AND symbol = 's' THEN 1 ELSE after END, audit || letter,
+    CASE WHEN letter = 'D' THEN lines ELSE lines || CASE WHEN out > 0 THEN chr(10) ELSE '' END
+      || CASE WHEN letter = 'K' THEN role WHEN after = 2 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN letter = 'I' THEN '' ELSE text END END,
+    CASE WHEN letter = 'D' THEN out ELSE out + 1 END
+  FROM (
+    SELECT *, CASE WHEN u IS NOT NULL AND 2 + u[state + 1] = now THEN 'D' WHEN 5 + v[after + 1] = now THEN 'I'
+      WHEN NOT gone AND extra + u[CASE WHEN symbol = 's' THEN 2 ELSE after + 1 END] = now
+        AND ((symbol = 's' AND state = 0) OR symbol = CASE after WHEN 2 THEN 'u' ELSE 'a' END) THEN 'K'
+      WHEN NOT gone AND 1 + extra + u[after + 1] = now THEN 'R' END AS letter
+    FROM (
+      SELECT f.*, CASE f.state WHEN 2 THEN 3 ELSE 2 END AS after, b.v, c.v AS u, b.v[f.state + 1] AS now, r.symbol, r.gone, r.extra, r.role, r.text
+      FROM forth f JOIN back b ON b.cid = f.cid AND b.i = f.i LEFT JOIN back c ON c.cid = f.cid AND c.i = f.i + 1
+      LEFT JOIN rows_of r ON r.cid = f.cid AND r.i = f.i + 1
+    )
+  ) WHERE letter IS NOT NULL
+), last AS (
+  SELECT cid, max_by(audit, step) AS audit, max_by(lines, step) AS lines FROM forth GROUP BY cid
+), repaired AS (
+  SELECT counts.*, audit, sha256(lines) AS sha, v[1] AS cost FROM counts JOIN last USING (cid) JOIN back ON back.cid = counts.cid AND back.i = 0
+)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, coalesce(sha, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN repaired r ON r.conv_id IS NOT DISTINCT FROM o.conv_id"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_quality_rules": quality_sql(),
@@ -556,4 +716,6 @@ def oracle_sql() -> dict[str, str]:
         "op9_path_compaction": spans_sql(),
         "op10_revisit_resolution": revisit_sql(),
         "op11_merkle_manifest": manifest_sql(),
+        "op12_curriculum_mix": mixing_sql(),
+        "op13_conversation_repair": repair_sql(),
     }
