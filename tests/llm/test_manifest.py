@@ -81,9 +81,9 @@ def test_one_row_is_its_own_root(spark):
 
 def test_empty_tables_and_clashing_names(spark, tmp_path):
     rows = spark.createDataFrame([(n, "en", digest(str(n))) for n in range(20)], "doc_id bigint, lang string, leaf string")
-    names = ("tree", "at", "nodes", "place", "task", "Root", "tie")
+    names = ("tree", "at", "nodes", "place", "task", "Root", "tie", "run", "digests", "above", "digest")
     found = manifest.manifest(clashing(rows, *names))
-    assert found.columns == ["doc_id", "lang", "leaf", "tree", "at", "nodes", "place", "task", "tie", "subroot", "root", "steps"]
+    assert found.columns == ["doc_id", "lang", "leaf", "tree", "at", "nodes", "place", "task", "tie", "run", "digests", "above", "digest", "subroot", "root", "steps"]
     assert {row["tree"] for row in found.collect()} == {"kept"} and found.select("root").distinct().count() == 1
     assert manifest.manifest(rows.limit(0)).count() == 0
     frame(spark, []).write.parquet(f"{tmp_path}/documents.parquet")
@@ -92,12 +92,7 @@ def test_empty_tables_and_clashing_names(spark, tmp_path):
         manifest.manifest(rows, arity=1)
 
 
-def test_a_level_is_one_shuffle_of_its_nodes(spark, tmp_path):
-    nodes = spark.range(100).selectExpr("'' tree", "id at", "100L nodes", "md5(string(id)) digest")
-    nodes.write.parquet(f"{tmp_path}/nodes")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        plan = manifest.with_siblings(spark.read.parquet(f"{tmp_path}/nodes"), 8)._jdf.queryExecution().executedPlan().toString()
-    finally:
-        spark.conf.set("spark.sql.adaptive.enabled", "true")
-    assert len(re.findall(r"^[\s:|+\-*()\d]*Exchange\b", plan, re.MULTILINE)) == 1 and "ReusedExchange" in plan
+def test_a_run_is_asked_for_once(spark):
+    nodes = spark.range(100).selectExpr("'t' tree", "id at", "100L nodes", "string(id) digest")
+    runs = {row["run"]: row["digests"] for row in manifest.runs_of(nodes, 8).collect()}
+    assert runs == {run: [str(at) for at in range(8 * run, min(8 * run + 8, 100))] for run in range(13)}

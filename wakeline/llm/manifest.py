@@ -1,15 +1,14 @@
 """A Merkle manifest of a data set, built by self-joins of sibling nodes.
 
-Leaves are numbered within each group. At every level a node computes the numbers of its
-siblings, those of its own run of ``arity`` nodes (number XOR 1 for binary trees, the other
-slots by their offset else), and finds their digests by an equijoin of the level with itself.
-The first node of each run then knows the whole run and gives the parent. The groups' roots are
-the leaves of one more tree, whose root names the data set.
-
-Both sides of a level's join are one shuffle by group and run, which the collection of the
-siblings uses as well. Proofs are handed down: a node's proof is its own siblings and then its
-parent's proof, so that the joins shrink by the arity with each level, and no node meets more
-than its run.
+Leaves are numbered within each group. At every level the first node of each run of ``arity``
+nodes computes the numbers of its siblings (number XOR 1 for binary trees, the other slots by
+their offset else), finds their digests by an equijoin of the level with itself, and gives the
+run's digests and the parent. The groups' roots are the leaves of one more tree, whose root names
+the data set.
+
+All siblings of a node are in its run, so proofs are handed down from run to run: a run's way up
+is its parent's place in the run above and that run's way. The joins shrink by the arity with
+each level, a leaf meets one row, and no node meets more than its run.
 """
 
 from __future__ import annotations
@@ -38,80 +37,72 @@ def folded(leaf: Column, steps: Column) -> Column:
 
 
 def run_of(at: str, arity: int) -> Column:
-    return F.coalesce(F.expr(f"`{at}` div {arity}"), F.lit(0).cast("bigint"))
+    return F.expr(f"`{at}` div {arity}")
 
 
-def run_numbers(at: Column, arity: int) -> Column:
-    """A node's own number and those of its siblings."""
+def run_numbers(first: Column, arity: int) -> Column:
+    """The numbers of a run's nodes, from the first one's."""
     if arity == 2:
-        return F.array(at, at.bitwiseXOR(F.lit(1).cast("bigint")))
-    slot = at % arity
-    return F.transform(F.sequence(F.lit(0), F.lit(arity - 1)), lambda shift: at - slot + (slot + shift) % arity)
-
-
-def with_siblings(nodes: DataFrame, arity: int) -> DataFrame:
-    """``tree, at, nodes, digest`` with ``left`` and ``right``, the joined digests of the run's other nodes."""
-    # both sides read and filter all columns alike, so that one shuffle serves both
-    present = nodes
-    for name in ("tree", "at", "nodes", "digest"):
-        present = present.where(F.col(name).isNotNull())
-    dealt = present.withColumn("run", run_of("at", arity)).repartition("tree", "run")
-    asked = dealt.withColumn("asked", F.explode(run_numbers(F.col("at"), arity)))
-    held = dealt.select("tree", "run", "nodes", F.col("at").alias("asked"), F.col("digest").alias("sibling"))
-    found = (
-        asked.join(held, ["tree", "run", "nodes", "asked"])
-        .groupBy("tree", "run", "at", "nodes", "digest")
-        .agg(F.sort_array(F.collect_list(F.struct("asked", "sibling"))).alias("siblings"))
-    )
+        return F.array(first, first.bitwiseXOR(F.lit(1).cast("bigint")))
+    return F.transform(F.sequence(F.lit(0), F.lit(arity - 1)), lambda shift: first + shift)
 
-    def side(keep) -> Column:
-        return F.array_join(F.transform(F.filter("siblings", keep), lambda node: node["sibling"]), "")
 
-    return found.select(
-        "tree",
-        "at",
-        "nodes",
-        "digest",
-        side(lambda node: node["asked"] < F.col("at")).alias("left"),
-        side(lambda node: node["asked"] > F.col("at")).alias("right"),
+def runs_of(nodes: DataFrame, arity: int) -> DataFrame:
+    """``tree, run, nodes, digests`` of every run of ``tree, at, nodes, digest``, in order of the slots."""
+    asked = nodes.where(F.col("at") % arity == 0).select(
+        "tree", run_of("at", arity).alias("run"), "nodes", F.explode(run_numbers(F.col("at"), arity)).alias("at")
     )
+    found = asked.where("at < nodes").join(nodes.select("tree", "at", "digest"), ["tree", "at"])
+    digests = F.transform(F.sort_array(F.collect_list(F.struct("at", "digest"))), lambda node: node["digest"])
+    return found.groupBy("tree", "run", "nodes").agg(digests.alias("digests"))
 
 
 def levels_of(nodes: DataFrame, arity: int) -> tuple[list[DataFrame], DataFrame | None]:
-    """All levels of all trees with their siblings, and ``tree, level, digest`` of the roots; none of an empty table."""
+    """The runs of all levels of all trees, and ``tree, digest`` of the roots; none of an empty table."""
     widest = nodes.agg(F.max("nodes")).collect()[0][0]
     if widest is None:
         return [], None
-    levels, roots = [], []
-    while True:
-        roots.append(nodes.where("nodes = 1").select("tree", F.lit(len(levels)).alias("level"), "digest"))
-        if widest == 1:
-            break
-        level = stored(with_siblings(nodes.where("nodes > 1"), arity), f"level-{len(levels)}")
+    levels, roots = [], nodes.where("nodes = 1").select("tree", "digest")
+    while widest > 1:
+        level = stored(runs_of(nodes.where("nodes > 1"), arity), f"level-{len(levels)}")
         levels.append(level)
-        parent = F.sha2(F.concat("digest", "right").cast("binary"), 256)
-        nodes = level.where(F.col("at") % arity == 0).select(
-            "tree", run_of("at", arity).alias("at"), F.expr(f"(nodes + {arity - 1}) div {arity}").alias("nodes"), parent.alias("digest")
-        )
+        parent = F.sha2(F.array_join("digests", "").cast("binary"), 256)
+        more = F.expr(f"(nodes + {arity - 1}) div {arity}")
+        nodes = level.select("tree", F.col("run").alias("at"), more.alias("nodes"), parent.alias("digest"))
+        roots = roots.unionByName(nodes.where("nodes = 1").select("tree", "digest"))
         widest = -(-widest // arity)
-    found = roots[0]
-    for more in roots[1:]:
-        found = found.unionByName(more)
-    return levels, found
+    return levels, roots
+
+
+def step_of(digests: str, at: str, arity: int) -> Column:
+    """What stands on the left and on the right of a node in its run."""
+    slot = (F.col(at) % arity).cast("int")
+    left, right = F.slice(digests, F.lit(1), slot), F.slice(digests, slot + 2, F.lit(arity))
+    return F.struct(F.array_join(left, "").alias("left"), F.array_join(right, "").alias("right"))
 
 
-def handed_down(levels: list[DataFrame], tops: DataFrame, arity: int) -> DataFrame:
-    """``tree, at, subroot, steps`` of the leaves, from ``tree, level, subroot, steps`` of the roots."""
+def with_steps(nodes: DataFrame, runs: DataFrame, at: str, tree: str, arity: int) -> DataFrame:
+    """``nodes`` with ``steps``, from ``tree, run, digests, above`` of their runs."""
+    above = runs.select(F.col("tree").alias(tree), F.col("run").alias(f"{at}_run"), F.col("digests").alias(f"{at}_digests"), F.col("above").alias(f"{at}_above"))
+    joined = nodes.withColumn(f"{at}_run", run_of(at, arity)).join(above, [tree, f"{at}_run"])
+    steps = F.array_prepend(f"{at}_above", step_of(f"{at}_digests", at, arity))
+    return joined.withColumn("steps", steps).drop(f"{at}_run", f"{at}_digests", f"{at}_above")
 
-    def roots_at(level: int) -> DataFrame:
-        return tops.where(F.col("level") == level).select("tree", F.lit(0).cast("bigint").alias("at"), "subroot", "steps")
 
-    proofs = roots_at(len(levels))
-    for number in reversed(range(len(levels))):
-        own = levels[number].select("tree", "at", run_of("at", arity).alias("above"), F.struct("left", "right").alias("step"))
-        joined = own.join(proofs.withColumnRenamed("at", "above"), ["tree", "above"])
-        proofs = joined.select("tree", "at", "subroot", F.array_prepend("steps", F.col("step")).alias("steps")).unionByName(roots_at(number))
-    return proofs
+def ways(nodes: DataFrame, levels: list[DataFrame], tops: DataFrame, arity: int, tree: str, at: str, count: str) -> DataFrame:
+    """``nodes`` with ``steps`` up to the last root; ``tree, steps`` of ``tops`` lead on from each tree's root."""
+    upper = tops.select("tree", F.col("steps").alias("above"))
+    runs = None
+    for level in reversed(levels):
+        here = level.where(F.col("nodes") <= arity).join(upper, "tree").select("tree", "run", "digests", "above")
+        if runs is not None:
+            below = with_steps(level.where(F.col("nodes") > arity), runs, "run", "tree", arity)
+            here = here.unionByName(below.select("tree", "run", "digests", F.col("steps").alias("above")))
+        runs = here
+    lone = nodes.where(F.col(count) == 1).join(tops.select(F.col("tree").alias(tree), "steps"), tree)
+    if runs is None:
+        return lone
+    return with_steps(nodes.where(F.col(count) > 1), runs, at, tree, arity).unionByName(lone)
 
 
 def manifest(rows: DataFrame, group: str = "lang", order: str = "doc_id", leaf: str = "leaf", arity: int = 8) -> DataFrame:
@@ -130,23 +121,22 @@ def manifest(rows: DataFrame, group: str = "lang", order: str = "doc_id", leaf:
         raise ValueError("a run has two nodes or more")
     results = ("subroot", "root", "steps")
     rows = rows.select(*[F.col(f"`{name}`") for name in rows.columns if name.lower() not in results])
-    (tree, at, nodes) = free_names(rows, "tree", "at", "nodes")
+    tree, at, nodes = free_names(rows, "tree", "at", "nodes")
     name = F.col(f"`{group}`").cast("string")
     kept = stored(rows.withColumn(tree, F.coalesce(F.concat(F.lit("="), name), F.lit(""))), "leaves")
     order_by = [F.col(f"`{order}`").asc_nulls_first(), F.col(f"`{leaf}`").asc()]
-    placed = ranked(kept, tree, order_by, at, nodes)
-    leaves = placed.select(F.col(tree).alias("tree"), F.col(at).alias("at"), F.col(nodes).alias("nodes"), F.col(f"`{leaf}`").alias("digest"))
-    levels, subroots = levels_of(leaves, arity)
+    placed = stored(ranked(kept, tree, order_by, at, nodes), "numbered-leaves")
+    drop_stored(kept)
+    digests = F.col(f"`{leaf}`").alias("digest")
+    levels, subroots = levels_of(placed.select(F.col(tree).alias("tree"), F.col(at).alias("at"), F.col(nodes).alias("nodes"), digests), arity)
     if subroots is None:
         return rows.withColumns({"subroot": F.lit("").cast("string"), "root": F.lit("").cast("string"), "steps": F.array().cast(STEPS)})
     subroots = stored(subroots.withColumn("all", F.lit("all")), "subroots")
-    placed_roots = ranked(subroots, "all", [F.col("tree").asc()], "place", "nodes")
-    upper, root = levels_of(placed_roots.select(F.col("all").alias("tree"), F.col("place").alias("at"), "nodes", "digest"), arity)
+    upper_nodes = ranked(subroots, "all", [F.col("tree").asc()], "at", "nodes")
+    upper, root = levels_of(upper_nodes.select(F.col("all").alias("tree"), "at", "nodes", "digest"), arity)
     root_digest = root.collect()[0]["digest"]
-    nothing = F.array().cast(STEPS)
-    top = root.select("tree", "level", F.lit(None).cast("string").alias("subroot"), nothing.alias("steps"))
-    above = handed_down(upper, top, arity).select(F.col("at").alias("place"), "steps")
-    tops = placed_roots.select("tree", "level", F.col("digest").alias("subroot"), "place").join(above, "place").drop("place")
-    proofs = handed_down(levels, tops, arity).toDF(tree, at, "subroot", "steps")
-    drop_stored(kept)
-    return placed.join(proofs, [tree, at]).withColumn("root", F.lit(root_digest)).select(*rows.columns, *results)
+    end = root.select("tree", F.array().cast(STEPS).alias("steps"))
+    tops = stored(ways(upper_nodes, upper, end, arity, "all", "at", "nodes").select("tree", "digest", "steps"), "tops")
+    found = ways(placed, levels, tops, arity, tree, at, nodes)
+    named = found.join(tops.select(F.col("tree").alias(tree), F.col("digest").alias("subroot")), tree)
+    return named.withColumn("root", F.lit(root_digest)).select(*rows.columns, *results)
