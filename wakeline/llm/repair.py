@@ -207,19 +207,31 @@ def repairs_of(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Da
         yield pd.DataFrame(found, columns=["cost", "audit", "emitted"])
 
 
-def edits_of(audits: DataFrame, rows: int = 100_000) -> DataFrame:
+def edits_of(audits: DataFrame, letters: int = 200_000) -> DataFrame:
     """``tree, place, edit, came, at``: every edit, the turn that comes out, and the number of the turn edited."""
+    columns = ("tree", "place", "edit", "came", "at")
+
+    def table(parts: list[tuple]) -> pd.DataFrame:
+        joined = [np.concatenate(column) for column in zip(*parts, strict=True)]
+        rows = pd.DataFrame(dict(zip(columns, joined, strict=True)))
+        return rows.assign(at=rows["at"].astype("Int64").where(rows["edit"] != "I"))
 
     def edits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts, held = [], 0
         for batch in batches:
             for tree, audit, came in batch.itertuples(index=False):
-                letters, out = (np.frombuffer(text.encode("ascii"), "S1").astype("U1") for text in (audit, came))
-                given = letters != "I"
-                at = pd.array(np.cumsum(given) - 1, "Int64")
-                at[~given] = pd.NA
-                all_edits = pd.DataFrame({"tree": tree, "place": np.arange(len(letters)), "edit": letters, "came": out, "at": at})
-                for start in range(0, len(letters), rows):
-                    yield all_edits.iloc[start : start + rows]
+                edit, out = (np.frombuffer(text.encode("ascii"), "S1").astype("U1").astype(object) for text in (audit, came))
+                at = np.cumsum(edit != "I") - 1
+                for start in range(0, len(edit), letters):
+                    piece = slice(start, start + letters)
+                    size = len(edit[piece])
+                    parts.append((np.full(size, tree, object), np.arange(start, start + size), edit[piece], out[piece], at[piece]))
+                    held += size
+                    if held >= letters:
+                        yield table(parts)
+                        parts, held = [], 0
+        if parts:
+            yield table(parts)
 
     return audits.select("tree", "audit", "emitted").mapInPandas(edits, "tree string, place bigint, edit string, came string, at bigint")
 
