@@ -54,6 +54,13 @@ def test_scripts_narrow_the_candidates(model):
     assert langid.label_texts(["漢字"], model)[0][0] in model.languages  # of no learned script
 
 
+def test_letters_of_other_scripts_count_against_the_score(model):
+    found = langid.label_texts(["漢字漢字漢字", "the fox " + "漢" * 54, "щука the fox", text_of(EN, 9)], model)
+    assert [score for _, score, _ in found[:2]] == [0.0, 0.1] and all(lang in model.languages for lang, *_ in found)
+    assert found[2][1] == 0.6 and found[3][1] == 1.0
+    assert [row[:2] for row in langid.label_texts(["漢", "the fox"], model, with_spans=False)] == [row[:2] for row in langid.label_texts(["漢", "the fox"], model)]
+
+
 def test_awkward_rows(spark, model):
     df = clashing(frame(spark, AWKWARD + [(50, text_of(EN, 5, 200_000), "en", "a", 0)]), "lang_pred", "score", "spans")
     found = {(row["doc_id"], row["text"] and row["text"][:9]): row["language"] for row in langid.labelled(df, model).collect()}

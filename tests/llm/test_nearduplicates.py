@@ -100,3 +100,22 @@ def test_null_numbers_repeats_and_other_columns(spark):
     assert rows[(None, 1)]["component_id"] is None and rows[(None, 1)]["kept"]
     assert nearduplicates.grouped(df).count() == len(AWKWARD)
     assert nearduplicates.grouped(df.limit(0)).count() == 0
+
+
+def test_rows_without_a_number_are_linked_like_others(spark):
+    base, bridge = words(21, 100, 10**6), words(22, 10, 10**6)
+    middle, far = base[:90] + bridge, base[10:90] + bridge + words(23, 10, 10**6)
+    rows = [(5, " ".join(far), "en", "a", 0), (8, " ".join(base), "en", "a", 0), (None, " ".join(middle), "en", "a", 0)]
+    rows += [(None, " ".join(base), "en", "a", 0), (None, " ".join([*words(24, 50, 10**6)]), "en", "a", 0)] * 2
+    alone, linked = (nearduplicates.grouped(frame(spark, part), Settings(shingle=1)).collect() for part in (rows[:2], rows))
+    assert {row["doc_id"]: row["component_id"] for row in alone} == {5: 5, 8: 8}
+    assert sorted((row["doc_id"] or 0, row["component_id"] or 0, row["kept"]) for row in linked) == [
+        (0, 0, True), (0, 0, True), (0, 5, False), (0, 5, False), (0, 5, False), (5, 5, True), (8, 5, False)
+    ]
+    stays = nearduplicates.members(frame(spark, rows), Settings(shingle=1)).where("stays").collect()
+    assert sorted((row["doc_id"] or 0, row["component_id"] or 0) for row in stays) == [(0, 0), (0, 0), (5, 5)]
+
+
+def test_blocks_by_bytes_change_nothing(spark):
+    rows = near_copies(60)
+    assert found(spark, rows, shingle=4, small=2, block_shingles=700) == by_hand(rows, 4)

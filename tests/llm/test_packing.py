@@ -7,13 +7,12 @@ from tokenizers import Tokenizer
 
 from wakeline.llm import packing, queries
 
-ODD = ["  two  blanks", "tab\tand\n\nlines \n x", "it's we'll I'M 'tis", "a b　c", "<|endoftext|> x", "naïve 😀😀 日本語 12345 ¡¿", "trailing ", "\n", "x\x1fy z", "a " * 5000]
+ODD = ["  two  blanks", "tab\tand\n\nlines \n x", "it's we'll I'M 'tis", "a b　c", "<|endoftext|> x", "x <|endoftext|> y", "x  <|endoftext|>", "a<|endoftext|><|endoftext|>\n\nb<|endoftext", "<|endoftext|>", "naïve 😀😀 日本語 12345 ¡¿", "trailing ", "\n", "x\x1fy z", "a " * 5000]
 
 
 @pytest.fixture(scope="module")
 def reference():
     tokenizer = Tokenizer.from_file(queries.tokenizer()[0])
-    tokenizer.encode_special_tokens = True
     return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
 
 

@@ -59,3 +59,9 @@ def test_other_columns_and_empty_tables(spark):
     row = sharding.numbered(placed.drop("place"), "group", ["doc_id"], "slot").where("doc_id = 4").first()
     assert row["shard"] == row["start"] == "kept" and row["slot"] >= 0
     assert sharding.numbered(placed.drop("place").limit(0), "group", ["doc_id"], "slot").count() == 0
+
+
+def test_columns_of_helper_names_stay(spark):
+    df = clashing(spark.range(20).withColumnRenamed("id", "doc_id").selectExpr("doc_id", "doc_id % 3 as shard"), "_own", "_task", "_tie", "_rows")
+    rows = sharding.numbered(df, "shard", ["doc_id"], "slot").collect()
+    assert {(row["shard"], row["slot"]) for row in rows} == {(n % 3, n // 3) for n in range(20)} and {row["_own"] for row in rows} == {"kept"}

@@ -65,3 +65,17 @@ def test_awkward_rows_other_columns_and_empty_tables(spark):
     assert substrings.without_repeats(df.limit(0)).count() == 0
     with pytest.raises(ValueError):
         substrings.without_repeats(df, 100, 5)
+
+
+def test_texts_without_a_number_are_documents_of_their_own(spark):
+    passage = words(3, 40, 10**6)
+    rows = [(None, " ".join(words(n, 30, 10**6) + passage), "en", "a", 0) for n in (10, 11)] + [(1, " ".join(passage), "en", "a", 0)]
+    cut = substrings.without_repeats(frame(spark, rows + rows[:1])).collect()
+    assert sorted(row["n_removed"] for row in cut if row["doc_id"] is None) in ([0, 0, 40], [0, 40, 40])
+    assert [row["n_removed"] for row in cut if row["doc_id"] == 1] == [40]
+
+
+def test_columns_of_helper_names_stay(spark):
+    rows = clashing(frame(spark, corpus(3, 10)), "_id", "_cut", "_places", "_checks")
+    cut = substrings.without_repeats(rows)
+    assert {"_id", "_cut", "_places", "_checks"} <= set(cut.columns) and {row["_id"] for row in cut.collect()} == {"kept"}

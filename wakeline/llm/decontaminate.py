@@ -133,16 +133,16 @@ def document_seeds(docs: DataFrame, lengths: list[int]) -> DataFrame:
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            ids, prints, texts = batch.column(0), batch.column(1), batch.column(2).to_pylist()
-            for part in text_portions(texts):
-                tokens = [token_hashes(text, hashes) for text in texts[part]]
+            ids, prints = batch.column(0), batch.column(1)
+            for first, texts in text_portions(batch.column(2)):
+                tokens = [token_hashes(text, hashes) for text in texts]
                 ends = np.cumsum([len(own) for own in tokens])
                 joined = np.concatenate(tokens)
                 text = np.repeat(np.arange(len(tokens)), [len(own) for own in tokens])
                 content, left = Content(joined), ends[text] - np.arange(len(joined))
                 for length in lengths:
                     starts = np.flatnonzero(left >= length)
-                    rows = pa.array(text[starts] + part.start)
+                    rows = pa.array(text[starts] + first)
                     yield pa.RecordBatch.from_arrays(
                         [ids.take(rows), prints.take(rows), pa.array(content(starts, length).view(np.int64))],
                         names=["doc_id", "text_hash", "seed"],

@@ -17,10 +17,12 @@ from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wakeline.llm.text import text_lengths
+
 # First code points of blocks, and the script that begins there.
 SCRIPTS = (
     (0x0000, "latin"),
@@ -125,12 +127,12 @@ def words_in(texts: list[str], buckets: int) -> Words:
     )
 
 
-def portions(texts: list[str], letters: int) -> Iterator[list[int]]:
+def portions(lengths: list[int], letters: int) -> Iterator[list[int]]:
     """Numbers of texts, longest first, in portions of about so many characters."""
     portion, size = [], 0
-    for at in sorted(range(len(texts)), key=lambda at: -len(texts[at])):
+    for at in sorted(range(len(lengths)), key=lambda at: -lengths[at]):
         portion.append(at)
-        size += len(texts[at])
+        size += lengths[at]
         if size >= letters:
             yield portion
             portion, size = [], 0
@@ -170,36 +172,35 @@ class Model:
 def counted(docs: DataFrame, text: str, lang: str, settings: Settings) -> DataFrame:
     """Letters by language and bucket of triples, and by language and script as ``-1 - script``."""
 
-    def rows(triples: dict[str, np.ndarray], scripts: dict[str, np.ndarray]) -> Iterator[pd.DataFrame]:
+    def rows(triples: dict[str, np.ndarray], scripts: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
         for name in triples:
             some, of_script = np.flatnonzero(triples[name]), np.flatnonzero(scripts[name])
-            yield pd.DataFrame(
-                {
-                    "lang": name,
-                    "bucket": np.concatenate([some, -1 - of_script]),
-                    "letters": np.concatenate([triples[name][some], scripts[name][of_script]]),
-                }
-            )
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            bucket = np.concatenate([some, -1 - of_script])
+            letters = np.concatenate([triples[name][some], scripts[name][of_script]])
+            arrays = [pa.array([name] * len(bucket), pa.string()), pa.array(bucket, pa.int32()), pa.array(letters, pa.int64())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["lang", "bucket", "letters"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         triples: dict[str, np.ndarray] = {}
         scripts: dict[str, np.ndarray] = {}
         for batch in batches:
-            for name, rows_of in batch.groupby("lang")["text"]:
+            labels = batch.column(0).dictionary_encode()
+            of_row, lengths = labels.indices.to_numpy(zero_copy_only=False), text_lengths(batch.column(1))
+            for code, name in enumerate(labels.dictionary.to_pylist()):
                 if name not in triples and len(triples) >= settings.held_languages:
                     yield from rows(triples, scripts)
                     triples.clear(), scripts.clear()
                 own = triples.setdefault(name, np.zeros(settings.buckets, np.int64))
                 of_scripts = scripts.setdefault(name, np.zeros(len(NAMES), np.int64))
-                texts = rows_of.tolist()
-                for portion in portions(texts, 500_000):
-                    words = words_in([texts[at] for at in portion], settings.buckets)
+                places = np.flatnonzero(of_row == code)
+                for portion in portions(lengths[places].tolist(), 500_000):
+                    words = words_in(batch.column(1).take(pa.array(places[portion])).to_pylist(), settings.buckets)
                     own += np.bincount(words.triples, minlength=settings.buckets)
                     of_scripts += np.bincount(words.script, words.end - words.begin, len(NAMES)).astype(np.int64)
         yield from rows(triples, scripts)
 
     labelled = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null")
-    partial = labelled.mapInPandas(count, "lang string, bucket int, letters bigint")
+    partial = labelled.mapInArrow(count, "lang string, bucket int, letters bigint")
     return partial.groupBy("lang", "bucket").agg(F.sum("letters").alias("letters"))
 
 
@@ -253,13 +254,19 @@ def best_labels(scores: np.ndarray, first: np.ndarray, counts: np.ndarray, penal
     return labels
 
 
-def label_texts(texts: list[str], model: Model) -> list[tuple[str, float, list[dict]]]:
-    """Language, its share of the letters, and spans of each text."""
+def label_texts(texts: list[str] | pa.Array, model: Model, with_spans: bool = True) -> list[tuple[str, float, list[dict]]]:
+    """Language, its share of the letters, and spans of each text.
+
+    A word of a script that its label does not use counts for no language, but among the letters.
+    """
     settings, found = model.settings, [(UNKNOWN, 0.0, [])] * len(texts)
     if not model.languages:
         return found
-    for portion in portions(texts, max(10_000, 2_000_000 // len(model.languages))):
-        words = words_in([texts[at] for at in portion], settings.buckets)
+    if not isinstance(texts, pa.Array):
+        texts = pa.array(texts, pa.string())
+    lengths = text_lengths(texts).tolist()
+    for portion in portions(lengths, max(10_000, 2_000_000 // len(model.languages))):
+        words = words_in([text or "" for text in texts.take(pa.array(portion)).to_pylist()], settings.buckets)
         if not len(words.first):
             continue
         scores = model.word_scores(words)
@@ -270,43 +277,51 @@ def label_texts(texts: list[str], model: Model) -> list[tuple[str, float, list[d
         order, first, counts = np.unique(words.text, return_index=True, return_counts=True)
         by_size = np.argsort(-counts, kind="stable")
         labels = best_labels(scores, first[by_size], counts[by_size], settings.switch_penalty)
+        letters = np.zeros((len(portion), len(model.languages)), np.int64)
+        np.add.at(letters, (words.text, labels), np.where(uses[np.arange(len(labels)), labels], size, 0))
+        main, total = letters.argmax(1), np.bincount(words.text, size, len(portion))
+        share = letters[np.arange(len(portion)), main] / np.maximum(total, 1)
+        spans: dict[int, list[dict]] = {}
+        for number in order.tolist():
+            found[portion[number]] = (model.languages[main[number]], float(share[number]), spans.setdefault(number, []))
+        if not with_spans:
+            continue
         starts = np.flatnonzero(np.concatenate([[True], (labels[1:] != labels[:-1]) | (words.text[1:] != words.text[:-1])]))
         ends = np.concatenate([starts[1:], [len(labels)]])
-        spans: dict[int, list[dict]] = {}
         for start, end in zip(starts.tolist(), ends.tolist(), strict=True):
             span = {"start": int(words.begin[start]), "end": int(words.end[end - 1]), "lang": model.languages[labels[start]]}
-            spans.setdefault(int(words.text[start]), []).append(span)
-        letters = np.zeros((len(portion), len(model.languages)), np.int64)
-        np.add.at(letters, (words.text, labels), size)
-        main = letters.argmax(1)
-        for number in order.tolist():
-            share = letters[number, main[number]] / letters[number].sum()
-            found[portion[number]] = (model.languages[main[number]], float(share), spans[number])
+            spans[int(words.text[start])].append(span)
     return found
 
 
-def detector(docs: DataFrame, model: Model):
-    """A function of a text column: the struct of ``lang``, ``score`` and ``spans``."""
+def detector(docs: DataFrame, model: Model, with_spans: bool = True):
+    """A function of a text column: the struct of ``lang``, ``score`` and, if wanted, ``spans``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    names = ["lang", "score", "spans"] if with_spans else ["lang", "score"]
+    span = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())])
+    kinds = [pa.string(), pa.float64(), pa.list_(span)]
 
-    @F.pandas_udf(f"lang string, score double, spans {SPAN}")
-    def detect(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("lang string, score double" + (f", spans {SPAN}" if with_spans else ""))
+    def detect(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            rows = label_texts([text or "" for text in texts], shared.value)
-            yield pd.DataFrame(rows, columns=["lang", "score", "spans"])
+            columns = list(zip(*label_texts(texts, shared.value, with_spans), strict=True)) or [[], [], []]
+            arrays = [pa.array(column, kind) for column, kind, _ in zip(columns, kinds, names)]
+            yield pa.StructArray.from_arrays(arrays, names)
 
     return detect
 
 
-def labelled(docs: DataFrame, model: Model, text: str = "text", name: str = "language") -> DataFrame:
-    """Add ``name``: the main language, the share of letters in its spans, and all spans.
+def labelled(docs: DataFrame, model: Model, text: str = "text", name: str = "language", with_spans: bool = True) -> DataFrame:
+    """Add ``name``: the main language, its share of the letters, and all spans if wanted.
 
     Spans are given in code points of the whole text. A null text, and one without a letter,
     has the language ``und``, the score 0 and no span; so has every text if nothing was
-    learned. Equal counts of letters go to the first language by name. Rows stay as they are,
-    repeated ones included; a column of that name is replaced.
+    learned. Letters of scripts that no language uses belong to spans around them but count
+    against the score, so a text of such letters only has the score 0. Equal counts of letters
+    go to the first language by name. Rows stay as they are, repeated ones included; a column of
+    that name is replaced.
     """
-    return docs.withColumn(name, detector(docs, model)(F.col(text)))
+    return docs.withColumn(name, detector(docs, model, with_spans)(F.col(text)))
 
 
 def held_out(doc_id: Column) -> Column:

@@ -31,7 +31,7 @@ class Curriculum:
     share: float = 1.5  # of the words of all sources that the mix takes
     repeats: int = 2  # how often a document is taken at most
     seed: str = "mix"
-    slot_rows: int = 50_000  # about so many rows of a source meet in one task; changes no result
+    slot_rows: int = 2_000  # about so many rows of a source meet in one task; changes no result
 
     def integrals(self, schedule: tuple[float, ...]) -> list[float]:
         """The integral of a schedule from the first time to each of its times."""
@@ -46,7 +46,7 @@ class Curriculum:
 
 
 CURRICULUM = Curriculum()
-DIGITS = 6  # of a draw that give its slot
+DIGITS = 8  # of a draw that give its slot
 
 
 def position_of(demand: Column, schedule: tuple[float, ...], curriculum: Curriculum) -> Column:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wakeline.llm.text import WordHashes, mix, seeds, stored, window_hashes
+from wakeline.llm.text import WordHashes, drop_stored, mix, seeds, stored, text_portions, window_hashes
 
 
 @dataclass(frozen=True)
@@ -40,6 +40,7 @@ class Settings:
     miss: float = 1e-6
     small: int = 16  # classes in a bucket that is joined to pairs
     block: int = 512  # classes of a larger bucket in one task, or twice as many across blocks
+    block_shingles: int = 4_000_000  # about so many shingles, of 8 bytes, in them; changes no result
 
     @property
     def length(self) -> int:
@@ -70,23 +71,23 @@ def node_of(shingles: np.ndarray) -> int:
 
 
 def signed(docs: DataFrame, settings: Settings) -> DataFrame:
-    """``doc_id, n, node, sig`` of every row of ``doc_id, text``; node and sig are null without words."""
+    """``doc_id, text_hash, n, node, sig`` of every row of ``doc_id, text_hash, text``; node and sig are null without words."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, factors = WordHashes(), seeds(settings.length, 5)
         for batch in batches:
             rows = []
-            for text in batch.column(1):
+            for text in batch.column(2):
                 shingles = shingle_set(text.as_py(), settings.shingle, hashes)
                 if len(shingles):
                     rows.append((len(shingles), node_of(shingles), signature(shingles, factors).tobytes()))
                 else:
                     rows.append((0, None, None))
             n, node, sig = zip(*rows, strict=True) if rows else ((), (), ())
-            arrays = [batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(sig, pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n", "node", "sig"])
+            arrays = [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(sig, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "text_hash", "n", "node", "sig"])
 
-    return docs.mapInArrow(sign, "doc_id bigint, n bigint, node bigint, sig binary")
+    return docs.mapInArrow(sign, "doc_id bigint, text_hash bigint, n bigint, node bigint, sig binary")
 
 
 def band_keys(settings: Settings) -> Column:
@@ -165,26 +166,31 @@ def forest(members: pd.DataFrame, settings: Settings) -> list[tuple[int, int]]:
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, settings: Settings) -> DataFrame:
-    """``node, shingles, sig`` of the wanted ``node, rep, sig``, from the texts of their representatives."""
+    """``node, shingles, sig`` of the wanted ``node, key, sig``, from the texts of the rows that the keys name."""
 
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            sets = [shingle_set(text, settings.shingle, hashes) for text in batch["text"]]
-            rows = {"node": [node_of(own) for own in sets], "shingles": [own.astype("<u8").tobytes() for own in sets]}
-            yield pd.DataFrame(rows).astype({"node": "int64"})
-
-    reps = wanted.select(F.col("rep").alias("doc_id")).distinct()
-    found = docs.join(reps, "doc_id", "left_semi").select("text").mapInPandas(find, "node bigint, shingles binary")
+            for _, texts in text_portions(batch.column(0), 2_000_000):
+                sets = [shingle_set(text, settings.shingle, hashes) for text in texts]
+                arrays = [pa.array([node_of(own) for own in sets], pa.int64()), pa.array([own.astype("<u8").tobytes() for own in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, names=["node", "shingles"])
+
+    reps = wanted.select("key.*").toDF("no_id", "rep_id", "rep_hash")
+    named = F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("text_hash") == F.col("rep_hash"))
+    found = docs.join(reps, named, "left_semi").select("text").mapInArrow(find, "node bigint, shingles binary")
     sets = found.groupBy("node").agg(F.first("shingles").alias("shingles"))
     return sets.join(wanted.select("node", "sig"), "node")
 
 
-def links_of(docs: DataFrame, classes: DataFrame, settings: Settings) -> DataFrame:
-    """Confirmed links ``u, v`` that connect whatever is linked."""
+def links_of(docs: DataFrame, classes: DataFrame, settings: Settings, spent: list[DataFrame]) -> DataFrame:
+    """Confirmed links ``u, v`` that connect whatever is linked; ``spent`` gets the tables it rests on."""
     at_bands = classes.select("node", "n", F.posexplode(band_keys(settings)).alias("band", "key"))
-    sizes = at_bands.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    sizes = at_bands.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("weight")).where("members > 1")
+    # a table of its own, so that a large bucket's rows can be split among the tasks of the join
+    sizes = stored(sizes, "bucket-sizes")
     shared = stored(at_bands.join(sizes, "key"), "buckets")
+    spent += [sizes, shared]
 
     few = shared.where(F.col("members") <= settings.small).select("key", "node", "n")
     other = few.select("key", F.col("node").alias("v"), F.col("n").alias("n_v"))
@@ -202,8 +208,9 @@ def links_of(docs: DataFrame, classes: DataFrame, settings: Settings) -> DataFra
     candidates = stored(with_sigs.mapInPandas(prune, "u bigint, v bigint"), "candidates")
     many = shared.where(F.col("members") > settings.small)
     nodes = candidates.select(F.col("u").alias("node")).union(candidates.select("v")).union(many.select("node")).distinct()
-    wanted = classes.join(nodes, "node", "left_semi").select("node", "rep", "sig")
+    wanted = classes.join(nodes, "node", "left_semi").select("node", "key", "sig")
     sets = stored(shingle_sets(docs, wanted, settings), "shingle-sets")
+    spent += [candidates, sets]
 
     def confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -220,30 +227,33 @@ def links_of(docs: DataFrame, classes: DataFrame, settings: Settings) -> DataFra
     def connect(key: tuple, members: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(forest(members, settings), columns=["u", "v"]).astype("int64")
 
-    def blocks_of(rows: Column) -> Column:
-        return F.ceil(rows / F.lit(settings.block)).cast("int")
+    def blocks_of(rows: Column, weight: Column) -> Column:
+        return F.ceil(F.greatest(rows / F.lit(settings.block), weight / F.lit(settings.block_shingles))).cast("int")
 
     def block(blocks: Column, salt: int) -> Column:
         return F.pmod(F.xxhash64("node", F.lit(salt)), blocks).cast("int")
 
     columns = ("key", "band", "node", "n")
-    inside = many.select(*columns, F.col("node").alias("root"), block(blocks_of(F.col("members")), 1).alias("block"))
+    inside = many.select(*columns, F.col("node").alias("root"), block(blocks_of(F.col("members"), F.col("weight")), 1).alias("block"))
     inside = inside.join(sets, "node").withColumns({name: F.lit(True) for name in ("outside", "asks", "held")})
     first = stored(
         confirmed.unionByName(inside.groupBy("key", "block").applyInPandas(connect, "u bigint, v bigint")), "first-links"
     )
 
-    roots = components(first)
+    spent.append(first)
+    roots = components(first, spent)
     rooted = many.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    of_root = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("rows"))
-    largest = of_root.groupBy("key").agg(F.max(F.struct("rows", "root")).alias("largest"), F.sum("rows").alias("all"))
+    of_root = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("weight"))
+    largest = of_root.groupBy("key").agg(
+        F.max(F.struct("rows", "root", "weight")).alias("largest"), F.sum("rows").alias("all"), F.sum("weight").alias("all_weight")
+    )
     largest = largest.where(F.col("largest.rows") < F.col("all"))
     spread = rooted.join(largest, "key").select(
         *columns,
         "root",
         (F.col("root") != F.col("largest.root")).alias("outside"),
-        blocks_of(F.col("all")).alias("blocks"),
-        blocks_of(F.col("all") - F.col("largest.rows")).alias("outer_blocks"),
+        blocks_of(F.col("all"), F.col("all_weight")).alias("blocks"),
+        blocks_of(F.col("all") - F.col("largest.rows"), F.col("all_weight") - F.col("largest.weight")).alias("outer_blocks"),
     )
 
     def numbers(blocks: Column) -> Column:
@@ -258,9 +268,11 @@ def links_of(docs: DataFrame, classes: DataFrame, settings: Settings) -> DataFra
     return first.unionByName(across.groupBy("key", "i", "j").applyInPandas(connect, "u bigint, v bigint"))
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, spent: list[DataFrame] | None = None) -> DataFrame:
     """``node, root`` of every linked node; the root is the smallest node reachable.
 
+    ``spent`` gets the table that the result rests on, to be dropped in time.
+
     Rounds of large and small stars; the smallest neighbour is a partial aggregate and edges
     meet it in a join, so a node with very many neighbours needs no task of its own.
     """
@@ -283,12 +295,49 @@ def components(links: DataFrame) -> DataFrame:
         large = large.where("u <> v").distinct()
         small = towards_least(large)  # every edge leads from the larger node to the smaller
         hung = small.where("v <> least").select(F.col("v").alias("u"), F.col("least").alias("v"))
-        edges = stored(hung.unionByName(small.select("u", F.col("least").alias("v"))).distinct(), "stars")
-        before, now = now, mark(edges)
+        closer = stored(hung.unionByName(small.select("u", F.col("least").alias("v"))).distinct(), "stars")
+        drop_stored(edges)
+        edges, before, now = closer, now, mark(closer)
+    if spent is not None:
+        spent.append(edges)
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def row_key() -> Column:
+    """What tells rows apart, least first: the number, a null one last, and the text."""
+    return F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+
+
+def members(docs: DataFrame, settings: Settings = SETTINGS, text: str = "text") -> DataFrame:
+    """``doc_id, text_hash, n_shingles, component_id, kept, stays`` for every row of ``docs``.
+
+    ``text_hash`` is ``xxhash64`` of the text. ``stays`` is true for one row of each group, or its
+    repeated rows, the one with the smallest number and then hash, a null number last; and for all
+    rows without words. The other columns are those of :func:`grouped`.
+    """
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).alias("text"))
+    signatures = stored(signed(texts, settings), "signatures")
+    words = signatures.where("node is not null")
+    of_class = words.groupBy("node").agg(
+        F.min("doc_id").alias("rep"), F.min(row_key()).alias("key"), F.first("n").alias("n"), F.first("sig").alias("sig")
+    )
+    classes = stored(of_class, "classes")
+    spent: list[DataFrame] = []
+    roots = components(links_of(texts, classes, settings, spent), spent)
+    named = classes.select("node", "rep", "key").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = named.groupBy("root").agg(F.min("rep").alias("component_id"), F.min("key").alias("least_key"))
+    of_node = stored(named.join(least, "root").select("node", "component_id", "least_key"), "components")
+    for table in (*spent, classes):
+        drop_stored(table)
+    found = signatures.select("doc_id", "text_hash", "n", "node").join(of_node, "node", "left")
+    stays = F.coalesce(F.col("least_key") == row_key(), F.col("node").isNull())
+    component = F.coalesce("component_id", F.when(F.col("node").isNull(), F.col("doc_id")))
+    return found.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), component.alias("component_id"), stays.alias("stays")).select(
+        "doc_id", "text_hash", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "stays"
+    )
+
+
 def grouped(docs: DataFrame, settings: Settings = SETTINGS, text: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``.
 
@@ -296,21 +345,8 @@ def grouped(docs: DataFrame, settings: Settings = SETTINGS, text: str = "text")
     similarity or more. ``component_id`` is the smallest ``doc_id`` that links reach, its own
     included; ``kept`` is true for the row, or the repeated rows, that have this ``doc_id``. A
     text with fewer words than a shingle is one shingle; a text without words, or null, has an
-    empty set, is linked with nothing and is kept. A null ``doc_id`` is kept and is no
-    component's name unless nothing else is. Further columns of ``docs`` are not used.
+    empty set, is linked with nothing and is kept. A row with a null ``doc_id`` is linked like any
+    other; it names its component only if no row of it has a number, and is kept only then.
+    Further columns of ``docs`` are not used.
     """
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    signatures = stored(signed(texts, settings), "signatures")
-    words = signatures.where("node is not null")
-    classes = stored(
-        words.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes"
-    )
-    roots = components(links_of(texts, classes, settings))
-    named = classes.select("node", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    of_node = named.join(least, "root").select("node", "component_id")
-    return signatures.select("doc_id", "n", "node").join(of_node, "node", "left").select(
-        "doc_id",
-        F.col("n").alias("n_shingles"),
-        F.coalesce("component_id", "doc_id").alias("component_id"),
-    ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return members(docs, settings, text).drop("text_hash", "stays")

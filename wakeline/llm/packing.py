@@ -14,10 +14,12 @@ import sys
 from array import array
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wakeline.llm.text import text_portions
+
 PIECE = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint"
 
 
@@ -33,20 +35,25 @@ class Tokens:
 
     No token of the split pattern crosses a single space or line feed between two other
     characters, so the stretches between them are looked up in a bounded memory of those met
-    before. A text with other white space in a row is encoded as a whole.
+    before. A text with other white space in a row is encoded as a whole. The file's added tokens
+    are cut out of a text first, the longest one at each place, and give their own ids.
     """
 
-    def __init__(self, path: str, pattern: str, remembered: int = 300_000):
+    def __init__(self, path: str, pattern: str, remembered: int = 100_000):
         import tiktoken
 
         with open(path, encoding="utf-8") as file:
             content = json.load(file)
-        letters = byte_letters()
-        special = {token["content"] for token in content.get("added_tokens", ())}
+        letters, added = byte_letters(), content.get("added_tokens", ())
+        if any(token.get(flag) for token in added for flag in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError("added tokens that depend on the text around them are not supported")
+        self.added = {token["content"]: token["id"].to_bytes(4, "little") for token in added}
+        longest_first = sorted(self.added, key=len, reverse=True)
+        self.cuts = re.compile("|".join(map(re.escape, longest_first))) if added else None
         ranks = {
             bytes(letters[letter] for letter in token): number
             for token, number in content["model"]["vocab"].items()
-            if token not in special
+            if token not in self.added
         }
         self.encoding = tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.known: dict[str, bytes] = {}
@@ -59,6 +66,15 @@ class Tokens:
         return ids.tobytes()
 
     def __call__(self, text: str) -> bytes:
+        if self.cuts is None or not self.cuts.search(text):
+            return self.plain(text)
+        ids, at = [], 0
+        for match in self.cuts.finditer(text):
+            ids += [self.plain(text[at : match.start()]), self.added[match.group()]]
+            at = match.end()
+        return b"".join([*ids, self.plain(text[at:])])
+
+    def plain(self, text: str) -> bytes:
         if re.search(r"\s\s|\0", text) or text[:1].isspace() or text[-1:].isspace():
             return self.encoded(text)
         stretches = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
@@ -89,26 +105,23 @@ def packed(docs: DataFrame, path: str, pattern: str, longest: int = 2048, end: i
         raise ValueError("longest must be a power of two")
     last = end.to_bytes(4, "little")
 
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens(path, pattern)
         for batch in batches:
-            rows = []
-            for doc_id, value in zip(batch["doc_id"], batch["text"], strict=True):
-                ids, start = (tokens(value) if value else b"") + last, 0
-                for length in piece_lengths(len(ids) // 4, longest):
-                    rows.append((doc_id, start, length, ids[4 * start : 4 * (start + length)], len(ids) // 4))
-                    start += length
-                if len(rows) > 20_000:
-                    yield frame(rows)
-                    rows = []
-            yield frame(rows)
-
-    def frame(rows: list[tuple]) -> pd.DataFrame:
-        pieces = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids", "doc_tokens"])
-        return pieces.astype({"doc_id": "Int64"})
+            for first, texts in text_portions(batch.column(1), 2_000_000):
+                rows = []
+                for at, text in enumerate(texts, first):
+                    ids, start = (tokens(text) if text else b"") + last, 0
+                    for length in piece_lengths(len(ids) // 4, longest):
+                        rows.append((at, start, length, ids[4 * start : 4 * (start + length)], len(ids) // 4))
+                        start += length
+                at, *columns = zip(*rows, strict=True)
+                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64())
+                arrays = [pa.array(column, kind) for column, kind in zip(columns, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), *arrays], names=["doc_id", "start", "length", "ids", "doc_tokens"])
 
     read = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    return read.mapInPandas(split, PIECE).withColumns(
+    return read.mapInArrow(split, PIECE).withColumns(
         {
             "sequence_id": F.monotonically_increasing_id(),
             "offset": F.lit(0).cast("bigint"),

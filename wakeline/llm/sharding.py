@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from wakeline.llm.ranks import free_names
 from wakeline.llm.text import stored
 
 # region -> rack -> shard -> weight
@@ -91,33 +92,33 @@ def numbered(rows: DataFrame, group: str, order: list[str], number: str) -> Data
 
     Rows are range-partitioned by ``order``, so no group meets in one task; ties go to several
     tasks too. Each task numbers its own rows of each group, the result is written, and the
-    counts of tasks and groups, summed up, are what the tasks' numbers start from. The table
-    has no columns ``_tie, _task, _own, _rows, _start, _group, _from``.
+    counts of tasks and groups, summed up, are what the tasks' numbers start from. A column of the
+    name ``number`` is replaced.
     """
+    rows = rows.drop(number)
     columns, schema = rows.columns, rows.schema
-    spread = rows.withColumn("_tie", F.monotonically_increasing_id())
-    spread = spread.repartitionByRange(*order, "_tie").sortWithinPartitions(*order, "_tie").drop("_tie")
+    tie_, own_, task_, rows_, start_, group_, from_ = free_names(rows, "_tie", "_own", "_task", "_rows", "_start", "_group", "_from")
+    spread = rows.withColumn(tie_, F.monotonically_increasing_id())
+    spread = spread.repartitionByRange(*order, tie_).sortWithinPartitions(*order, tie_).drop(tie_)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict = {}
         task = TaskContext.get().partitionId()
         for batch in batches:
             own = batch.groupby(group, dropna=False).cumcount()
-            batch["_own"] = own + batch[group].map(lambda key: seen.get(key, 0)).astype("int64")
+            batch[own_] = own + batch[group].map(lambda key: seen.get(key, 0)).astype("int64")
             for key, rows in batch[group].value_counts(dropna=False).items():
                 seen[key] = seen.get(key, 0) + int(rows)
-            batch["_task"] = task
+            batch[task_] = task
             yield batch
 
     fields = ", ".join(f"`{field.name}` {field.dataType.simpleString()}" for field in schema)
-    own = stored(spread.mapInPandas(count, f"{fields}, _own bigint, _task bigint"), "numbered")
-    sizes = own.groupBy(group, "_task").agg((F.max("_own") + 1).alias("_rows"))
-    before = Window.partitionBy(group).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(
-        F.col(group).alias("_group"), F.col("_task").alias("_from"), F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start")
-    )
-    joined = own.join(starts, (own[group] == starts["_group"]) & (own["_task"] == starts["_from"]))
-    return joined.select(*columns, (F.col("_start") + F.col("_own")).alias(number))
+    own = stored(spread.mapInPandas(count, f"{fields}, {own_} bigint, {task_} bigint"), "numbered")
+    sizes = own.groupBy(group, task_).agg((F.max(own_) + 1).alias(rows_))
+    before = Window.partitionBy(group).orderBy(task_).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(F.col(group).alias(group_), F.col(task_).alias(from_), F.coalesce(F.sum(rows_).over(before), F.lit(0)).alias(start_))
+    joined = own.join(starts, (own[group] == starts[group_]) & (own[task_] == starts[from_]))
+    return joined.select(*columns, (F.col(start_) + F.col(own_)).alias(number))
 
 
 def sharded(docs: DataFrame, tree: Tree, key: str = "doc_id", name: str = "place") -> DataFrame:

@@ -21,15 +21,15 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wakeline.llm.ranks import free_names
 from wakeline.llm.text import BASES, Content, WordHashes, drop_stored, stored, text_portions
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-NO_ID = -(2**63)  # stands for a null number, before all others
+NO_ID = -(2**63)  # null numbers become this and a hash of the text, before all others
 STEP = 64  # a place is start * STEP + number of edges
 
 
@@ -62,13 +62,13 @@ def paths(docs: DataFrame, window: int, inner: int) -> DataFrame:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            ids, texts = batch.column(0), [text or "" for text in batch.column(1).to_pylist()]
-            for part in text_portions(texts):
-                words, bounds = joined_words(texts[part], hashes)
+            ids = batch.column(0)
+            for first, texts in text_portions(batch.column(1)):
+                words, bounds = joined_words(texts, hashes)
                 text, start, edges, small, content = paths_in(words, bounds, window, inner)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        ids.take(pa.array(text + part.start)),
+                        ids.take(pa.array(text + first)),
                         pa.array(start * STEP + edges),
                         pa.array(content.view(np.int64)),
                         pa.array(small.view(np.int64)),
@@ -103,22 +103,25 @@ def edges_of(docs: DataFrame, branching: DataFrame, window: int) -> DataFrame:
     listed = listed_places(branching)
     schema = "_id bigint, place bigint, content bigint, other bigint"
 
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            parts = []
-            for _id, text, places, checks in batch.itertuples(index=False):
-                words = hashes(text.encode("utf-8", "replace").split())
-                content = Content(words)
-                start, edges = sound(content, len(words), places, checks, window)
-                each = np.unique(np.repeat(start, edges) + np.arange(edges.sum()) - np.repeat(np.cumsum(edges) - edges, edges))
-                other = Content(words, BASES[1])(each, window)
-                parts.append((np.full(len(each), _id), each * STEP + 1, content(each, window).view(np.int64), other.view(np.int64)))
-            if parts:
-                columns = [np.concatenate(column) for column in zip(*parts, strict=True)]
-                yield pd.DataFrame(dict(zip(("_id", "place", "content", "other"), columns, strict=True)))
+            ids, all_places, all_checks = (batch.column(at) for at in (0, 2, 3))
+            for first, texts in text_portions(batch.column(1)):
+                parts = []
+                for at, text in enumerate(texts, first):
+                    words = hashes(text.encode("utf-8", "replace").split())
+                    content = Content(words)
+                    places, checks = (np.array(column[at].as_py(), np.int64) for column in (all_places, all_checks))
+                    start, edges = sound(content, len(words), places, checks, window)
+                    each = np.unique(np.repeat(start, edges) + np.arange(edges.sum()) - np.repeat(np.cumsum(edges) - edges, edges))
+                    other = Content(words, BASES[1])(each, window)
+                    parts.append((np.full(len(each), at), each * STEP + 1, content(each, window).view(np.int64), other.view(np.int64)))
+                rows, *columns = (np.concatenate(column) for column in zip(*parts, strict=True))
+                arrays = [ids.take(pa.array(rows)), *map(pa.array, columns)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["_id", "place", "content", "other"])
 
-    return docs.join(listed, "_id").select("_id", "text", "_places", "_checks").mapInPandas(find, schema)
+    return docs.join(listed, "_id").select("_id", "text", "_places", "_checks").mapInArrow(find, schema)
 
 
 def later(occurrences: DataFrame, firsts: DataFrame, keys: list[str]) -> DataFrame:
@@ -154,6 +157,28 @@ def cut(text: str, covered: np.ndarray) -> str:
     return b"".join([*parts, data[at:]]).decode("utf-8", "replace")
 
 
+CUT = "text string, n_words bigint, n_removed bigint, spans array<struct<start:bigint,length:bigint>>"
+SPAN_ARROW = pa.struct([("start", pa.int64()), ("length", pa.int64())])
+CUT_ARROW = pa.struct([("text", pa.string()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(SPAN_ARROW))])
+
+
+def cover(words: np.ndarray, places: np.ndarray, checks: np.ndarray, window: int) -> np.ndarray:
+    """Which words lie in a window found at one of the places."""
+    start, edges = sound(Content(words), len(words), places, checks, window)
+    change = np.zeros(len(words) + 1, np.int64)
+    np.add.at(change, start, 1)
+    np.add.at(change, start + edges + window - 1, -1)
+    return np.cumsum(change)[:-1] > 0
+
+
+def cut_row(value: str | None, count: int, covered: np.ndarray | None) -> dict:
+    if covered is None:
+        return {"text": value, "n_words": count, "n_removed": 0, "spans": []}
+    ends = np.flatnonzero(np.diff(np.concatenate([[False], covered, [False]]).astype(np.int8))).tolist()
+    spans = [{"start": a, "length": b - a} for a, b in zip(ends[::2], ends[1::2], strict=True)]
+    return {"text": cut(value, covered) if spans else value, "n_words": count, "n_removed": int(covered.sum()), "spans": spans}
+
+
 def without_repeats(docs: DataFrame, window: int = 20, inner: int = 8, text: str = "text") -> DataFrame:
     """Cut every word that lies in a window whose words occur earlier too.
 
@@ -163,36 +188,35 @@ def without_repeats(docs: DataFrame, window: int = 20, inner: int = 8, text: str
     number of words). All other columns stay; those of the three names are replaced.
 
     Texts shorter than a window, empty ones and null ones stay as they are; a null text has no
-    words. A null ``doc_id`` counts as smaller than all others. Rows that share a ``doc_id``
+    words. A null ``doc_id`` counts as smaller than all others; texts without a number are
+    documents of their own, in the order of a hash, and equal ones are one. Rows that share a ``doc_id``
     are places of one document: a window at the same start in several of them is not earlier
-    in any, so repeated rows stay alike. ``docs`` has no columns ``_id, _places, _checks, _cut``.
+    in any, so repeated rows stay alike.
     """
     if not 1 <= inner <= window or window - inner + 1 >= STEP:
         raise ValueError("the inner window must be shorter than the window, by less than STEP words")
-    keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)))
-    texts = keyed.select("_id", F.coalesce(F.col(text), F.lit("")).alias("text"))
+    own, places, checks, done = free_names(docs, "_id", "_places", "_checks", "_cut")
+    no_number = F.lit(NO_ID) + F.xxhash64(F.col(text)).bitwiseAND(F.lit(2**61 - 1))
+    keyed = docs.withColumn(own, F.coalesce(F.col("doc_id").cast("bigint"), no_number))
+    texts = keyed.select(F.col(own).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     found = repeats(texts, window, inner)
-    listed = listed_places(found)
+    listed = listed_places(found).toDF(own, places, checks)
 
-    @F.pandas_udf("text string, n_words bigint, n_removed bigint, spans array<struct<start:bigint,length:bigint>>")
-    def apply(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(CUT)
+    def apply(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         hashes = WordHashes()
-        for batch in batches:
-            rows = []
-            for value, places, checks in zip(*batch, strict=True):
-                words = (value or "").encode("utf-8", "replace").split()
-                covered = np.zeros(len(words) + 1, np.int64)
-                if places is not None and len(words) >= window:
-                    content = Content(hashes(words))
-                    start, edges = sound(content, len(words), places, checks, window)
-                    np.add.at(covered, start, 1)
-                    np.add.at(covered, start + edges + window - 1, -1)
-                mask = np.cumsum(covered)[:-1] > 0
-                ends = np.flatnonzero(np.diff(np.concatenate([[False], mask, [False]]).astype(np.int8))).tolist()
-                spans = [{"start": a, "length": b - a} for a, b in zip(ends[::2], ends[1::2], strict=True)]
-                rows.append((cut(value, mask) if spans else value, len(words), int(mask.sum()), spans))
-            yield pd.DataFrame(rows, columns=["text", "n_words", "n_removed", "spans"])
-
-    joined = keyed.join(listed, "_id", "left").withColumn("_cut", apply(F.col(text), F.col("_places"), F.col("_checks")))
-    results = {name: F.col(f"_cut.{name}") for name in ("n_words", "n_removed", "spans")}
-    return joined.withColumns({text: F.col("_cut.text"), **results}).drop("_id", "_places", "_checks", "_cut")
+        for texts, all_places, all_checks in batches:
+            parts = [pa.array([], CUT_ARROW)]
+            for first, values in text_portions(texts):
+                rows = []
+                for at, value in enumerate(values, first):
+                    words, covered = value.encode("utf-8", "replace").split(), None
+                    if all_places[at].is_valid and len(words) >= window:
+                        covered = cover(hashes(words), *(np.array(column[at].as_py()) for column in (all_places, all_checks)), window)
+                    rows.append(cut_row(value if texts[at].is_valid else None, len(words), covered))
+                parts.append(pa.array(rows, CUT_ARROW))
+            yield pa.concat_arrays(parts)
+
+    joined = keyed.join(listed, own, "left").withColumn(done, apply(F.col(text), F.col(places), F.col(checks)))
+    results = {name: F.col(f"{done}.{name}") for name in ("n_words", "n_removed", "spans")}
+    return joined.withColumns({text: F.col(f"{done}.text"), **results}).drop(own, places, checks, done)

@@ -8,6 +8,8 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,21 +52,28 @@ class Content:
         return mix((self.sums[start + length] - self.sums[start]) * self.back[start] + np.asarray(length).astype(np.uint64))
 
 
-def text_portions(texts: list[str], size: int = 2_000_000) -> Iterator[slice]:
+def text_lengths(column: pa.Array) -> np.ndarray:
+    return pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+
+
+def text_portions(column: pa.Array, size: int = 300_000) -> Iterator[tuple[int, list[str]]]:
+    """Consecutive texts of about so many bytes, with the number of the first; nulls are empty.
+
+    Only one portion at a time is a list of Python texts, which bounds the memory of a task.
+    """
     start, held = 0, 0
-    for at, text in enumerate(texts):
-        held += len(text)
-        if held >= size:
-            yield slice(start, at + 1)
+    lengths = text_lengths(column).tolist()
+    for at, length in enumerate(lengths):
+        held += length
+        if held >= size or at == len(lengths) - 1:
+            yield start, [text or "" for text in column.slice(start, at + 1 - start).to_pylist()]
             start, held = at + 1, 0
-    if start < len(texts):
-        yield slice(start, len(texts))
 
 
 class WordHashes:
     """64-bit hashes of words given as bytes; remembers a bounded number of them."""
 
-    def __init__(self, remembered: int = 200_000):
+    def __init__(self, remembered: int = 60_000):
         self.remembered, self.known = remembered, {}
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
