@@ -22,9 +22,15 @@ from wakeline.params import DEFAULTS, RouteParams  # noqa: E402
 from wakeline.plans import edges, steps, summary, top_routes, totals  # noqa: E402
 from wakeline.sources import (  # noqa: E402
     as_raw,
+    columns_of,
+    positions_csv,
     positions_events,
     positions_lines,
     project_raw,
+    read_raw_csv,
+    shared_folder,
+    write_raw_csv,
+    written,
 )
 
 try:  # the corpus operators are an optional part
@@ -54,24 +60,46 @@ NARROW = replace(DEFAULTS, stretch_seconds=3600)
 CSV_HEADER = "# Timestamp,MMSI,Latitude,Longitude,event_id"
 
 
-def csv_lines(infer: bool = False, untidy: bool = False) -> Query:
-    """Positions parsed from CSV lines made of the events, some with blanks and decimals in them."""
+def raw_events(spark: SparkSession, sf_dir: str, untidy: bool = False) -> DataFrame:
+    """The events as text columns of a raw file, some with blanks and decimals in them."""
+    raw = as_raw(positions_events(spark, sf_dir))
+    if not untidy:
+        return raw
+    number = F.col("event_id").cast("bigint") % 4
+    mmsi = F.when(number == 1, F.concat("MMSI", F.lit(".0"))).when(number == 2, F.concat(F.lit(" "), "MMSI"))
+    bad = F.col("event_id").cast("bigint") % 50 == 7
+    return raw.withColumns(
+        {
+            "MMSI": F.when(bad, F.lit("none")).otherwise(mmsi.when(number == 3, F.concat("MMSI", F.lit(" "))).otherwise(F.col("MMSI"))),
+            "Latitude": F.concat(F.lit(" "), "Latitude"),
+            "Longitude": F.concat("Longitude", F.lit(" ")),
+        }
+    )
+
+
+def csv_folder(spark: SparkSession, sf_dir: str, untidy: bool = False) -> str:
+    path = shared_folder(spark, "events-csv")
+    write_raw_csv(raw_events(spark, sf_dir, untidy), path)
+    return path
+
+
+def csv_files(infer: bool = False, untidy: bool = False) -> Query:
+    """Positions scanned from CSV files that the events are written to, with given or inferred types."""
+    return lambda spark, sf_dir: positions_csv(spark, csv_folder(spark, sf_dir, untidy), infer)
+
+
+def csv_columns(infer: bool) -> Query:
+    """The available columns of these files, and their types."""
+    return lambda spark, sf_dir: columns_of(read_raw_csv(spark, csv_folder(spark, sf_dir), infer))
+
+
+def csv_lines(untidy: bool = False) -> Query:
+    """Positions parsed from CSV lines made of the events."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        raw = as_raw(positions_events(spark, sf_dir))
-        if untidy:
-            number = F.col("event_id").cast("bigint") % 4
-            mmsi = F.when(number == 1, F.concat("MMSI", F.lit(".0"))).when(number == 2, F.concat(F.lit(" "), "MMSI"))
-            bad = F.col("event_id").cast("bigint") % 50 == 7
-            raw = raw.withColumns(
-                {
-                    "MMSI": F.when(bad, F.lit("none")).otherwise(mmsi.when(number == 3, F.concat("MMSI", F.lit(" "))).otherwise(F.col("MMSI"))),
-                    "Latitude": F.concat(F.lit(" "), "Latitude"),
-                    "Longitude": F.concat("Longitude", F.lit(" ")),
-                }
-            )
+        raw = raw_events(spark, sf_dir, untidy)
         texts = [F.coalesce(F.col(f"`{name}`"), F.lit("")) for name in CSV_HEADER.split(",")]
-        return positions_lines(raw.select(F.concat_ws(",", *texts).alias("line")), CSV_HEADER, infer)
+        return positions_lines(raw.select(F.concat_ws(",", *texts).alias("line")), CSV_HEADER)
 
     return run
 
@@ -82,7 +110,7 @@ def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bernoulli_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What holds for every Bernoulli sample of the cleaned positions, as one row of truths."""
+    """What holds for every Bernoulli sample of the cleaned positions: their number, and a row of truths."""
     positions = cleaned(spark, sf_dir)
 
     def marked(rows: DataFrame, name: str) -> DataFrame:
@@ -96,6 +124,7 @@ def bernoulli_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
     share, fraction = F.sum("drawn") / F.sum("given"), DEFAULTS.sample_fraction
     band = F.lit(5.0) * F.sqrt(F.lit(fraction * (1 - fraction)) / F.sum("given"))
     return counts.agg(
+        F.sum("given").alias("positions"),
         (F.abs(share - F.lit(fraction)) <= band).alias("share_in_band"),
         F.bool_and(F.col("drawn") <= F.col("given")).alias("drawn_from_input"),
         (F.max("drawn") <= 1).alias("none_twice"),
@@ -152,7 +181,7 @@ def whole_report(params: RouteParams, fraction: float | None = None) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         positions = cleaned(spark, sf_dir)
         sample = positions if fraction is None else sampling.by_hash(positions, fraction)
-        return report.whole_report(summary(sample, params), params, fraction)
+        return report.whole_report(written(summary(sample, params), "summary"), params, fraction)
 
     return run
 
@@ -215,16 +244,22 @@ def queries() -> dict[str, Query]:
 
 def own_queries() -> dict[str, Query]:
     return {
-        "scan_positions_csv": csv_lines(),
-        "scan_positions_csv_inferred": csv_lines(infer=True),
-        "scan_positions_csv_untidy": csv_lines(untidy=True),
-        "scan_positions_csv_untidy_inferred": csv_lines(infer=True, untidy=True),
+        "scan_positions_csv": csv_files(),
+        "scan_positions_csv_inferred": csv_files(infer=True),
+        "scan_positions_csv_untidy": csv_files(untidy=True),
+        "scan_positions_csv_untidy_inferred": csv_files(infer=True, untidy=True),
+        "parse_csv_lines": csv_lines(),
+        "parse_csv_lines_untidy": csv_lines(untidy=True),
+        "csv_columns": csv_columns(infer=False),
+        "csv_columns_inferred": csv_columns(infer=True),
+        "table_columns": lambda spark, sf: columns_of(spark.read.parquet(f"{sf}/events.parquet")),
         "project_positions": project_positions,
         "filter_not_null": lambda spark, sf: clean.not_null(positions_events(spark, sf)),
         "filter_coord_bounds": lambda spark, sf: clean.in_bounds(positions_events(spark, sf)),
         "clean_positions": cleaned,
         "sample_hash": lambda spark, sf: sampling.by_hash(cleaned(spark, sf)),
-        "sample_bernoulli": bernoulli_checked,
+        "sample_bernoulli": lambda spark, sf: sampling.bernoulli(cleaned(spark, sf)),
+        "sample_bernoulli_checked": bernoulli_checked,
         "sample_profile": lambda spark, sf: aggregate.profile(sampling.by_hash(cleaned(spark, sf))),
         "sample_distinct_vessels": lambda spark, sf: aggregate.distinct_vessels(sampling.by_hash(cleaned(spark, sf))),
         "sample_run_counts": sample_run_counts,
@@ -383,6 +418,22 @@ SELECT (SELECT count(*) FROM cleaned) AS total_records,
   (SELECT count(*) FROM totals) AS vessels"""
 
 
+# The types of both engines, by name.
+TYPE_SQL = "CASE column_type WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE lower(column_type) END"
+TABLE_COLUMNS_SQL = f"""SELECT CAST(row_number() OVER () - 1 AS INTEGER) AS place, column_name AS name, {TYPE_SQL} AS type
+FROM (DESCRIBE SELECT * FROM events)"""
+
+
+def columns_sql(types: tuple[str, str, str]) -> str:
+    """Columns of the CSV files of the events: types of the vessel number, the time and the coordinates."""
+    mmsi, time, degrees = types
+    event_id = "int" if mmsi == "int" else "bigint"
+    return f"""
+SELECT CAST(place AS INTEGER) AS place, name, CASE WHEN name = 'event_id' AND (SELECT max(event_id) FROM events) > 2147483647 THEN 'bigint' ELSE type END AS type
+FROM (VALUES (0, '# Timestamp', '{time}'), (1, 'MMSI', '{mmsi}'), (2, 'Latitude', '{degrees}'), (3, 'Longitude', '{degrees}'),
+  (4, 'event_id', '{event_id}')) AS c(place, name, type)"""
+
+
 def oracle_sql() -> dict[str, str]:
     added = corpus.oracle_sql() if corpus else {}
     if corpus and corpus_pipeline.ORACLE_SQL:
@@ -403,6 +454,11 @@ SELECT event_id, CASE WHEN event_id % 50 <> 7 THEN mmsi END AS mmsi, "timestamp"
         "scan_positions_csv_inferred": positions,
         "scan_positions_csv_untidy": untidy,
         "scan_positions_csv_untidy_inferred": untidy,
+        "parse_csv_lines": positions,
+        "parse_csv_lines_untidy": untidy,
+        "csv_columns": columns_sql(("string", "timestamp_ntz", "double")),
+        "csv_columns_inferred": columns_sql(("int", "string", "double")),
+        "table_columns": TABLE_COLUMNS_SQL,
         "project_positions": positions,
         "filter_not_null": f"{positions} WHERE {PRESENT}",
         "filter_coord_bounds": f"{positions} WHERE {IN_BOUNDS}",
@@ -410,7 +466,8 @@ SELECT event_id, CASE WHEN event_id % 50 <> 7 THEN mmsi END AS mmsi, "timestamp"
         "sample_hash": f"{with_clean('19999999')} SELECT {position} FROM cleaned",
         "sample_profile": f"""{with_clean('19999999')}
 SELECT count(*) AS total_records, count(DISTINCT mmsi) AS unique_vessels FROM cleaned""",
-        "sample_bernoulli": "SELECT TRUE AS share_in_band, TRUE AS drawn_from_input, TRUE AS none_twice, TRUE AS same_again",
+        "sample_bernoulli_checked": f"""{with_clean()}
+SELECT CAST(count(*) AS BIGINT) AS positions, TRUE AS share_in_band, TRUE AS drawn_from_input, TRUE AS none_twice, TRUE AS same_again FROM cleaned""",
         "sample_distinct_vessels": f"{with_clean('19999999')} SELECT DISTINCT mmsi FROM cleaned",
         "profile": f"{with_clean()} SELECT count(*) AS total_records, count(DISTINCT mmsi) AS unique_vessels FROM cleaned",
         "distinct_vessels": f"{with_clean()} SELECT DISTINCT mmsi FROM cleaned",

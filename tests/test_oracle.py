@@ -20,10 +20,16 @@ def test_query_equals_sql(spark, sf, name):
 
 
 def test_every_query_has_sql():
-    assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) == set(ORACLE) | {"sample_bernoulli"}  # which rows are drawn depends on the partitioning
     assert set(QUERIES) <= set(registry.queries()) and set(ORACLE) <= set(registry.oracle_sql())
 
 
 def test_entry_runs(spark):
     rows = registry.entry(spark).collect()
     assert len(rows) == 10
+
+
+def test_bernoulli_draws_some_of_the_cleaned_rows(spark):
+    sf = f"{TESTDATA}/sf0.01"
+    given, drawn = (set(QUERIES[name](spark, sf).collect()) for name in ("clean_positions", "sample_bernoulli"))
+    assert drawn < given and abs(len(drawn) / len(given) - 0.1) < 0.02

@@ -1,6 +1,7 @@
 """The physical plans are part of the design: they must stay as they are."""
 
 import re
+from dataclasses import replace
 
 import pytest
 
@@ -8,6 +9,7 @@ import __spark_entry__ as registry
 from fixtures import TESTDATA
 from wakeline.operators import aggregate
 from wakeline.operators.clean import clean
+from wakeline.params import DEFAULTS
 from wakeline.plans import edges, steps, summary, top_routes, totals
 
 SF = f"{TESTDATA}/sf0.01"
@@ -52,18 +54,33 @@ def test_building_a_plan_runs_no_job(jobs, stored):
         assert jobs(lambda: build(stored)) == 0
 
 
-def test_whole_answer_is_one_scan_and_counts_copies_before_it_shuffles(static_plans, stored):
+def test_whole_answer_is_one_scan_and_shuffles_the_reports_once(static_plans, stored):
     plan = static_plans(top_routes(stored))
     assert count(plan, "FileScan") == 1
-    assert count(plan, "Exchange") == 3  # distinct reports, stretches of a vessel, one row per stretch
+    assert count(plan, "Exchange") == 2  # reports by stretch, one row per stretch
     assert count(plan, "Window") == 2
     assert count(plan, "TakeOrderedAndProject") == 1
+
+
+def test_copies_can_be_counted_before_the_shuffle(static_plans, stored):
+    plan = static_plans(top_routes(stored, replace(DEFAULTS, count_copies_first=True)))
+    assert [count(plan, name) for name in ("FileScan", "Exchange", "Window")] == [1, 3, 2]
     assert re.search(r"partial_count\(1\)", plan)
 
 
+def test_csv_queries_scan_files(static_plans, spark):
+    for name in ("scan_positions_csv", "scan_positions_csv_inferred"):
+        assert count(static_plans(registry.own_queries()[name](spark, SF)), "FileScan csv") == 1
+
+
+def test_report_reads_one_row_per_vessel(static_plans, spark):
+    plan = static_plans(registry.own_queries()["whole_report"](spark, SF))
+    assert "/summary-" in plan and "/events.parquet" not in plan
+
+
 def test_whole_run_is_one_scan(static_plans, stored):
     plan = static_plans(summary(stored))
-    assert [count(plan, name) for name in ("FileScan", "Exchange", "Window")] == [1, 3, 2]
+    assert [count(plan, name) for name in ("FileScan", "Exchange", "Window")] == [1, 2, 2]
 
 
 def test_step_rows_shuffle_the_reports_once(static_plans, stored):

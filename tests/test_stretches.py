@@ -86,8 +86,11 @@ def test_copies_of_one_report(spark, width):
 
 def test_copies_are_one_row_of_a_window(spark):
     rows = [(n, 7, START, 50.0, 5.0) for n in range(1000)] + [(5000, 7, START, 50.1, 5.0)]
-    only = stretch_summary(reports(spark, rows)).collect()
+    only = stretch_summary(reports(spark, rows), RouteParams(count_copies_first=True)).collect()
     assert [(row["reports"], row["moves"], row["rests"]) for row in only] == [(1001, 1, 999)]
+    each = stretch_summary(reports(spark, rows)).collect()
+    assert [(row["reports"], row["moves"], row["rests"]) for row in each] == [(1001, 1000, 0)]
+    close(summary(reports(spark, rows)), summary_by_hand(rows))
 
 
 def test_no_step_is_kept_below_a_limit_of_zero(spark):

@@ -86,12 +86,18 @@ def kept_km(lat: str, lon: str, from_lat: str, from_lon: str, params: RouteParam
 def stretch_summary(positions: DataFrame, params: RouteParams = DEFAULTS) -> DataFrame:
     """Reports, kept steps and their kilometres inside each stretch, with its first and last position.
 
-    Copies, equal in vessel, time and place, are one row with their count from the first
-    shuffle on, which combines on the map side; the steps between them are 0 km long.
+    The reports are shuffled once, by vessel and stretch; windows and sums both use that. Copies,
+    equal in vessel, time and place, follow each other in a window, which streams and spills. With
+    ``count_copies_first`` a shuffle that combines on the map side makes each one row with its
+    count; the steps between copies are 0 km long.
     """
     copied = F.when(F.lit(0.0) < F.lit(params.max_jump_km), F.col("copies") - 1).otherwise(F.lit(0))
     stretch = stretch_of(F.col("timestamp"), params.stretch_seconds)
-    distinct = positions.groupBy("mmsi", "timestamp", "latitude", "longitude").agg(F.count(F.lit(1)).alias("copies"))
+    place = ("mmsi", "timestamp", "latitude", "longitude")
+    if params.count_copies_first:
+        distinct = positions.groupBy(*place).agg(F.count(F.lit(1)).alias("copies"))
+    else:
+        distinct = positions.select(*place, F.lit(1).cast("bigint").alias("copies"))
     inside = Window.partitionBy(*STRETCH).orderBy("timestamp", "latitude", "longitude")
     paired = distinct.withColumn("stretch", stretch).withColumns(
         {

@@ -19,8 +19,10 @@ class RouteParams:
     top_n: int = 10
     realistic_km: float = 1000.0
     hours: float = 24.0
-    # Changes no result: the most of one vessel's history that meets in one task.
-    stretch_seconds: int = 86_400
+    # These two change no result: the most of one vessel's history that meets in one task, and
+    # whether copies of one report are counted in a shuffle of their own before reports are paired.
+    stretch_seconds: int = 3_600
+    count_copies_first: bool = False
     sample_fraction: float = 0.1
     sample_seed: int = 42
 

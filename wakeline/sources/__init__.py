@@ -7,7 +7,9 @@ from wakeline.sources.files import (
     project_raw,
     read_raw_csv,
     write_positions_csv,
+    write_raw_csv,
 )
+from wakeline.sources.shared import shared_folder, written
 
 __all__ = [
     "as_raw",
@@ -17,5 +19,8 @@ __all__ = [
     "positions_lines",
     "project_raw",
     "read_raw_csv",
+    "shared_folder",
     "write_positions_csv",
+    "write_raw_csv",
+    "written",
 ]

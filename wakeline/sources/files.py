@@ -102,9 +102,15 @@ def as_raw(positions: DataFrame) -> DataFrame:
     )
 
 
+def write_raw_csv(raw: DataFrame, path: str) -> None:
+    """Write a raw table as it is, blanks around values included, one file per partition."""
+    writer = raw.write.mode("errorifexists").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+    writer.csv(path, header=True)
+
+
 def write_positions_csv(positions: DataFrame, path: str) -> None:
     """Write positions in the raw form, one file per partition."""
-    as_raw(positions).write.mode("errorifexists").csv(path, header=True)
+    write_raw_csv(as_raw(positions), path)
 
 
 def columns_of(df: DataFrame) -> DataFrame:
