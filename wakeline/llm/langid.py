@@ -308,7 +308,8 @@ def detector(docs: DataFrame, model: Model, with_spans: bool = True):
             arrays = [pa.array(column, kind) for column, kind, _ in zip(columns, kinds, names)]
             yield pa.StructArray.from_arrays(arrays, names)
 
-    return detect
+    # said to be not deterministic, so that a filter on its results does not run it a second time
+    return detect.asNondeterministic()
 
 
 def labelled(docs: DataFrame, model: Model, text: str = "text", name: str = "language", with_spans: bool = True) -> DataFrame:

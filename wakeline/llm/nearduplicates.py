@@ -247,7 +247,8 @@ def links_of(docs: DataFrame, classes: DataFrame, settings: Settings, spent: lis
     largest = of_root.groupBy("key").agg(
         F.max(F.struct("rows", "root", "weight")).alias("largest"), F.sum("rows").alias("all"), F.sum("weight").alias("all_weight")
     )
-    largest = largest.where(F.col("largest.rows") < F.col("all"))
+    largest = stored(largest.where(F.col("largest.rows") < F.col("all")), "largest-components")
+    spent.append(largest)
     spread = rooted.join(largest, "key").select(
         *columns,
         "root",

@@ -132,17 +132,25 @@ def later(occurrences: DataFrame, firsts: DataFrame, keys: list[str]) -> DataFra
 
 def repeats(docs: DataFrame, window: int, inner: int) -> DataFrame:
     """``_id, place, content`` of all paths and edges of ``_id, text`` that occur earlier too."""
+    # What is counted for each key is a table of its own: Spark can then split a key with very many
+    # rows among the tasks of a join, which it cannot do for a join that shares a stage with a count.
     all_paths = stored(paths(docs, window, inner), "paths")
-    repeated = all_paths.groupBy("inner").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("inner")
+    counts = all_paths.groupBy("inner").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("inner")
+    repeated = stored(counts, "repeated-keys")
     again = stored(all_paths.join(repeated, "inner", "left_semi"), "repeated-paths")
     drop_stored(all_paths)
+    drop_stored(repeated)
     first = F.min(F.struct("_id", "place")).alias("first")
-    groups = again.groupBy("inner").agg((F.min("content") == F.max("content")).alias("straight"), first)
+    groups = stored(again.groupBy("inner").agg((F.min("content") == F.max("content")).alias("straight"), first), "path-groups")
     straight = groups.where("straight").select("inner", "first")
     branching = again.join(groups.where("not straight").select("inner"), "inner", "left_semi")
     edges = stored(edges_of(docs, branching, window), "edges")
     of_edges = edges.groupBy("content", "other").agg(F.count(F.lit(1)).alias("n"), first).where("n > 1").drop("n")
-    return later(again, straight, ["inner"]).unionByName(later(edges, of_edges, ["content", "other"]))
+    firsts = stored(of_edges, "edge-groups")
+    found = stored(later(again, straight, ["inner"]).unionByName(later(edges, firsts, ["content", "other"])), "later")
+    for table in (again, groups, edges, firsts):
+        drop_stored(table)
+    return found
 
 
 def cut(text: str, covered: np.ndarray) -> str:
@@ -217,6 +225,8 @@ def without_repeats(docs: DataFrame, window: int = 20, inner: int = 8, text: str
                 parts.append(pa.array(rows, CUT_ARROW))
             yield pa.concat_arrays(parts)
 
+    # said to be not deterministic, so that a filter on its results does not run it a second time
+    apply = apply.asNondeterministic()
     joined = keyed.join(listed, own, "left").withColumn(done, apply(F.col(text), F.col(places), F.col(checks)))
     results = {name: F.col(f"{done}.{name}") for name in ("n_words", "n_removed", "spans")}
     return joined.withColumns({text: F.col(f"{done}.text"), **results}).drop(own, places, checks, done)
