@@ -92,3 +92,16 @@ def test_other_columns_and_empty_tables(spark):
 def test_query_uses_no_python(spark):
     plan = queries.op8_license_scan(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+def test_sql_agrees_where_a_file_has_several_notices(spark, tmp_path):
+    from oracle import connect, from_duckdb, from_spark
+
+    texts = [" / ".join(notice.text for notice in licenses.NOTICES), *[notice.text for notice in licenses.NOTICES]]
+    texts += ["Licensed under the Apache License, Version 2.0. Licensed under CC BY-NC 4.0. Redistribute it under the GNU General Public License, version 3."]
+    texts += [notice.key for notice in licenses.NOTICES] + ["license mit license", None, ""]
+    frame(spark, [(n, text, "en", "a", 0) for n, text in enumerate(texts)]).coalesce(1).write.parquet(f"{tmp_path}/docs")
+    (part,) = (tmp_path / "docs").glob("*.parquet")
+    part.rename(tmp_path / "documents.parquet")
+    found = from_spark(queries.op8_license_scan(spark, str(tmp_path)))
+    assert found == from_duckdb(connect(str(tmp_path)), queries.oracle_sql()["op8_license_scan"])

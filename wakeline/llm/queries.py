@@ -462,7 +462,7 @@ SELECT record_id, canonical_url, CAST(micros AS BIGINT) AS micros, response_id,
 FROM entries"""
 
 
-def license_sql(looked_up: int = 6) -> str:
+def license_sql() -> str:
     def quoted(words: list[str]) -> str:
         return "[" + ", ".join(f"'{word}'" for word in words) + "]"
 
@@ -481,22 +481,12 @@ WITH notices(notice, label, wording, key, key_at) AS (
   FROM documents
 ), tokens AS (
   SELECT r, words, unnest(words) AS w, unnest(range(len(words))) AS p FROM texts
-), postings AS (
-  SELECT notice, unnest(wording) AS w, unnest(range(len(wording))) AS pos FROM notices
-), present AS (
-  SELECT DISTINCT r, w FROM tokens SEMI JOIN postings USING (w)
-), frequencies AS (
-  SELECT w, count(*) AS texts FROM present GROUP BY w
-), top AS (
-  SELECT r, w FROM present JOIN frequencies USING (w) QUALIFY row_number() OVER (PARTITION BY r ORDER BY texts, w) <= {looked_up}
 ), starts AS (
-  SELECT r, any_value(t.words) AS words, notice, p - pos AS start
-  FROM tokens t JOIN top USING (r, w) JOIN postings USING (w) GROUP BY r, notice, p - pos HAVING count(*) >= 2
+  SELECT r, words, notice, p - key_at AS start FROM tokens JOIN notices ON w = key[1] AND words[p + 1:p + len(key)] = key
 ), matches AS (
   SELECT r, label, CAST(len(list_filter(range(len(wording)), lambda i: start + i >= 0 AND words[start + i + 1] = wording[i + 1])) AS DOUBLE)
     / len(wording) AS agreement
   FROM starts JOIN notices USING (notice)
-  WHERE start + key_at >= 0 AND words[start + key_at + 1:start + key_at + len(key)] = key
 ), places AS (
   SELECT r, label, p FROM tokens JOIN phrases ON w = phrase[1] AND words[p + 1:p + len(phrase)] = phrase
 ), base AS (
