@@ -480,15 +480,24 @@ WITH notices(notice, label, wording, key, key_at) AS (
     list_filter(regexp_split_to_array({SQL_LOWER}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS words
   FROM documents
 ), tokens AS (
-  SELECT r, words, unnest(words) AS w, unnest(range(len(words))) AS p FROM texts
-), starts AS (
-  SELECT r, words, notice, p - key_at AS start FROM tokens JOIN notices ON w = key[1] AND words[p + 1:p + len(key)] = key
+  SELECT r, unnest(words) AS w, unnest(range(len(words))) AS p FROM texts
+), template_words AS (
+  SELECT notice, unnest(wording) AS w, unnest(range(len(wording))) AS spot FROM notices
+), frequencies AS (
+  SELECT w, count(DISTINCT r) AS texts FROM (SELECT DISTINCT w FROM template_words) LEFT JOIN tokens USING (w) GROUP BY w
+), rarest AS (
+  SELECT notice, w FROM (SELECT DISTINCT notice, w FROM template_words) JOIN frequencies USING (w)
+  QUALIFY row_number() OVER (PARTITION BY notice ORDER BY texts, w) <= {licenses.RARE}
+), placed AS (
+  SELECT r, notice, p - spot AS start
+  FROM tokens JOIN (template_words JOIN rarest USING (notice, w)) USING (w) GROUP BY r, notice, start HAVING count(*) >= 2
 ), matches AS (
   SELECT r, label, CAST(len(list_filter(range(len(wording)), lambda i: start + i >= 0 AND words[start + i + 1] = wording[i + 1])) AS DOUBLE)
     / len(wording) AS agreement
-  FROM starts JOIN notices USING (notice)
+  FROM placed JOIN notices USING (notice) JOIN texts USING (r)
+  WHERE start + key_at >= 0 AND words[start + key_at + 1:start + key_at + len(key)] = key AND agreement >= {licenses.MIN_SHARE}
 ), places AS (
-  SELECT r, label, p FROM tokens JOIN phrases ON w = phrase[1] AND words[p + 1:p + len(phrase)] = phrase
+  SELECT r, label, p FROM tokens JOIN phrases ON w = phrase[1] JOIN texts USING (r) WHERE words[p + 1:p + len(phrase)] = phrase
 ), base AS (
   SELECT r, count(*) AS n, min(p) AS first_word, max(p) AS last_word FROM places GROUP BY r
 ), labelled AS (
