@@ -72,6 +72,31 @@ def test_join_without_broadcast_gives_the_same(spark, monkeypatch):
     assert found_in(spark, rows, [(1, " ".join(item))]) == sent and set(sent) == {(5000, 1)}
 
 
+@pytest.mark.parametrize("seed", range(20))
+def test_windows_left_out_stay_below_the_threshold(seed):
+    draw = random.Random(seed)
+    tokens, least, threshold = draw.randrange(1, 40), draw.randrange(1, 6), draw.choice([0.0, 0.3, 0.6, 1.0])
+    places = list(range(max(tokens - least + 1, 1)))
+    texts = [draw.choice([0, 1, 5, 5, 100]) for _ in places]
+    telling = set(decontaminate.telling_places(texts, places, tokens, least, threshold))
+    out = [place for place in places if texts[place] and place not in telling]
+    covered = {token for place in out for token in range(place, min(place + least, tokens))}
+    assert not out or len(covered) < threshold * tokens
+    assert not telling or not out or max(texts[place] for place in telling) <= min(texts[place] for place in out)
+
+
+def test_a_phrase_of_all_texts_and_items_pairs_only_those_that_share_more(spark):
+    phrase = words(20, 15, 10**6)
+    items = [(n, phrase + words(100 + n, 15, 10**6)) for n in range(30)]
+    rows = [(n, " ".join(phrase + words(200 + n, 40, 10**6)), "en", "a", 0) for n in range(60)]
+    rows += [(100 + n, " ".join(words(300 + n, 10, 10**6) + items[n][1]), "en", "a", 0) for n in range(3)]
+    rows += [(None, rows[-1][1], "en", "a", 0), (104, " ".join(items[5][1][:20]), "en", "a", 0), (105, " ".join(phrase), "en", "a", 0)]
+    benchmark = [(n, " ".join(text)) for n, text in items] + [(None, " ".join(items[2][1]))]
+    found = found_in(spark, rows, benchmark)
+    assert set(found) == {(100, 0), (101, 1), (102, 2), (None, 2), (102, None), (None, None), (104, 5)}
+    assert {row["matched"] for key, row in found.items() if key[0] != 104} == {30} and found[(104, 5)]["matched"] == 20
+
+
 def test_every_pair_equals_brute_force(spark):
     rows = corpus(4, 40)
     items = [(n, " ".join((row[1] or "").split()[5:45])) for n, row in enumerate(rows) if row[1]]

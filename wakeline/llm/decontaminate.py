@@ -1,9 +1,11 @@
 """Benchmark decontamination by greedy string tiling.
 
-Documents and benchmark items that share a window of ``min_match`` tokens are joined on it; the
-window of a shorter item is the whole item.
-The shared windows bound what a tiling can cover, so pairs below the threshold go before any
-text is compared. For the others the longest matches of yet unmarked tokens are marked again
+Texts and benchmark items that share a window of ``min_match`` tokens are joined on it; the
+window of a shorter item is the whole item. An item's most frequent windows, as many as cover less
+than the threshold together, join nothing: a text that shares no other one stays below it anyway. So
+a phrase that stands in many texts and many items does not pair them all, and no pair is lost.
+All shared windows of the pairs bound what a tiling can cover, so pairs below the threshold go
+before any text is compared. For the others the longest matches of yet unmarked tokens are marked again
 and again, found by running Karp-Rabin hashes, until none of ``min_match`` tokens is left.
 Tiles may lie in any order, so reordered passages are found like straight ones.
 """
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wakeline.llm.text import Content, WordHashes, text_portions
+from wakeline.llm.text import Content, WordHashes, drop_stored, stored, text_portions
 
 # Fixed: scripts written without blanks between words (South-East Asian ones, Yi, kana, Han).
 UNSPACED = (
@@ -128,13 +130,13 @@ def tiling(doc: np.ndarray, item: np.ndarray, least: int) -> list[tuple[int, int
 
 
 def document_seeds(docs: DataFrame, lengths: list[int]) -> DataFrame:
-    """``doc_id, text_hash, seed`` of each window of so many tokens."""
+    """``text_hash, seed`` of each window of so many tokens; ``docs`` has ``text_hash`` and ``text``."""
 
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            ids, prints = batch.column(0), batch.column(1)
-            for first, texts in text_portions(batch.column(2)):
+            prints = batch.column(0)
+            for first, texts in text_portions(batch.column(1)):
                 tokens = [token_hashes(text, hashes) for text in texts]
                 ends = np.cumsum([len(own) for own in tokens])
                 joined = np.concatenate(tokens)
@@ -143,30 +145,59 @@ def document_seeds(docs: DataFrame, lengths: list[int]) -> DataFrame:
                 for length in lengths:
                     starts = np.flatnonzero(left >= length)
                     rows = pa.array(text[starts] + first)
-                    yield pa.RecordBatch.from_arrays(
-                        [ids.take(rows), prints.take(rows), pa.array(content(starts, length).view(np.int64))],
-                        names=["doc_id", "text_hash", "seed"],
-                    )
+                    windows = pa.array(content(starts, length).view(np.int64))
+                    yield pa.RecordBatch.from_arrays([prints.take(rows), windows], names=["text_hash", "seed"])
 
-    return docs.mapInArrow(seeds, "doc_id bigint, text_hash bigint, seed bigint")
+    return docs.mapInArrow(seeds, "text_hash bigint, seed bigint")
 
 
 def item_seeds(items: DataFrame, least: int) -> DataFrame:
-    """``item_id, item_hash, tokens, place, seed`` for each window of each item; a shorter item is one window."""
+    """``item_hash, tokens, place, seed`` for each window of each item; a shorter item is one window."""
 
     def seeds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
         for batch in batches:
-            for item_id, item_hash, text in zip(batch["item_id"], batch["item_hash"], batch["item_text"], strict=True):
+            for item_hash, text in zip(batch["item_hash"], batch["item_text"], strict=True):
                 tokens = token_hashes(text, hashes)
                 length = min(least, len(tokens))
                 starts = np.arange(len(tokens) - length + 1 if length else 0)
                 windows = Content(tokens)(starts, length).view(np.int64)
-                yield pd.DataFrame(
-                    {"item_id": pd.array([item_id] * len(windows), "Int64"), "item_hash": item_hash, "tokens": len(tokens), "place": np.arange(len(windows)), "seed": windows}
-                )
+                yield pd.DataFrame({"item_hash": item_hash, "tokens": len(tokens), "place": np.arange(len(windows)), "seed": windows})
 
-    return items.mapInPandas(seeds, "item_id bigint, item_hash bigint, tokens bigint, place bigint, seed bigint")
+    return items.mapInPandas(seeds, "item_hash bigint, tokens bigint, place bigint, seed bigint")
+
+
+def telling_places(texts: list[int], places: list[int], tokens: int, least: int, threshold: float) -> list[int]:
+    """Numbers of the windows, rarest ones, of which a pair that reaches the threshold shares at least one.
+
+    ``texts`` counts the texts with each window. The windows left out, the most frequent ones, cover
+    less than ``threshold`` of the item's tokens together. Windows that no text has are not listed.
+    """
+    covered, count = np.zeros(tokens, bool), 0
+    order = sorted(range(len(places)), key=lambda n: (-texts[n], places[n]))
+    for at, n in enumerate(order):
+        window = covered[places[n] : places[n] + least]
+        count += len(window) - int(window.sum())
+        if count >= threshold * tokens:
+            return [other for other in order[at:] if texts[other]]
+        window[:] = True
+    return []
+
+
+def telling_seeds(counted: DataFrame, least: int, threshold: float) -> DataFrame:
+    """``item_hash, seed`` of :func:`telling_places`; an item's windows meet in a task."""
+    window = F.struct(F.coalesce("texts", F.lit(0).cast("bigint")).alias("texts"), "place", "seed")
+
+    def chosen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for item_hash, tokens, windows in batch.itertuples(index=False):
+                texts, places = [one["texts"] for one in windows], [one["place"] for one in windows]
+                rows += [(item_hash, windows[n]["seed"]) for n in telling_places(texts, places, tokens, least, threshold)]
+            yield pd.DataFrame(rows, columns=["item_hash", "seed"]).astype("int64")
+
+    of_items = counted.groupBy("item_hash", "tokens").agg(F.collect_list(window).alias("windows"))
+    return of_items.mapInPandas(chosen, "item_hash bigint, seed bigint").distinct()
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, min_match: int = 5) -> DataFrame:
@@ -183,29 +214,33 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6,
     read = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").where("text is not null")
     items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.xxhash64("text").alias("item_hash"), F.col("text").alias("item_text"))
     items = items.where("item_text is not null").distinct()
-    of_items = item_seeds(items, min_match)
+    of_items = item_seeds(items.select("item_hash", "item_text").distinct(), min_match)
     length = F.least(F.col("tokens"), F.lit(min_match).cast("bigint"))
     # at most min_match rows
     sizes = {row["length"]: row["count"] for row in of_items.groupBy(length.alias("length")).count().collect()}
     few = sum(sizes.values()) <= MAX_SENT_SEEDS
-    shared = document_seeds(read, sorted(sizes)).join(F.broadcast(of_items) if few else of_items, "seed")
+
+    def sent(seeds: DataFrame) -> DataFrame:
+        return F.broadcast(seeds) if few else seeds
+
+    wanted = of_items.select("seed").distinct()
+    found = document_seeds(read.select("text_hash", "text"), sorted(sizes)).join(sent(wanted), "seed", "left_semi")
+    hits = stored(found.select("text_hash", "seed").distinct(), "shared-seeds")
+    frequent = hits.groupBy("seed").agg(F.count(F.lit(1)).alias("texts"))
+    telling = telling_seeds(of_items.join(sent(frequent), "seed", "left"), min_match, threshold)
+    candidates = hits.join(sent(telling), "seed").select("text_hash", "item_hash").distinct()
     covered = F.flatten(F.transform(F.collect_set("place"), lambda at: F.sequence(at, at + F.lit(min_match - 1))))
-    pairs = (
-        shared.groupBy("doc_id", "text_hash", "item_id", "item_hash", "tokens")
+    bounded = (
+        candidates.join(sent(of_items), "item_hash")
+        .join(hits, ["text_hash", "seed"])
+        .groupBy("text_hash", "item_hash", "tokens")
         .agg(F.size(F.array_distinct(covered)).alias("bound"))
         .where(F.col("bound") >= F.lit(threshold) * F.col("tokens"))
     )
-    same = F.col("p.item_hash") == F.col("i.item_hash")
-    with_items = (
-        pairs.alias("p")
-        .join(items.alias("i"), same & F.col("p.item_id").eqNullSafe(F.col("i.item_id")))
-        .groupBy("p.doc_id", "p.text_hash")
-        .agg(F.collect_list(F.struct("i.item_id", "i.item_text")).alias("items"))
-    )
-    texts = read.alias("d").join(
-        with_items.select(F.col("doc_id").alias("pair_id"), F.col("text_hash").alias("pair_hash"), "items").alias("w"),
-        (F.col("d.text_hash") == F.col("w.pair_hash")) & F.col("d.doc_id").eqNullSafe(F.col("w.pair_id")),
-    ).select("doc_id", "text_hash", "text", "items")
+    pairs = stored(bounded.select(F.col("text_hash").alias("pair_hash"), "item_hash"), "pairs")
+    drop_stored(hits)
+    with_items = pairs.join(items, "item_hash").groupBy("pair_hash").agg(F.collect_list(F.struct("item_id", "item_text")).alias("items"))
+    texts = read.join(with_items, F.col("text_hash") == F.col("pair_hash")).select("doc_id", "text_hash", "text", "items")
 
     def tile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
