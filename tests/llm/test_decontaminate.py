@@ -68,6 +68,8 @@ def test_join_without_broadcast_gives_the_same(spark, monkeypatch):
     item = words(3, 30, 10**6)
     rows = corpus() + [(5000, " ".join(words(4, 50) + item), "en", "a", 0)] * 3
     sent = found_in(spark, rows, [(1, " ".join(item))])
+    monkeypatch.setattr(decontaminate, "MAX_SENT_BYTES", -1)
+    assert found_in(spark, rows, [(1, " ".join(item))]) == sent
     monkeypatch.setattr(decontaminate, "MAX_SENT_SEEDS", 0)
     assert found_in(spark, rows, [(1, " ".join(item))]) == sent and set(sent) == {(5000, 1)}
 

@@ -35,6 +35,8 @@ RUN = re.compile(r"[^\W_]+")
 TILE = "array<struct<doc_token:bigint,item_token:bigint,length:bigint>>"
 # The seeds of the benchmark are sent to all executors up to this many (12 bytes each).
 MAX_SENT_SEEDS = 1_000_000
+# So are the items of the pairs left, up to this many bytes of item texts; beyond, the texts are shuffled to them.
+MAX_SENT_BYTES = 32 << 20
 
 
 # The same tokens of a text of ASCII characters, by a table of its bytes.
@@ -239,8 +241,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6,
     )
     pairs = stored(bounded.select(F.col("text_hash").alias("pair_hash"), "item_hash"), "pairs")
     drop_stored(hits)
-    with_items = pairs.join(items, "item_hash").groupBy("pair_hash").agg(F.collect_list(F.struct("item_id", "item_text")).alias("items"))
-    texts = read.join(with_items, F.col("text_hash") == F.col("pair_hash")).select("doc_id", "text_hash", "text", "items")
+    of_pairs = pairs.join(items, "item_hash")
+    size = of_pairs.agg(F.sum(F.octet_length("item_text") + 16).alias("bytes")).first()["bytes"] or 0
+    with_items = of_pairs.groupBy("pair_hash").agg(F.collect_list(F.struct("item_id", "item_text")).alias("items"))
+    to_tile = F.broadcast(with_items) if size <= MAX_SENT_BYTES else with_items
+    texts = read.join(to_tile, F.col("text_hash") == F.col("pair_hash")).select("doc_id", "text_hash", "text", "items")
 
     def tile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
