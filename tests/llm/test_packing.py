@@ -3,6 +3,7 @@ import zlib
 
 import pytest
 from corpus import AWKWARD, clashing, corpus, frame
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from wakeline.llm import packing, queries
@@ -39,6 +40,9 @@ def test_pieces_make_up_the_documents(spark, reference, tmp_path):
     found = queries.op5_binary_packing(spark, str(tmp_path)).collect()
     assert len({row["sequence_id"] for row in found}) == len(found)
     assert all(row["offset"] == 0 and row["length"] == 2 ** row["bucket"] for row in found)
+    pieces = [(row["bucket"], row["doc_id"], row["start"]) for row in found]
+    names = ("bucket", "doc_id", "start", "batch", "slot", "sequence_id")
+    assert sorted(tuple(row[name] for name in names) for row in found) == sorted(by_hand(pieces, 65_536))
     expected = []
     for doc_id, text, *_ in rows:
         ids, start = [*(reference(text) if text else []), 1], 0
@@ -48,6 +52,39 @@ def test_pieces_make_up_the_documents(spark, reference, tmp_path):
     assert sorted((r["doc_id"], r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]) for r in found) == sorted(expected)
 
 
+def by_hand(rows, batch_tokens):
+    """Bucket, document, place, batch, slot and number of ``bucket, doc_id, start``."""
+    numbers, found = {}, []
+    for bucket, doc_id, start in sorted(rows, key=lambda row: (row[0], row[1] is not None, row[1] or 0, row[2])):
+        number = numbers[bucket] = numbers.get(bucket, -1) + 1
+        each = max(1, batch_tokens >> bucket)
+        found.append((bucket, doc_id, start, number // each, number % each, number * 64 + bucket))
+    return found
+
+
+@pytest.mark.parametrize("batch_tokens", [8, 4096, 65_536])
+def test_batches_equal_brute_force(spark, batch_tokens):
+    df = clashing(frame(spark, corpus() + AWKWARD), "batch", "number", "count")
+    pieces = packing.packed(df, *queries.tokenizer()).repartition(7).withColumn("number", F.lit("kept")).withColumn("slot", F.lit("gone"))
+    names = ("bucket", "doc_id", "start", "batch", "slot", "sequence_id")
+    result = packing.batched(pieces, batch_tokens)
+    found = result.collect()
+    expected = by_hand([(row["bucket"], row["doc_id"], row["start"]) for row in pieces.collect()], batch_tokens)
+    assert sorted((tuple(row[name] for name in names) for row in found), key=str) == sorted(expected, key=str)
+    assert {row["number"] for row in found} == {"kept"} and all(len(row["ids"]) == 4 * row["length"] for row in found)
+    assert len({row["sequence_id"] for row in found}) == len(found)
+
+
+def test_batches_of_one_hot_bucket_and_of_nothing(spark):
+    pieces = spark.range(30_000).selectExpr("id div 3 as doc_id", "0L as start", "2048L as length", "11 as bucket")
+    found = packing.batched(pieces.where("doc_id >= 0"), 65_536)
+    sizes = found.groupBy("bucket", "batch").count().collect()
+    assert sorted(row["count"] for row in sizes) == [30_000 % 32 or 32] + [32] * (30_000 // 32 - (30_000 % 32 == 0))
+    assert packing.batched(pieces.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        packing.batched(pieces, 1000)
+
+
 def test_other_columns_null_numbers_and_empty_tables(spark):
     df = clashing(frame(spark, AWKWARD), "start", "length", "ids")
     pieces = packing.packed(df, *queries.tokenizer(), longest=4, end=7)

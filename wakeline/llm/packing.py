@@ -2,8 +2,8 @@
 
 A document of n tokens gives n // longest pieces of the longest length and then one piece
 for each bit of the rest, from the highest down. A piece is a sequence of its own, so no
-sequence crosses documents and none is padded; sequences of equal length form a bucket and
-are batched together. Rows are split where they are read, without a shuffle.
+sequence crosses documents and none is padded. Rows are split where they are read, without a
+shuffle; sequences of equal length form a bucket, and :func:`batched` fills batches from each.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wakeline.llm.ranks import free_names, ranked
 from wakeline.llm.text import text_portions
 
 PIECE = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint"
@@ -128,3 +129,33 @@ def packed(docs: DataFrame, path: str, pattern: str, longest: int = 2048, end: i
             "bucket": F.log2(F.col("length").cast("double")).cast("int"),
         }
     )
+
+
+BUCKET_BITS = 6  # of a sequence number, for the bucket it belongs to
+
+
+def batched(pieces: DataFrame, batch_tokens: int = 65_536) -> DataFrame:
+    """The pieces of each bucket in full batches of ``batch_tokens``; only a bucket's last may hold less.
+
+    Adds ``batch``, from 0 in each bucket, and ``slot``, the place in the batch; all sequences of a
+    batch have the same length. ``sequence_id`` becomes the number of a sequence in its bucket and the
+    bucket, so that reruns agree. Pieces stand by document, null ones first, and place; those of
+    repeated rows keep all their numbers. A piece longer than a batch is one of its own. Columns
+    named ``batch``, ``slot`` or ``sequence_id`` are replaced, others stay, and empty tables stay empty.
+
+    A bucket with most of the pieces is split by ranges. ``pieces`` is read twice, so it should be a
+    written table; with ``ids`` in it they are shuffled too, without them only their numbers.
+    """
+    if batch_tokens < 1 or batch_tokens & (batch_tokens - 1):
+        raise ValueError("batch_tokens must be a power of two")
+    rows = pieces.drop("batch", "slot", "sequence_id")
+    number, count = free_names(rows, "number", "count")
+    each = F.greatest(F.lit(1), F.lit(batch_tokens).cast("bigint") / F.col("length")).cast("bigint")
+    numbered = ranked(rows, "bucket", [F.col("doc_id"), F.col("start")], number, count).withColumns(
+        {
+            "batch": F.floor(F.col(number) / each),
+            "slot": F.col(number) % each,
+            "sequence_id": F.shiftleft(F.col(number), BUCKET_BITS) + F.col("bucket"),
+        }
+    )
+    return numbered.select(*rows.columns, "sequence_id", "batch", "slot")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wakeline.llm import chat, decontaminate, langid, licenses, manifest, mixing, nearduplicates, packing, quality, repair, sharding, substrings, warc
 
-from wakeline.llm.text import BLANKS
+from wakeline.llm.text import BLANKS, stored
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,7 +62,8 @@ def tokenizer() -> tuple[str, str]:
 
 
 def op5_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packed_digest(table(spark, sf_dir, "documents"))
+    pieces = stored(packed_digest(table(spark, sf_dir, "documents")), "pieces")
+    return packing.batched(pieces)
 
 
 def packed_digest(docs: DataFrame) -> DataFrame:
