@@ -86,6 +86,31 @@ def test_components_of_any_graph(spark):
     assert len(rows) == len(linked)
 
 
+def written(spark, monkeypatch, edges):
+    """The components of these edges, and how many tables were written for them."""
+    tables = []
+    monkeypatch.setattr(nearduplicates, "stored", lambda df, name, f=nearduplicates.stored: (tables.append(name), f(df, name))[1])
+    rows = nearduplicates.components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()
+    return {row["node"]: row["root"] for row in rows}, tables
+
+
+def test_links_of_many_bands_need_few_rounds(spark, monkeypatch):
+    draw = random.Random(2)
+    edges = [(n, draw.randrange(n)) for _ in range(16) for n in range(1, 400)]
+    found, tables = written(spark, monkeypatch, edges)
+    assert found == dict.fromkeys(range(400), 0)
+    assert len(tables) <= 2
+
+
+@pytest.mark.parametrize("portion", [1, 7, 10**6])
+def test_portions_and_a_long_chain_are_contracted(spark, portion):
+    nodes = list(range(-60, 60))
+    random.Random(4).shuffle(nodes)
+    edges = [*zip(nodes, nodes[1:]), *zip(nodes, nodes[1:]), (500, 400), (400, 500), (300, 300)]
+    rows = nearduplicates.stars(spark.createDataFrame(edges, "u bigint, v bigint"), portion=portion).collect()
+    assert sorted(tuple(row) for row in rows) == [*((n, -60) for n in range(-59, 60)), (500, 400)]
+
+
 def test_posterior_bounds():
     table = nearduplicates.least_matches(Settings())
     assert [n for n, _ in table] == [32, 64, 96, 128]

@@ -9,7 +9,7 @@
    that its similarity reaches the threshold falls below ``miss``.
 4. What is left is confirmed on the full shingle sets. Two classes that links connect
    already are not compared again.
-5. Links are contracted to components by large and small stars, each round written out.
+5. Links are contracted to components: inside of tasks, then in rounds that are written out.
 
 At the threshold a pair has no common band with probability (1 - 0.8 ** rows) ** bands, and
 is dropped with probability of at most ``miss`` per batch; both fall fast above it.
@@ -128,7 +128,7 @@ def linked(one: np.ndarray, other: np.ndarray, percent: int) -> bool:
 
 
 def forest(members: pd.DataFrame, settings: Settings) -> list[tuple[int, int]]:
-    """Confirmed links that connect what these rows of one bucket can connect.
+    """Links of roots that connect what confirmed pairs of these rows of one bucket can connect.
 
     Rows with ``asks`` are compared with those with ``held``; rows of one ``root`` are not, and
     two that are ``outside`` of the largest component only once.
@@ -161,7 +161,7 @@ def forest(members: pd.DataFrame, settings: Settings) -> list[tuple[int, int]]:
         tops = top(int(roots[one])), top(int(roots[other]))
         if tops[0] != tops[1] and linked(sets[one], sets[other], settings.percent):
             parent[tops[0]] = tops[1]
-            links.append((int(nodes[one]), int(nodes[other])))
+            links.append((int(roots[one]), int(roots[other])))
     return links
 
 
@@ -184,7 +184,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, settings: Settings) -> Data
 
 
 def links_of(docs: DataFrame, classes: DataFrame, settings: Settings, spent: list[DataFrame]) -> DataFrame:
-    """Confirmed links ``u, v`` that connect whatever is linked; ``spent`` gets the tables it rests on."""
+    """Links ``u, v`` that connect whatever confirmed pairs link; ``spent`` gets the tables it rests on."""
     at_bands = classes.select("node", "n", F.posexplode(band_keys(settings)).alias("band", "key"))
     sizes = at_bands.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("weight")).where("members > 1")
     # a table of its own, so that a large bucket's rows can be split among the tasks of the join
@@ -241,8 +241,8 @@ def links_of(docs: DataFrame, classes: DataFrame, settings: Settings, spent: lis
     )
 
     spent.append(first)
-    roots = components(first, spent)
-    rooted = many.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    inner = stars(first, spent)
+    rooted = many.join(inner.toDF("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     of_root = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("weight"))
     largest = of_root.groupBy("key").agg(
         F.max(F.struct("rows", "root", "weight")).alias("largest"), F.sum("rows").alias("all"), F.sum("weight").alias("all_weight")
@@ -266,41 +266,89 @@ def links_of(docs: DataFrame, classes: DataFrame, settings: Settings, spent: lis
     asks = asks.withColumn("i", numbers(F.col("blocks")))
     names = (*columns, "root", "outside", "asks", "held", "i", "j")
     across = held.select(*names).unionByName(asks.select(*names)).join(sets, "node")
-    return first.unionByName(across.groupBy("key", "i", "j").applyInPandas(connect, "u bigint, v bigint"))
+    return inner.unionByName(across.groupBy("key", "i", "j").applyInPandas(connect, "u bigint, v bigint"))
 
 
-def components(links: DataFrame, spent: list[DataFrame] | None = None) -> DataFrame:
-    """``node, root`` of every linked node; the root is the smallest node reachable.
+def least_reached(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of these links that are not the smallest of their component, and the smallest."""
+    nodes, numbers = np.unique(np.concatenate([u, v]), return_inverse=True)
+    one, other = np.split(numbers, 2)
+    root = np.arange(len(nodes))
+    while len(one):
+        low, high = np.minimum(root[one], root[other]), np.maximum(root[one], root[other])
+        apart = low < high
+        one, other = one[apart], other[apart]
+        np.minimum.at(root, high[apart], low[apart])
+        while (root[root] != root).any():
+            root = root[root]
+    below = root != np.arange(len(nodes))
+    return nodes[below], nodes[root[below]]
 
-    ``spent`` gets the table that the result rests on, to be dropped in time.
 
-    Rounds of large and small stars; the smallest neighbour is a partial aggregate and edges
-    meet it in a join, so a node with very many neighbours needs no task of its own.
+def contracted(links: DataFrame, portion: int) -> DataFrame:
+    """``u, v``: in every portion of a task's links each node hangs on the smallest one it reaches there.
+
+    Consecutive links of one ``u`` stay in one portion.
     """
 
-    def towards_least(edges: DataFrame) -> DataFrame:
-        least = edges.groupBy("u").agg(F.min("v").alias("least"))
-        return edges.join(least.withColumn("least", F.least("u", "least")), "u")
-
-    def both(edges: DataFrame) -> DataFrame:
-        return edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-
-    def mark(edges: DataFrame) -> tuple:
-        hashed = F.xxhash64("u", "v").cast("decimal(38,0)")
-        return tuple(edges.agg(F.count(F.lit(1)), F.sum(hashed)).collect()[0])
-
-    edges = stored(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "links")
-    before, now = None, mark(edges)
-    while now != before:
-        large = towards_least(both(edges)).where("v > u").select(F.col("v").alias("u"), F.col("least").alias("v"))
-        large = large.where("u <> v").distinct()
-        small = towards_least(large)  # every edge leads from the larger node to the smaller
-        hung = small.where("v <> least").select(F.col("v").alias("u"), F.col("least").alias("v"))
-        closer = stored(hung.unionByName(small.select("u", F.col("least").alias("v"))).distinct(), "stars")
+    def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+
+        def stars(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(ends, pa.int64()) for ends in least_reached(u, v)], names=["u", "v"])
+
+        for batch in batches:
+            held.append([column.to_numpy(zero_copy_only=False) for column in batch.columns])
+            rows += len(batch)
+            if rows >= portion:
+                u, v = map(np.concatenate, zip(*held, strict=True))
+                cut = len(u) - int(np.argmax(u[::-1] != u[-1])) if (u != u[-1]).any() else 0
+                if cut:
+                    yield stars(u[:cut], v[:cut])
+                held, rows = [[u[cut:], v[cut:]]], len(u) - cut
+        if rows:
+            yield stars(*map(np.concatenate, zip(*held, strict=True)))
+
+    return links.mapInArrow(contract, "u bigint, v bigint")
+
+
+def stars(links: DataFrame, spent: list[DataFrame] | None = None, portion: int = 500_000) -> DataFrame:
+    """``u, v`` of every linked node ``u`` but the smallest ``v`` of its component, from links ``u, v``.
+
+    ``spent`` gets the table that the result is, to be dropped in time.
+
+    Tasks contract the links they hold, before and after these are dealt by their larger node; so
+    most components are stars after one shuffle. Each further round hangs all nodes on the node
+    above theirs and contracts again. A node above very many is in no key of a group, only
+    in a join that can be split.
+    """
+
+    def dealt(edges: DataFrame) -> DataFrame:
+        return contracted(contracted(edges, portion).repartition("u").sortWithinPartitions("u"), portion)
+
+    def settled(edges: DataFrame) -> bool:
+        ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("above"), F.lit(0).alias("below"))
+        ends = ends.unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("above"), F.lit(1).alias("below")))
+        roles = ends.groupBy("node").agg(F.sum("above").alias("above"), F.max("below").alias("below"))
+        return roles.agg(F.count_if(F.col("above") + F.col("below") > 1)).first()[0] == 0
+
+    edges = stored(dealt(links.select("u", "v").where("u <> v")), "links")
+    while not settled(edges):
+        above = edges.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("above"))
+        closer = stored(dealt(edges.join(above, "v", "left").select("u", F.coalesce("above", "v").alias("v"))), "stars")
         drop_stored(edges)
-        edges, before, now = closer, now, mark(closer)
+        edges = closer
     if spent is not None:
         spent.append(edges)
+    return edges
+
+
+def components(links: DataFrame, spent: list[DataFrame] | None = None) -> DataFrame:
+    """``node, root`` of every linked node; the root is the smallest node reachable.
+
+    ``spent`` gets the table that the result rests on, to be dropped in time.
+    """
+    edges = stars(links, spent)
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
